@@ -51,20 +51,21 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str, name: str = "doc_id
                 ).otherwise(F.array().cast("array<string>")),
             ),
         )
-        .withColumn("g", F.sort_array("w"))
-        .filter(F.size("g") > 0)
+        .select(name, F.sort_array("w").alias("g"))
     )
     starts = grams.select(
         name,
         "g",
         F.filter(
-            F.sequence(F.lit(0), F.size("g") - 1),
+            F.sequence(F.lit(0), F.greatest(F.size("g"), F.lit(1)) - 1),
             lambda i: (i == 0) | (F.get("g", i) != F.get("g", F.greatest(i - 1, F.lit(0)))),
         ).alias("s"),
     )
+    # explode_outer: a plain explode makes Catalyst repeat the whole computation
+    # in a "size > 0" filter.  A text without tokens yields one NULL term.
     runs = starts.select(
         name,
-        F.explode(
+        F.explode_outer(
             F.transform(
                 "s",
                 lambda p, k: F.struct(
@@ -74,7 +75,7 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str, name: str = "doc_id
             )
         ).alias("t"),
     )
-    return runs.select(name, "t.term", "t.tf")
+    return runs.select(name, "t.term", "t.tf").filter(F.col("term").isNotNull())
 
 
 def vocabulary(counts: DataFrame, corpus_size: DataFrame, min_df: int = MIN_DF, max_df: float = MAX_DF) -> DataFrame:
@@ -135,8 +136,8 @@ def scores(index: LexicalIndex, qvec: DataFrame, allowed: DataFrame | None = Non
         F.collect_list(F.when(F.col("wanted"), F.struct("term", "weight"))).alias("hits"),
     )
     hits = per_doc.select(
-        "doc_id", F.explode("hits").alias("h"), "norm"
-    ).select("doc_id", F.col("h.term").alias("term"), (F.col("h.weight") / F.col("norm")).alias("d_weight"))
+        "doc_id", F.explode_outer("hits").alias("h"), "norm"
+    ).filter(F.col("h").isNotNull()).select("doc_id", F.col("h.term").alias("term"), (F.col("h.weight") / F.col("norm")).alias("d_weight"))
     pairs = salted_join(hits, qvec, "term", _hot_terms(index.vocab), "doc_id")
     if allowed is not None:
         pairs = pairs.join(allowed, ["query_id", "doc_id"], "left_semi")
@@ -158,6 +159,32 @@ def top_k(scored: DataFrame, k: int, **how) -> DataFrame:
     return rank(scored, **how).filter(F.col("rank") <= k)
 
 
+def ranks_of(scored: DataFrame, wanted: DataFrame, digits: int = 8) -> DataFrame:
+    """Exact ranks of a few documents per query, without ranking the whole list.
+
+    ``wanted`` (query_id, doc_id) is small per query.  Every scored pair is placed
+    between the wanted ones, the places are counted with a partial aggregate, and
+    the running count is the rank.  No group grows with the number of matches.
+    """
+    key = F.struct((-F.round("score", digits)).alias("s"), F.col("doc_id").alias("d"))
+    keyed = scored.withColumn("_key", key)
+    marks = (
+        keyed.join(wanted.select("query_id", "doc_id"), ["query_id", "doc_id"])
+        .groupBy("query_id")
+        .agg(F.sort_array(F.collect_list("_key")).alias("_marks"))
+    )
+    placed = keyed.join(marks, "query_id").select(
+        "query_id", F.size(F.filter("_marks", lambda m: m < F.col("_key"))).alias("place")
+    )
+    counts = placed.groupBy("query_id", "place").agg(F.count(F.lit(1)).alias("n"))
+    upto = W.partitionBy("query_id").orderBy("place")
+    ranks = counts.withColumn("rank", F.sum("n").over(upto))
+    found = marks.select("query_id", F.posexplode("_marks").alias("place", "m"))
+    return found.join(ranks, ["query_id", "place"]).select(
+        "query_id", F.col("m.d").alias("doc_id"), "rank"
+    )
+
+
 def search(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text: str, query_id: str, query_text: str, k: int = 5) -> DataFrame:
     """R03. Lexical top-K of every query."""
     index = fit(docs, doc_id, doc_text)

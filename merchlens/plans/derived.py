@@ -90,7 +90,7 @@ FROM {part}
 # Catalog texts: documents as products with category, brand, price and rating.
 SQL["doc_products"] = """
 SELECT d.doc_id, d.text, d.lang AS category, d.source AS brand, cast(d.n_chars AS double) AS price,
-       CASE WHEN l.quality IS NULL THEN NULL ELSE 2.0 + 2.0 * l.quality + (1 - l.toxic) END AS rating
+       cast(CASE WHEN l.quality IS NULL THEN NULL ELSE 2 + 2 * l.quality + (1 - l.toxic) END AS double) AS rating
 FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id
 """
 
@@ -99,10 +99,10 @@ SQL["search_queries"] = """
 SELECT b.item_id AS query_id, b.text, e.embedding,
        CASE WHEN b.item_id % 5 = 1 THEN 'EN' WHEN b.item_id % 5 = 2 THEN 'fr' END AS f_category,
        CASE WHEN b.item_id % 7 = 3 THEN 'src1' END AS f_brand,
-       CASE WHEN b.item_id % 3 = 1 THEN 200.0 END AS f_min_price,
-       CASE WHEN b.item_id % 3 = 2 THEN 6000.0 END AS f_max_price,
+       cast(CASE WHEN b.item_id % 3 = 1 THEN 200 END AS double) AS f_min_price,
+       cast(CASE WHEN b.item_id % 3 = 2 THEN 6000 END AS double) AS f_max_price,
        (b.item_id % 2 = 0) AS f_min_inclusive, (b.item_id % 2 = 1) AS f_max_inclusive,
-       CASE WHEN b.item_id % 11 = 4 THEN 4.0 END AS f_min_rating
+       cast(CASE WHEN b.item_id % 11 = 4 THEN 4 END AS double) AS f_min_rating
 FROM {benchmark} b LEFT JOIN {embeddings} e ON b.item_id = e.vec_id
 """
 

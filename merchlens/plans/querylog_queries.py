@@ -348,7 +348,7 @@ def _audited(spark, d):
 @query("query_audit", f"SELECT query_id, string_split(f,'/')[1] AS code, string_split(f,'/')[2] AS field FROM ({_FINDINGS})")
 def query_audit(spark, d):
     """Q21."""
-    rows = _audited(spark, d).select("query_id", F.explode("findings").alias("f"))
+    rows = ql.findings(_audited(spark, d))
     return rows.select("query_id", F.col("f.code").alias("code"), F.col("f.field").alias("field"))
 
 
