@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from merchlens.operators.lexical import rank, ranks_of, top_k
+from merchlens.session import cut_lineage
 
 RRF_K = 60
 DENSE_POOL = 3
@@ -35,13 +36,10 @@ def hybrid(dense_pool: DataFrame, lexical_scores: DataFrame, limit: int) -> Data
     the result, so only the lexical top ``limit`` and the exact lexical ranks of
     the dense pool are made; the full list is never sorted.
     """
+    # Both sides are read several times below and are costly to make again.
+    dense_pool, lexical_scores = cut_lineage(dense_pool), cut_lineage(lexical_scores)
     head = top_k(lexical_scores, limit).select("query_id", "doc_id", "rank", "score")
-    deep = (
-        ranks_of(lexical_scores, dense_pool)
-        .filter(F.col("rank") > limit)
-        .join(lexical_scores, ["query_id", "doc_id"])
-        .select("query_id", "doc_id", "rank", "score")
-    )
+    deep = ranks_of(lexical_scores, dense_pool).filter(F.col("rank") > limit)
     return reciprocal_rank_fusion({"dense": dense_pool, "lexical": head.unionByName(deep)}, limit)
 
 

