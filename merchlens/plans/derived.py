@@ -106,6 +106,35 @@ SELECT b.item_id AS query_id, b.text, e.embedding,
 FROM {benchmark} b LEFT JOIN {embeddings} e ON b.item_id = e.vec_id
 """
 
+# What a generator listed for the candidates of each order: some unknown ids, some
+# omissions, some citations of other products or of evidence that does not exist.
+SQL["generated"] = """
+SELECT cast(l_orderkey AS string) AS query_id,
+       row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS pos,
+       cast(CASE WHEN l_tax = 0.08 THEN l_partkey + 100000000 ELSE l_partkey END AS string) AS product_id,
+       'pick ' || cast(l_linenumber AS string) AS reason,
+       cast(l_partkey AS string) || '-E1' AS cite_1,
+       CASE WHEN l_linestatus = 'F' THEN cast(l_suppkey AS string) || '-E1' END AS cite_2,
+       CASE WHEN l_discount = 0.1 THEN cast(l_partkey AS string) || '-E99' END AS cite_3
+FROM {lineitem} WHERE l_returnflag <> 'R'
+"""
+
+# The candidates of each order, ranked, with catalog fields and a price limit.
+SQL["order_candidates"] = """
+SELECT c.query_id, c.product_id, row_number() OVER (PARTITION BY c.query_id ORDER BY cast(c.product_id AS bigint)) AS rank,
+       p.product_name, p.category, p.brand, p.discounted_price, p.rating, p.retrieval_text, 990.0 AS max_price
+FROM (SELECT DISTINCT cast(l_orderkey AS string) AS query_id, cast(l_partkey AS string) AS product_id FROM {lineitem}) c
+JOIN {products} p ON c.product_id = p.product_id
+"""
+
+# A loaded copy of the parts with missing, changed and unexpected rows.
+SQL["loaded_parts"] = """
+SELECT CASE WHEN p_size = 9 THEN p_partkey + 100000000 ELSE p_partkey END AS p_partkey, p_name,
+       CASE WHEN p_size = 7 THEN NULL ELSE p_brand END AS p_brand, p_type, p_size,
+       CASE WHEN p_size = 21 THEN p_retailprice + 1 ELSE p_retailprice END AS p_retailprice
+FROM {part} WHERE p_size <> 13
+"""
+
 # Tables under heavy per-row work.
 SPREAD = ("lineitem", "orders", "documents", "conversations", "pages")
 
