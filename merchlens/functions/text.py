@@ -203,17 +203,19 @@ def format_specifications(specs: Column) -> Column:
     )
     kept = F.filter(pairs, lambda s: ~is_placeholder(s["key"]) & ~is_placeholder(s["value"]))
     joined = F.array_join(F.transform(kept, lambda s: F.concat(s["key"], F.lit(": "), s["value"])), "; ")
-    return F.nullif(joined, F.lit(""))
+    return let(joined, lambda j: F.when(j != "", j))
 
 
 def truncate_description(c: Column, max_chars: int = MAX_DESCRIPTION_CHARS) -> Column:
     """P09. At most ``max_chars``, cut at a word boundary where one exists."""
-    text = collapse_space(c)
-    head = F.substring(text, 1, max_chars)
-    clean_cut = F.substring(text, max_chars + 1, 1) == " "
-    at_word = F.regexp_replace(head, r"^(.+) \S*$", "$1")
-    cut = F.when(F.length(text) <= max_chars, text).when(clean_cut, head).otherwise(at_word)
-    return F.when(~is_placeholder(c), F.rtrim(cut))
+
+    def cut(text: Column) -> Column:
+        head = F.substring(text, 1, max_chars)
+        clean_cut = F.substring(text, max_chars + 1, 1) == " "
+        at_word = F.regexp_replace(head, r"^(.+) \S*$", "$1")
+        return F.when(F.length(text) <= max_chars, text).when(clean_cut, head).otherwise(at_word)
+
+    return F.when(~is_placeholder(c), F.rtrim(let(collapse_space(c), cut)))
 
 
 def search_text(

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window as W
 
 from merchlens.functions.text import tokens
 from merchlens.operators.skew import ROWS_PER_SPLIT, salted_join
+from merchlens.session import cut_lineage
 
 MIN_DF = 2
 MAX_DF = 0.8
@@ -98,7 +99,8 @@ def fit(docs: DataFrame, id_col: str, text_col: str, min_df: int = MIN_DF, max_d
     """R01. Vocabulary and weighted postings, with nothing held on the driver."""
     size = docs.agg(F.count(F.lit(1)).alias("n_docs"))
     counts = term_counts(docs, id_col, text_col)
-    vocab = vocabulary(counts, size, min_df, max_df)
+    # The vocabulary is read by every later step, so it is made once.
+    vocab = cut_lineage(vocabulary(counts, size, min_df, max_df))
     hot = _hot_terms(vocab)
     weighted = salted_join(counts, vocab, "term", hot, "doc_id").select(
         "doc_id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("weight")
@@ -129,6 +131,7 @@ def scores(index: LexicalIndex, qvec: DataFrame, allowed: DataFrame | None = Non
     query terms; only those entries are joined with the queries.  ``allowed``
     (query_id, doc_id) filters before scoring, which leaves ranks unchanged.
     """
+    qvec = cut_lineage(qvec)
     wanted = qvec.select("term").distinct().withColumn("wanted", F.lit(True))
     marked = index.postings.join(wanted, "term", "left")
     per_doc = marked.groupBy("doc_id").agg(

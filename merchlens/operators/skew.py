@@ -15,8 +15,12 @@ def salted_join(
 
     ``hot`` holds (key, _fan): in how many pieces each hot key is cut.  Rows of
     ``big`` pick a piece by hashing the column ``spread``; the matching rows of
-    ``other`` are repeated once per piece.  Keys that are not hot have one piece.
+    ``other`` are repeated once per piece.  Keys that are not hot have one piece,
+    and without hot keys this is a plain join.  ``hot`` is looked at once, so it
+    should come from something cheap to read.
     """
+    if hot.isEmpty():
+        return big.join(other, key, how)
     one = F.lit(1)
     cut = F.coalesce("_fan", one)
     left = big.join(hot, key, "left").withColumn("_piece", F.pmod(F.xxhash64(spread), cut)).drop("_fan")

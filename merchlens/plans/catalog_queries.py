@@ -240,14 +240,13 @@ def _with_search_text(spark, d):
         "product_specifications",
         F.to_json(tx.parse_specifications(F.col("product_specifications")), {"ignoreNullFields": "false"}),
     )
-    return cat.build_search_texts(raw)
+    return cat.with_search_text(raw)
 
 
 @query("search_text", f"SELECT uniq_id, retrieval_text FROM ({_SEARCH})")
 def search_text(spark, d):
     """Accepted rows carry a text, rejected rows a NULL."""
-    built, rejected = _with_search_text(spark, d)
-    return built.unionByName(rejected).select("uniq_id", "retrieval_text")
+    return _with_search_text(spark, d).select("uniq_id", "retrieval_text")
 
 
 @query(
@@ -264,8 +263,7 @@ def search_text(spark, d):
 )
 def search_text_audit(spark, d):
     """A17, P12."""
-    built, rejected = _with_search_text(spark, d)
-    return pf.search_text_audit(built.unionByName(rejected))
+    return pf.search_text_audit(_with_search_text(spark, d))
 
 
 @query(

@@ -14,6 +14,7 @@ from merchlens.operators import splits as sp
 from merchlens.plans.derived import load
 from merchlens.plans.registry import query
 from merchlens.plans.querylog_queries import _LOGX, _SOFTX
+from merchlens.session import cut_lineage
 from merchlens.plans.search_queries import RUNS_CTE, frozen_candidates, frozen_runs
 
 KS = [3, 5, 10]
@@ -510,7 +511,7 @@ def duplicate_copies(spark, d):
 def _components(spark, d):
     docs = _docs_grouped(spark, d)
     sets, copies = sp.token_sets(docs, "doc_id", "text")
-    near = sp.near_duplicates(sets)
+    near = cut_lineage(sp.near_duplicates(sets))
     edge = F.concat_ws("-", F.lit("n"), "left", "right")
     members = (
         docs.select(F.col("doc_id").alias("node"), F.concat(F.lit("g"), "intent_group").alias("edge"))
