@@ -81,7 +81,7 @@ def exact_scores(
         F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("_c"),
     )
     right = queries.filter(F.col("embedding").isNotNull()).select(
-        "query_id", "embedding", *plain(filters),
+        "query_id", F.col("embedding").alias("q_vec"), *plain(filters),
         F.pmod(F.xxhash64("query_id"), F.lit(cols)).cast("int").alias("_c"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(rows - 1).cast("bigint"))).alias("_r"),
     )
@@ -96,7 +96,7 @@ def exact_scores(
     def cell(cat: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         if cat.empty or qs.empty:
             return pd.DataFrame({f.name: [] for f in out})
-        scores = _unit(qs["embedding"]) @ _unit(cat["embedding"]).T
+        scores = _unit(qs["q_vec"]) @ _unit(cat["embedding"]).T
         ids = cat["doc_id"].to_numpy()
         parts = []
         for i, row in enumerate(qs.itertuples(index=False)):

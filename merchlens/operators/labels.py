@@ -260,8 +260,8 @@ def adjudicate(a: DataFrame, b: DataFrame, flags: DataFrame, decisions: DataFram
         .join(decisions.select(*key, "decision"), key, "left")
     )
     both = F.col("grade_a").isNotNull() & F.col("grade_b").isNotNull()
-    agree = both & (F.col("grade_a") == F.col("grade_b"))
-    decided = both & ~agree & F.col("decision").isin(*VALID_GRADES)
+    agree = both & F.col("grade_a").eqNullSafe(F.col("grade_b"))
+    decided = F.coalesce(both & ~agree & F.col("decision").isin(*VALID_GRADES), F.lit(False))
     other = F.col("other_violation") | F.coalesce("_oa", F.lit(False)) | F.coalesce("_ob", F.lit(False))
     violated = (
         F.col("category_violation") | F.col("brand_violation") | F.col("price_violation") | F.col("rating_violation")

@@ -157,6 +157,7 @@ def test_top_k_is_pruned_before_the_shuffle(spark):
 
 def test_literal_filter_reaches_the_scan(spark, tmp_path):
     path = str(tmp_path / "p")
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
     spark.createDataFrame([("x", 1.0, 2.0)], "category string, discounted_price double, rating double").write.parquet(path)
     df = spark.read.parquet(path).filter(cs.literal_filter(min_rating=2.0, max_price=5.0, max_inclusive=True)).select("category")
     plan = df._jdf.queryExecution().executedPlan().toString()
