@@ -47,25 +47,16 @@ def _allowed(cat: pd.DataFrame, q) -> np.ndarray:
     return ok
 
 
-def exact_scores(
-    catalog: DataFrame,
-    queries: DataFrame,
-    k: int,
-    filtered: bool = False,
-    rows_per_block: int = ROWS_PER_BLOCK,
-    queries_per_block: int = QUERIES_PER_BLOCK,
+def _grid(
+    catalog: DataFrame, queries: DataFrame, filtered: bool, rows_per_block: int, queries_per_block: int, cell, out: str
 ) -> DataFrame:
-    """R05/R07. Each block's k best (query_id, doc_id, score) by cosine.
+    """Run ``cell(catalog block, query block)`` over a grid of bounded blocks.
 
-    ``catalog``: doc_id, embedding (and attributes); ``queries``: query_id,
-    embedding (and filters).  Scoring every query against every vector is laid
-    out as a grid of bounded blocks: a vector goes to one row of the grid, a query
-    to one column, and a cell is one matrix product that emits k rows per query.
-    Neither side is broadcast or collected, and no pair leaves its cell.
+    A vector goes to one row of the grid, a query to one column; neither side is
+    broadcast or collected, and no pair leaves its cell.
     """
-    spark = catalog.sparkSession
     n, q = catalog.count(), queries.count()
-    cores = spark.sparkContext.defaultParallelism
+    cores = catalog.sparkSession.sparkContext.defaultParallelism
     rows = max(1, math.ceil(n / rows_per_block), min(cores, math.ceil(n / 500)))
     cols = max(1, math.ceil(q / queries_per_block))
     attrs = list(ATTRIBUTES) if filtered else []
@@ -85,17 +76,37 @@ def exact_scores(
         F.pmod(F.xxhash64("query_id"), F.lit(cols)).cast("int").alias("_c"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(rows - 1).cast("bigint"))).alias("_r"),
     )
-    out = T.StructType(
-        [
-            T.StructField("query_id", queries.schema["query_id"].dataType),
-            T.StructField("doc_id", catalog.schema["doc_id"].dataType),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
+    types = {
+        "query_id": queries.schema["query_id"].dataType.simpleString(),
+        "doc_id": catalog.schema["doc_id"].dataType.simpleString(),
+    }
+    schema = out.format(**types)
+    names = [c.split()[0] for c in schema.split(",")]
+
+    def guarded(cat: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
+        if cat.empty or qs.empty:
+            return pd.DataFrame({c: [] for c in names})
+        return cell(cat, qs)
+
+    return left.groupBy("_r", "_c").cogroup(right.groupBy("_r", "_c")).applyInPandas(guarded, schema)
+
+
+def exact_scores(
+    catalog: DataFrame,
+    queries: DataFrame,
+    k: int,
+    filtered: bool = False,
+    rows_per_block: int = ROWS_PER_BLOCK,
+    queries_per_block: int = QUERIES_PER_BLOCK,
+) -> DataFrame:
+    """R05/R07. Each block's k best (query_id, doc_id, score) by cosine.
+
+    ``catalog``: doc_id, embedding (and attributes); ``queries``: query_id,
+    embedding (and filters).  A grid cell is one matrix product that emits k rows
+    per query.
+    """
 
     def cell(cat: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
-        if cat.empty or qs.empty:
-            return pd.DataFrame({f.name: [] for f in out})
         scores = _unit(qs["q_vec"]) @ _unit(cat["embedding"]).T
         ids = cat["doc_id"].to_numpy()
         parts = []
@@ -106,7 +117,25 @@ def exact_scores(
             parts.append(pd.DataFrame({"query_id": row.query_id, "doc_id": ids[pick][best], "score": s[best]}))
         return pd.concat(parts, ignore_index=True)
 
-    return left.groupBy("_r", "_c").cogroup(right.groupBy("_r", "_c")).applyInPandas(cell, out)
+    return _grid(
+        catalog, queries, filtered, rows_per_block, queries_per_block, cell,
+        "query_id {query_id}, doc_id {doc_id}, score double",
+    )
+
+
+def eligible_vectors(
+    catalog: DataFrame, queries: DataFrame, rows_per_block: int = ROWS_PER_BLOCK, queries_per_block: int = QUERIES_PER_BLOCK
+) -> DataFrame:
+    """R13. How many vectors satisfy each query's filters, counted per grid cell."""
+
+    def cell(cat: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
+        counts = [int(_allowed(cat, row).sum()) for row in qs.itertuples(index=False)]
+        return pd.DataFrame({"query_id": qs["query_id"], "n": counts})
+
+    per_cell = _grid(
+        catalog, queries, True, rows_per_block, queries_per_block, cell, "query_id {query_id}, n bigint"
+    )
+    return per_cell.groupBy("query_id").agg(F.sum("n").alias("eligible"))
 
 
 def exact_top_k(catalog: DataFrame, queries: DataFrame, k: int, filtered: bool = False, **blocks) -> DataFrame:

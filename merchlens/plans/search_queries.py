@@ -194,21 +194,7 @@ def filtered_underfill(spark, d):
         plain.join(products.drop("embedding"), "doc_id").join(bare, "query_id").filter(cs.matches_columns())
         .select("query_id", "doc_id")
     )
-    # Equal constraint sets are counted once, against pre-counted catalog cells.
-    cells = products.filter(F.col("embedding").isNotNull()).groupBy("category", "brand", "price", "rating").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    sets = queries.filter(F.col("embedding").isNotNull()).select(*dn.FILTERS).distinct()
-    counted = sets.join(cells, cs.matches_columns(), "left").groupBy(*dn.FILTERS).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("eligible")
-    )
-    on = [bare[f].eqNullSafe(counted[f]) for f in dn.FILTERS]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    eligible = queries.filter(F.col("embedding").isNotNull()).select("query_id").join(
-        bare.join(counted, cond).select("query_id", "eligible"), "query_id"
-    )
+    eligible = dn.eligible_vectors(products, queries)
     return dn.underfill(filtered, plain, allowed, eligible, 10)
 
 
