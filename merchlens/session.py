@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,23 +33,57 @@ def get_session(app: str = "merchlens", **conf: str) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, one machine) is a temporary folder used.
+    Only on one machine (tests) may it be unset; a temporary folder is used then. On a
+    cluster a folder local to each machine would lose rows silently, so that raises.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder on {sc.master}")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="merchlens-ckpt-"))
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def cut_lineage(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write the rows once to the shared folder and read them back.
 
     A table is used rather than an RDD checkpoint: it is computed once, is columnar
     and compressed, lets later filters and column choices reach the scan, and its
     size is known, so joins with it are planned by size.  Losing an executor costs
-    a re-read, never a recomputation.
+    a re-read, never a recomputation.  `release` deletes the tables of a session;
+    ending the interpreter does so too.
     """
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    writer = df.write if partition_by is None else df.write.partitionBy(partition_by)
+    if not _WRITTEN:
+        atexit.register(_release_at_exit)
+    _WRITTEN.append((weakref.ref(spark), path))
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_WRITTEN: list = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete every intermediate table `cut_lineage` wrote for this session; returns how many."""
+    mine = [(ref, path) for ref, path in _WRITTEN if ref() is spark]
+    for entry in mine:
+        _delete(spark, entry[1])
+        _WRITTEN.remove(entry)
+    return len(mine)
+
+
+def _release_at_exit() -> None:
+    for ref, path in _WRITTEN:
+        spark = ref()
+        # A stopped context has taken its gateway along; its tables stay for the folder's owner.
+        if spark is not None and spark.sparkContext._jsc is not None:
+            _delete(spark, path)
