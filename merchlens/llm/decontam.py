@@ -52,12 +52,15 @@ def masks_for(n: int) -> list[tuple[int, ...]]:
     return [m for m in MASKS if m[-1] < n] or [tuple(range(n))]
 
 
+GAP = max(m[-1] for m in MASKS) + 1
+
+
 @dataclass
 class SeedIndex:
     """Seeds of a block of benchmark items, as arrays that travel to the tasks."""
 
     vocabulary: dict[str, int]
-    keys: np.ndarray  # benchmark ids
+    keys: pa.Array  # benchmark ids
     starts: np.ndarray  # where each item's tokens start in ``words``
     words: np.ndarray
     seeds: dict[tuple[int, ...], tuple[np.ndarray, np.ndarray, np.ndarray]]  # hashes, item, place
@@ -72,9 +75,9 @@ def seed_hash(words: np.ndarray, at: np.ndarray, mask: tuple[int, ...]) -> np.nd
     return h
 
 
-def build_index(items: list[tuple[object, str | None]]) -> SeedIndex:
+def build_index(keys: pa.Array, texts: list[str | None]) -> SeedIndex:
     vocabulary: dict[str, int] = {}
-    lists = [[vocabulary.setdefault(t, len(vocabulary) + 1) for t in tokens(text)] for _, text in items]
+    lists = [[vocabulary.setdefault(t, len(vocabulary) + 1) for t in tokens(text)] for text in texts]
     sizes = np.array([len(x) for x in lists], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     words = np.array([w for x in lists for w in x], np.int64)
@@ -94,7 +97,6 @@ def build_index(items: list[tuple[object, str | None]]) -> SeedIndex:
         table = np.zeros(1 << bits, bool)
         table[(h >> np.uint64(64 - bits)).astype(np.int64)] = True
         filters[mask] = table
-    keys = np.array([k for k, _ in items], object)
     return SeedIndex(vocabulary, keys, starts, words, seeds, filters)
 
 
@@ -149,6 +151,24 @@ def _leaks(index: SeedIndex, words: np.ndarray, bounds: np.ndarray, share: float
         yield doc, i, -minus_start, size, equal
 
 
+def leaks_in(index: SeedIndex, texts: pa.Array, share: float, min_tokens: int):
+    """Yield (row, item, start, size, equal) over a column of texts, a bounded part at a time."""
+    number = index.vocabulary.get
+    first, lists, n = 0, [], 0
+    for i, value in enumerate(texts):
+        lists.append([number(t, 0) for t in tokens(value.as_py())])
+        n += len(lists[-1])
+        if n < CHUNK_TOKENS and i + 1 < len(texts):
+            continue
+        bounds = np.cumsum([0] + [len(x) + GAP for x in lists])
+        words = np.zeros(bounds[-1], np.int64)
+        for at, x in zip(bounds, lists):
+            words[at : at + len(x)] = x
+        for doc, *leak in _leaks(index, words, bounds, share, min_tokens):
+            yield first + doc, *leak
+        first, lists, n = i + 1, [], 0
+
+
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -169,75 +189,84 @@ def find_leaks(
     document, its length and its equal tokens.  Null and empty texts hold no tokens and
     never match; repeated items and repeated documents are each reported.
     """
-    items = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{item_text}`").alias("item_text"))
-    size = items.agg(
-        F.sum(F.length("item_text") / 2).alias("tokens"), F.count(F.lit(1)).alias("n")
-    ).first()
-    blocks = max(1, int(-(-max(size["tokens"] or 0, size["n"]) // block_tokens)))
-    spread = items.withColumn("block", F.pmod(F.xxhash64("item_id", "item_text"), F.lit(blocks)))
     slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    kind = slim.schema["doc_id"].dataType.simpleString()
+    item_kind = benchmark.schema[item_id].dataType.simpleString()
+    schema = f"doc_id {kind}, item_id {item_kind}, start long, n_tokens long, n_equal long, overlap double"
+
+    def report(shared):
+        def run(batches):
+            for batch in batches:
+                keys, index = batch.column(0), shared.value
+                found = list(leaks_in(index, batch.column(1), share, min_tokens))
+                rows, items, starts, sizes, equal = zip(*found) if found else [()] * 5
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        keys.take(pa.array(rows, pa.int64())),
+                        index.keys.take(pa.array(items, pa.int64())),
+                        pa.array(starts, pa.int64()),
+                        pa.array(sizes, pa.int64()),
+                        pa.array(equal, pa.int64()),
+                        pa.array([e / n for e, n in zip(equal, sizes)], pa.float64()),
+                    ],
+                    names=["doc_id", "item_id", "start", "n_tokens", "n_equal", "overlap"],
+                )
+
+        return run
+
     found = None
-    for block in range(blocks):
-        # A block is bounded: it holds about ``block_tokens`` tokens however large the benchmark is.
-        rows = spread.filter(F.col("block") == block).select("item_id", "item_text").collect()
-        part = _search(slim, build_index([tuple(r) for r in rows]), items.schema["item_id"], share, min_tokens)
+    for shared in _blocks(benchmark, item_id, item_text, block_tokens):
+        part = slim.mapInArrow(report(shared), schema)
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def _search(docs: DataFrame, index: SeedIndex, item_field, share: float, min_tokens: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-    kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), item_field.dataType.simpleString()
-    names = ["doc_id", "item_id", "start", "n_tokens", "n_equal", "overlap"]
-    gap = max(m[-1] for m in MASKS) + 1
-
-    def run(batches):
-        index = shared.value
-        number = index.vocabulary.get
-        key_type = None
-
-        def flush(keys, lists):
-            starts = np.cumsum([0] + [len(x) + gap for x in lists])
-            words = np.zeros(starts[-1], np.int64)
-            for at, x in zip(starts, lists):
-                words[at : at + len(x)] = x
-            rows = [
-                (keys[d], index.keys[i], start, size, equal, equal / size)
-                for d, i, start, size, equal in _leaks(index, words, starts, share, min_tokens)
-            ]
-            columns = list(zip(*rows)) or [[]] * len(names)
-            types = [key_type, None, pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(c), t) for c, t in zip(columns, types)], names=names
-            ) if rows else None
-
-        for batch in batches:
-            key_type = batch.column(0).type
-            keys, lists, n = [], [], 0
-            for i, value in enumerate(batch.column(1)):
-                keys.append(batch.column(0)[i].as_py())
-                lists.append([number(t, 0) for t in tokens(value.as_py())])
-                n += len(lists[-1])
-                if n >= CHUNK_TOKENS:
-                    if (out := flush(keys, lists)) is not None:
-                        yield out
-                    keys, lists, n = [], [], 0
-            if keys and (out := flush(keys, lists)) is not None:
-                yield out
-
-    return docs.mapInArrow(
-        run,
-        f"doc_id {kind}, item_id {item_kind}, start long, n_tokens long, n_equal long, overlap double",
-    )
-
-
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; rows with a null id stay only if clean.
-
-    Ids that repeat stand or fall together.
+def drop_leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    share: float = SHARE,
+    min_tokens: int = MIN_TOKENS,
+    block_tokens: int = BLOCK_TOKENS,
+) -> DataFrame:
+    """``docs`` without the rows in which `find_leaks` finds an item, all columns kept.
+
+    Each row is judged where it lies, by its own text: nulls in other columns, repeated ids
+    and repeated rows make no difference.
     """
-    leaked = find_leaks(docs, benchmark, doc_id, text, **options).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(leaked, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")), "left_anti")
+    place = docs.columns.index(text)
+
+    def clean(shared):
+        def run(batches):
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for row, *_ in leaks_in(shared.value, batch.column(place), share, min_tokens):
+                    keep[row] = False
+                yield batch.filter(pa.array(keep))
+
+        return run
+
+    for shared in _blocks(benchmark, item_id, item_text, block_tokens):
+        docs = docs.mapInArrow(clean(shared), docs.schema)
+    return docs
+
+
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str, block_tokens: int):
+    """Broadcast seed indexes of about ``block_tokens`` tokens each, however large the benchmark is."""
+    items = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{item_text}`").alias("item_text"))
+    size = items.agg(
+        F.coalesce(F.sum(F.length("item_text")), F.lit(0)).alias("chars"), F.count(F.lit(1)).alias("n")
+    ).first()
+    # A token and the gap after it take two characters at least.
+    blocks = max(1, -(-max(size["chars"] // 2, size["n"]) // block_tokens))
+    spread = items.withColumn("block", F.pmod(F.xxhash64("item_id", "item_text"), F.lit(blocks)))
+    for block in range(blocks):
+        rows = spread.filter(F.col("block") == block).select("item_id", "item_text").toArrow()
+        yield benchmark.sparkSession.sparkContext.broadcast(
+            build_index(rows.column(0).combine_chunks(), rows.column(1).to_pylist())
+        )
 
 
 @query("op9_benchmark_leaks")

@@ -4,7 +4,10 @@ import importlib
 
 from merchlens.llm.registry import ORACLES, QUERIES
 
-MODULES = ("chat", "decontam", "html", "langid", "linededup", "packing", "sharding", "simhash")
+MODULES = (
+    "chat", "decontam", "html", "langid", "licences", "linededup", "packing", "quality", "sharding",
+    "simhash",
+)
 for _module in MODULES:
     importlib.import_module(f"merchlens.llm.{_module}")
 
