@@ -59,11 +59,12 @@ SIBLINGS = {
 SCOPES = frozenset("ul ol dl table div article section aside nav header footer main form body td th".split())
 # Words in class, id and role that name boilerplate, or the article.
 CHROME_WORDS = frozenset(
-    "ad ads advert advertisement adverts advertising author-box banner breadcrumb breadcrumbs comment "
-    "comments cookie cookies copyright disclaimer disqus footer form header masthead menu menubar modal nav "
-    "navbar navigation newsletter notice notices overlay pager pagination popup promo promoted "
-    "recommended related reply replies respond search share sharing sidebar sidebars signup skip skyscraper "
-    "social sponsor sponsored subscribe tags toolbar tooltip widget widgets".split()
+    "ad adbox ads adsense adslot adunit advert advertisement adverts advertising alert banner breadcrumb "
+    "breadcrumbs comment comments consent cookie cookies copyright disclaimer discussion disqus feedback footer "
+    "form gdpr header masthead menu menubar modal nav navbar navigation navlinks newsletter notice notices overlay "
+    "pager pagination popup privacy promo promoted rail reactions recommended related reply replies respond "
+    "responses search share sharing sidebar sidebars sidenav signup skip skyscraper social sponsor sponsored "
+    "subnav subscribe tags toast toolbar tooltip topbar topnav widget widgets".split()
 )
 CONTENT_WORDS = frozenset("article articlebody body content entry main maintext post story text".split())
 # --------------------------------------------------------------------------------------
