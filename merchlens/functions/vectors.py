@@ -18,8 +18,9 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity; NULL when either vector is zero."""
-    return F.try_divide(dot(a, b), norm(a) * norm(b))
+    """Cosine similarity; 0 when either vector is zero, so such rows rank with unrelated ones."""
+    raw = F.try_divide(dot(a, b), norm(a) * norm(b))
+    return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(raw, F.lit(0.0)))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:

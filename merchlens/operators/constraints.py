@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from merchlens.functions.text import match_key
+
 
 class UnresolvedBound(ValueError):
     """A price bound was given without saying whether it is inclusive."""
@@ -64,13 +66,17 @@ def matches(
     f_max_inclusive: Column,
     f_min_rating: Column,
 ) -> Column:
-    """F01/F02 with a constraint set per row: an absent bound passes, a NULL attribute fails."""
+    """F01 with a constraint set per row: an absent bound passes, a NULL attribute fails.
+
+    A price bound that does not say whether it is inclusive matches nothing; such
+    queries belong to the gate (F07).
+    """
 
     def same(a: Column, b: Column) -> Column:
         return b.isNull() | F.coalesce(F.lower(a) == F.lower(b), F.lit(False))
 
-    low = F.when(F.coalesce(f_min_inclusive, F.lit(True)), price >= f_min_price).otherwise(price > f_min_price)
-    high = F.when(F.coalesce(f_max_inclusive, F.lit(True)), price <= f_max_price).otherwise(price < f_max_price)
+    low = F.when(f_min_inclusive, price >= f_min_price).when(~f_min_inclusive, price > f_min_price)
+    high = F.when(f_max_inclusive, price <= f_max_price).when(~f_max_inclusive, price < f_max_price)
     return (
         same(category, f_category)
         & same(brand, f_brand)
@@ -131,7 +137,7 @@ def violation_flags(
     """E14. Violation flags; a missing attribute is reported, never a violation."""
 
     def differs(a: Column, b: Column) -> Column:
-        return F.coalesce(F.lower(a) != F.lower(b), F.lit(False))
+        return F.coalesce(match_key(a) != match_key(b), F.lit(False))
 
     below = F.when(f_min_operator == ">", price <= f_min_price).otherwise(price < f_min_price)
     above = F.when(f_max_operator == "<", price >= f_max_price).otherwise(price > f_max_price)
@@ -166,6 +172,50 @@ def gate_status(
     )
 
 
+def unresolved_bounds(
+    *, f_min_price: Column, f_max_price: Column, f_min_inclusive: Column, f_max_inclusive: Column
+) -> Column:
+    """F07. A price bound without its inclusivity."""
+    return (f_min_price.isNotNull() & f_min_inclusive.isNull()) | (f_max_price.isNotNull() & f_max_inclusive.isNull())
+
+
+def matches_text(
+    *,
+    category: Column,
+    brand: Column,
+    price: Column,
+    rating: Column,
+    f_category: Column,
+    f_brand: Column,
+    f_min_price: Column,
+    f_max_price: Column,
+    f_min_operator: Column,
+    f_max_operator: Column,
+    f_min_rating: Column,
+) -> Column:
+    """F02 with operator symbols: ``>`` and ``<`` exclude the bound, anything else includes it.
+
+    Names are compared as match keys (repaired, NFC, lower case); a blank filter is none.
+    """
+
+    def same(a: Column, b: Column) -> Column:
+        key = match_key(b)
+        return (F.coalesce(F.trim(key), F.lit("")) == "") | F.coalesce(
+            match_key(F.coalesce(a, F.lit(""))) == key, F.lit(False)
+        )
+
+    exclusive_low, exclusive_high = f_min_operator.eqNullSafe(F.lit(">")), f_max_operator.eqNullSafe(F.lit("<"))
+    low = F.when(exclusive_low, price > f_min_price).otherwise(price >= f_min_price)
+    high = F.when(exclusive_high, price < f_max_price).otherwise(price <= f_max_price)
+    return (
+        same(category, f_category)
+        & same(brand, f_brand)
+        & (f_min_rating.isNull() | F.coalesce(rating >= f_min_rating, F.lit(False)))
+        & (f_min_price.isNull() | F.coalesce(low, F.lit(False)))
+        & (f_max_price.isNull() | F.coalesce(high, F.lit(False)))
+    )
+
+
 def eligible_counts(queries: DataFrame, products: DataFrame, width: float = 100.0) -> DataFrame:
     """J15 / E34. Products that satisfy each query's category and price range.
 

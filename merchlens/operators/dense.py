@@ -40,10 +40,13 @@ def _allowed(cat: pd.DataFrame, q) -> np.ndarray:
     price, rating = cat["price"].to_numpy("float64"), cat["rating"].to_numpy("float64")
     if pd.notna(q.f_min_rating):
         ok &= rating >= q.f_min_rating
-    if pd.notna(q.f_min_price):
-        ok &= (price >= q.f_min_price) if q.f_min_inclusive in (None, True) else (price > q.f_min_price)
-    if pd.notna(q.f_max_price):
-        ok &= (price <= q.f_max_price) if q.f_max_inclusive in (None, True) else (price < q.f_max_price)
+    for bound, inclusive, at, beyond in (
+        (q.f_min_price, q.f_min_inclusive, np.greater_equal, np.greater),
+        (q.f_max_price, q.f_max_inclusive, np.less_equal, np.less),
+    ):
+        if pd.notna(bound):
+            # A bound that does not say whether it is inclusive matches nothing.
+            ok &= (at if inclusive else beyond)(price, bound) if pd.notna(inclusive) else False
     return ok
 
 

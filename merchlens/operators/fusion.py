@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -125,21 +125,38 @@ def head_to_head(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     )
 
 
-def capture(methods: dict[str, DataFrame], queries: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
-    """R19. (runs with a method column, blockers: query and method without a result)."""
+def capture_status(queries: DataFrame, unresolved: Column) -> DataFrame:
+    """R19 gate. (query_id, stage, status, reason) of queries that are not captured.
+
+    ``queries``: query_id, audited, expected_status.  An unaudited query is blocked, one
+    whose pipeline stops before retrieval (F07) is skipped; a query that finds nothing is
+    neither.
+    """
+    stop = F.when(unresolved, F.lit("CLARIFICATION_REQUIRED")).otherwise(F.col("expected_status"))
+    unaudited = ~F.coalesce("audited", F.lit(False))
+    goes_on = F.coalesce(stop.isin("SUCCESS", "NO_RESULTS"), F.lit(False))
+    return queries.filter(unaudited | ~goes_on).select(
+        "query_id",
+        F.lit("capture").alias("stage"),
+        F.when(unaudited, "BLOCKED").otherwise("SKIPPED").alias("status"),
+        F.when(unaudited, F.lit("QUERY_AUDIT_INCOMPLETE"))
+        .otherwise(F.concat(F.lit("PIPELINE_STOP:"), F.coalesce(stop, F.lit("None"))))
+        .alias("reason"),
+    )
+
+
+def capture(methods: dict[str, DataFrame], depth: int) -> DataFrame:
+    """R19. Runs of all methods, to the same depth, with a method column."""
     runs = None
     for name, df in methods.items():
         part = df.filter(F.col("rank") <= depth).select(
             "query_id", F.lit(name).alias("method"), "doc_id", F.col("rank").cast("int").alias("rank"), "score"
         )
         runs = part if runs is None else runs.unionByName(part)
-    grid = queries.select("query_id").withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods])))
-    done = runs.select("query_id", "method").distinct()
-    blockers = grid.join(done, ["query_id", "method"], "left_anti").withColumn("reason", F.lit("NO_RESULTS"))
-    return runs, blockers
+    return runs
 
 
 __all__ = [
-    "capture", "head_to_head", "hybrid", "minmax", "multi_signal", "overlap", "pair_scores", "rank",
+    "capture", "capture_status", "head_to_head", "hybrid", "minmax", "multi_signal", "overlap", "pair_scores", "rank",
     "rank_shift", "reciprocal_rank_fusion", "rerank", "rrf_passthrough",
 ]

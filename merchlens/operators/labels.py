@@ -249,38 +249,53 @@ def judge(
 def adjudicate(a: DataFrame, b: DataFrame, flags: DataFrame, decisions: DataFrame) -> DataFrame:
     """E17 / J16. Agreement resolves; disagreement needs a decision; a violation caps at 1.
 
-    ``a``/``b``: query_id, doc_id, grade, other_violation; ``flags``: deterministic
-    violation flags; ``decisions``: query_id, doc_id, decision (NULL = unresolved).
+    ``a``/``b``: query_id, doc_id, grade and the violation flags the review asserts;
+    ``flags``: deterministic violation flags; ``decisions``: query_id, doc_id, decision
+    (NULL = unresolved) and the flags the decision asserts.  A flag holds if anyone who
+    took part in the resolution asserts it; a missing flag asserts nothing.  Without two
+    reviews a pair keeps the deterministic flags.
     """
     key = ["query_id", "doc_id"]
+
+    def part(df: DataFrame, value: str, name: str) -> DataFrame:
+        given = F.struct(*[(F.col(f) if f in df.columns else F.lit(None)).cast("boolean").alias(f) for f in FLAGS])
+        return df.select(*key, F.col(value).alias(name), given.alias(f"_{name}"))
+
     rows = (
         flags.select(*key, *FLAGS)
-        .join(a.select(*key, F.col("grade").alias("grade_a"), F.col("other_violation").alias("_oa")), key, "left")
-        .join(b.select(*key, F.col("grade").alias("grade_b"), F.col("other_violation").alias("_ob")), key, "left")
-        .join(decisions.select(*key, "decision"), key, "left")
+        .join(part(a, "grade", "grade_a"), key, "left")
+        .join(part(b, "grade", "grade_b"), key, "left")
+        .join(part(decisions, "decision", "decision"), key, "left")
     )
     both = F.col("grade_a").isNotNull() & F.col("grade_b").isNotNull()
     agree = both & F.col("grade_a").eqNullSafe(F.col("grade_b"))
     decided = F.coalesce(both & ~agree & F.col("decision").isin(*VALID_GRADES), F.lit(False))
-    other = F.col("other_violation") | F.coalesce("_oa", F.lit(False)) | F.coalesce("_ob", F.lit(False))
-    violated = (
-        F.col("category_violation") | F.col("brand_violation") | F.col("price_violation") | F.col("rating_violation")
-        | F.col("other_violation")
-    )
+
+    def says(side: str, f: str, taking_part: Column) -> Column:
+        return taking_part & F.coalesce(F.col(f"_{side}.{f}"), F.lit(False))
+
+    merged = {
+        f: F.coalesce(f, F.lit(False)) | says("grade_a", f, both) | says("grade_b", f, both) | says("decision", f, decided)
+        for f in FLAGS
+    }
+    violated = F.lit(False)
+    for f in FLAGS:
+        violated = violated | F.col(f)
     raw = F.when(agree, F.col("grade_a")).when(decided, F.col("decision"))
     return (
-        rows.withColumn("other_violation", other)
-        .withColumn("_raw", raw)
+        rows.withColumns({**merged, "_raw": raw, "_agree": agree, "_decided": decided, "_both": both})
         .withColumns(
             {
                 "final_grade": F.when(violated & (F.col("_raw") >= 2), 1).otherwise(F.col("_raw")).cast("int"),
                 "constraint_override": F.coalesce(violated & (F.col("_raw") >= 2), F.lit(False)),
                 "resolution": F.when(F.col("_raw").isNotNull(), "RESOLVED").otherwise("UNRESOLVED"),
-                "label_source": F.when(agree, "AGREEMENT").when(decided, "ADJUDICATION"),
-                "reason": F.when(~both, "MISSING_REVIEW").when(~agree & ~decided, "DISAGREEMENT_WITHOUT_DECISION"),
+                "label_source": F.when(F.col("_agree"), "AGREEMENT").when(F.col("_decided"), "ADJUDICATION"),
+                "reason": F.when(~F.col("_both"), "MISSING_REVIEW").when(
+                    ~F.col("_agree") & ~F.col("_decided"), "DISAGREEMENT_WITHOUT_DECISION"
+                ),
             }
         )
-        .drop("_raw", "_oa", "_ob", "decision")
+        .drop("_raw", "_agree", "_decided", "_both", "_grade_a", "_grade_b", "_decision", "decision")
     )
 
 

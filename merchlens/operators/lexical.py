@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -22,7 +22,7 @@ MAX_DF = 0.8
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """``vocab`` (term, df, idf), ``postings`` (doc, term, weight before the L2 norm)."""
+    """``vocab`` (term, df, idf), ``postings`` (doc, term, weight of unit-length documents), corpus size."""
 
     vocab: DataFrame
     postings: DataFrame
@@ -96,22 +96,21 @@ def _hot_terms(vocab: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, id_col: str, text_col: str, min_df: int = MIN_DF, max_df: float = MAX_DF) -> LexicalIndex:
-    """R01. Vocabulary and weighted postings, with nothing held on the driver."""
+    """R01. Vocabulary and unit-length postings, with nothing held on the driver.
+
+    Texts are tokenized once: the counts are written and both the vocabulary and the
+    postings read them.  Norms do not depend on a query, so they are divided out here.
+    """
     size = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    counts = term_counts(docs, id_col, text_col)
-    # The vocabulary is read by every later step, so it is made once.
+    counts = cut_lineage(term_counts(docs, id_col, text_col))
     vocab = cut_lineage(vocabulary(counts, size, min_df, max_df))
     hot = _hot_terms(vocab)
     weighted = salted_join(counts, vocab, "term", hot, "doc_id").select(
-        "doc_id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("weight")
+        "doc_id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w")
     )
-    return LexicalIndex(vocab, weighted, size)
-
-
-def normalized_postings(index: LexicalIndex) -> DataFrame:
-    """R01. Postings divided by the document norm; a window group is one document."""
-    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(W.partitionBy("doc_id")))
-    return index.postings.select("doc_id", "term", (F.col("weight") / norm).alias("weight"))
+    # A window group is one document.
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("doc_id")))
+    return LexicalIndex(vocab, weighted.select("doc_id", "term", (F.col("w") / norm).alias("weight")), size)
 
 
 def query_vectors(queries: DataFrame, id_col: str, text_col: str, vocab: DataFrame) -> DataFrame:
@@ -124,29 +123,23 @@ def query_vectors(queries: DataFrame, id_col: str, text_col: str, vocab: DataFra
     return weighted.select("query_id", "term", (F.col("w") / norm).alias("q_weight"))
 
 
-def scores(index: LexicalIndex, qvec: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+def scores(
+    index: LexicalIndex, qvec: DataFrame, attributes: DataFrame | None = None, eligible: Column | None = None
+) -> DataFrame:
     """R03 / J09. Positive cosine per (query_id, doc_id).
 
-    One pass over the postings yields both the document norm and the entries of
-    query terms; only those entries are joined with the queries.  ``allowed``
-    (query_id, doc_id) filters before scoring, which leaves ranks unchanged.
+    Postings meet the query terms only; a batch of queries is small and Spark
+    broadcasts it by its size, so the postings stay where they are.  With ``attributes``
+    (doc_id and columns), pairs that fail ``eligible`` go before anything is summed,
+    which leaves the scores of the others unchanged; ``eligible`` may also read
+    columns that ``qvec`` carries.
     """
-    qvec = cut_lineage(qvec)
-    wanted = qvec.select("term").distinct().withColumn("wanted", F.lit(True))
-    marked = index.postings.join(wanted, "term", "left")
-    per_doc = marked.groupBy("doc_id").agg(
-        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"),
-        F.collect_list(F.when(F.col("wanted"), F.struct("term", "weight"))).alias("hits"),
-    )
-    hits = per_doc.select(
-        "doc_id", F.explode_outer("hits").alias("h"), "norm"
-    ).filter(F.col("h").isNotNull()).select("doc_id", F.col("h.term").alias("term"), (F.col("h.weight") / F.col("norm")).alias("d_weight"))
-    pairs = salted_join(hits, qvec, "term", _hot_terms(index.vocab), "doc_id")
-    if allowed is not None:
-        pairs = pairs.join(allowed, ["query_id", "doc_id"], "left_semi")
+    pairs = salted_join(index.postings, qvec, "term", _hot_terms(index.vocab), "doc_id")
+    if attributes is not None:
+        pairs = pairs.join(attributes, "doc_id").filter(eligible)
     return (
         pairs.groupBy("query_id", "doc_id")
-        .agg(F.sum(F.col("q_weight") * F.col("d_weight")).alias("score"))
+        .agg(F.sum(F.col("q_weight") * F.col("weight")).alias("score"))
         .filter(F.col("score") > 0)
     )
 
@@ -207,13 +200,13 @@ def statistics(index: LexicalIndex) -> DataFrame:
     )
 
 
-def scenario_report(docs: DataFrame, queries: DataFrame, **cols) -> DataFrame:
-    """R04. Hits and best match per query, queries without a hit included."""
-    top = search(docs, queries, k=5, **cols)
+def scenario_report(index: LexicalIndex, queries: DataFrame, query_id: str, query_text: str) -> DataFrame:
+    """R04. Hits and best match per query on a stored index, queries without a hit included."""
+    top = top_k(scores(index, query_vectors(queries, query_id, query_text, index.vocab)), 5)
     agg = top.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("hits"),
         F.max("score").alias("best_score"),
         F.min_by("doc_id", "rank").alias("best_doc"),
     )
-    ids = queries.select(F.col(cols["query_id"]).alias("query_id"))
+    ids = queries.select(F.col(query_id).alias("query_id"))
     return ids.join(agg, "query_id", "left").fillna(0, ["hits"])

@@ -154,8 +154,18 @@ def consistency(df: DataFrame, key: str, valid: Column, answer: Column) -> DataF
     )
 
 
+def unmatched_cases(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """E31. (key, side) of cases that only one of two systems has."""
+    a, b = left.select(key).distinct(), right.select(key).distinct()
+    only = lambda x, y, side: x.join(y, key, "left_anti").withColumn("side", F.lit(side))
+    return only(a, b, "left").unionByName(only(b, a, "right"))
+
+
 def paired_outcomes(left: DataFrame, right: DataFrame, key: str, metric: str) -> DataFrame:
-    """E31. Per case difference right - left; both sides must hold the case."""
+    """E31. Per case difference right - left; systems that do not share all cases are refused."""
+    wrong = unmatched_cases(left, right, key).groupBy("side").count().collect()
+    if wrong:
+        raise ValueError(f"unmatched cases: {[(r['side'], r['count']) for r in wrong]}")
     return left.select(key, F.col(metric).cast("double").alias("l")).join(
         right.select(key, F.col(metric).cast("double").alias("r")), key
     ).select(key, (F.col("r") - F.col("l")).alias("delta"))

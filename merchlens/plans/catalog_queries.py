@@ -619,21 +619,56 @@ def catalog_contract(spark, d):
     return readers.catalog_contract(load(spark, d, "documents"), "doc_id", "text")
 
 
-@query(
-    "knowledge_base",
-    "SELECT cast(p_partkey AS string) AS product_id, p_name AS product_name, p_type AS category, p_brand AS brand, cast(p_retailprice AS decimal(10,2)) AS discounted_price, len(embedding) AS dim, 'given-64' AS embedding_model FROM part JOIN embeddings ON p_partkey = vec_id",
-)
-def knowledge_base(spark, d):
-    """Vectors attached by key, never by position."""
+# A vector for every part: the given ones, repeated.
+_PART_VECTORS = "(SELECT p_partkey, embedding FROM part JOIN embeddings ON vec_id = p_partkey % (SELECT count(*) FROM embeddings))"
+
+
+def part_vectors(spark, d):
+    vectors = load(spark, d, "embeddings")
+    turn = F.pmod(F.col("p_partkey"), F.lit(vectors.count()))
+    return load(spark, d, "part").join(vectors, turn == F.col("vec_id")).select(
+        F.col("p_partkey").cast("string").alias("product_id"), "embedding"
+    )
+
+
+KB_COLUMNS = (
+    "product_id", "product_name", "category", "brand", "retail_price", "discounted_price", "rating", "retrieval_text",
+    "embedding", "embedding_model",
+)
+
+
+def knowledge_base_rows(spark, d):
+    """S10, S11 over all products: shaped for load, vectors attached by key."""
+    text = load(spark, d, "products").select("product_id", "rating", "retrieval_text")
     products = load(spark, d, "part").select(
         F.col("p_partkey").cast("string").alias("product_id"),
         F.concat(F.lit(" "), "p_name").alias("product_name"),
         F.col("p_type").alias("category"),
         F.col("p_brand").alias("brand"),
+        (F.col("p_retailprice") * 2).alias("retail_price"),
         F.col("p_retailprice").alias("discounted_price"),
     )
-    vectors = load(spark, d, "embeddings").select(
-        F.col("vec_id").cast("string").alias("product_id"), "embedding"
-    )
-    kb = sinks.assemble_knowledge_base(sinks.shape_for_load(products), vectors, "given-64")
-    return kb.withColumn("dim", F.size("embedding")).drop("embedding")
+    shaped = sinks.shape_for_load(products.join(text, "product_id"))
+    return sinks.assemble_knowledge_base(shaped, part_vectors(spark, d), "given-64", KB_COLUMNS)
+
+
+@query(
+    "knowledge_base",
+    f"""SELECT product_id, p_name AS product_name, p_type AS category, p_brand AS brand, cast(p_retailprice * 2 AS decimal(10,2)) AS retail_price, cast(p_retailprice AS decimal(10,2)) AS discounted_price,
+        cast(rating AS decimal(3,2)) AS rating, len(v.embedding) AS dim, v.embedding[1] AS first, 'given-64' AS embedding_model FROM part JOIN {{products}} t ON product_id = cast(p_partkey AS string) JOIN {_PART_VECTORS} v USING (p_partkey)""",
+)
+def knowledge_base(spark, d):
+    """Every product, vectors attached by key, never by position."""
+    kb = knowledge_base_rows(spark, d).drop("retrieval_text")
+    return kb.withColumns({"dim": F.size("embedding"), "first": F.get("embedding", F.lit(0))}).drop("embedding")
+
+
+@query(
+    "unmatched_vectors",
+    "SELECT coalesce(cast(p_partkey AS string), cast(vec_id AS string)) AS product_id, CASE WHEN p_partkey IS NULL THEN 'NO_PRODUCT' ELSE 'NO_VECTOR' END AS problem FROM part FULL OUTER JOIN embeddings ON p_partkey = vec_id WHERE p_partkey IS NULL OR vec_id IS NULL",
+)
+def unmatched_vectors(spark, d):
+    """What an assembly of the parts with the bare vectors refuses."""
+    products = load(spark, d, "part").select(F.col("p_partkey").cast("string").alias("product_id"))
+    vectors = load(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("product_id"), "embedding")
+    return sinks.unmatched_vectors(products, vectors)

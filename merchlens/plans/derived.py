@@ -94,15 +94,19 @@ SELECT d.doc_id, d.text, d.lang AS category, d.source AS brand, cast(d.n_chars A
 FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id
 """
 
-# Batch of text queries with hard constraints and, by id, a query vector.
+# Batch of text queries with hard constraints and, by id, a query vector.  Some bounds do
+# not say whether they are inclusive, some queries stop before retrieval or were not audited.
 SQL["search_queries"] = """
 SELECT b.item_id AS query_id, b.text, e.embedding,
        CASE WHEN b.item_id % 5 = 1 THEN 'EN' WHEN b.item_id % 5 = 2 THEN 'fr' END AS f_category,
        CASE WHEN b.item_id % 7 = 3 THEN 'src1' END AS f_brand,
        cast(CASE WHEN b.item_id % 3 = 1 THEN 200 END AS double) AS f_min_price,
        cast(CASE WHEN b.item_id % 3 = 2 THEN 6000 END AS double) AS f_max_price,
-       (b.item_id % 2 = 0) AS f_min_inclusive, (b.item_id % 2 = 1) AS f_max_inclusive,
-       cast(CASE WHEN b.item_id % 11 = 4 THEN 4 END AS double) AS f_min_rating
+       CASE WHEN b.item_id % 19 = 4 THEN NULL ELSE b.item_id % 2 = 0 END AS f_min_inclusive,
+       CASE WHEN b.item_id % 19 = 4 THEN NULL ELSE b.item_id % 2 = 1 END AS f_max_inclusive,
+       cast(CASE WHEN b.item_id % 11 = 4 THEN 4 END AS double) AS f_min_rating,
+       b.item_id % 17 <> 3 AS audited,
+       CASE WHEN b.item_id % 13 = 5 THEN 'UNSUPPORTED_INTENT' WHEN b.item_id % 13 = 7 THEN 'NO_RESULTS' ELSE 'SUCCESS' END AS expected_status
 FROM {benchmark} b LEFT JOIN {embeddings} e ON b.item_id = e.vec_id
 """
 

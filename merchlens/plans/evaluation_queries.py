@@ -154,19 +154,37 @@ def bootstrap_ndcg(spark, d):
 
 @query(
     "paired_bootstrap",
-    f"""{EVAL_CTE}, pv AS (SELECT 'tfidf>dense' AS pair, cast(a.query_id AS string) AS key, b.ndcg - a.ndcg AS v FROM cm a JOIN cm b USING (query_id) WHERE a.method='tfidf' AND b.method='dense' AND a.k=5 AND b.k=5),
+    f"""{EVAL_CTE}, five AS (SELECT * FROM cm WHERE k = 5), pv AS (SELECT 'tfidf>dense' AS pair, cast(query_id AS string) AS key, coalesce(b.ndcg,0) - coalesce(a.ndcg,0) AS v FROM (SELECT DISTINCT query_id FROM runs)
+          LEFT JOIN (SELECT * FROM five WHERE method='tfidf') a USING (query_id) LEFT JOIN (SELECT * FROM five WHERE method='dense') b USING (query_id)),
         pb AS ({_boot_sql('SELECT * FROM pv', 'pair', 82, 2000, 50, 1949)})
         SELECT pair, n, ci_lower, ci_upper, round((SELECT avg(v) FROM pv),6) AS effect, (SELECT count(*) FROM pv WHERE v>0) AS wins, (SELECT count(*) FROM pv WHERE v<0) AS losses, (SELECT count(*) FROM pv WHERE v=0) AS ties FROM pb""",
 )
 def paired_bootstrap(spark, d):
-    """E31."""
+    """A system without a result for a captured query scores 0 there."""
     five = _cutoffs(spark, d).filter("k = 5")
-    deltas = sc.paired_outcomes(five.filter("method = 'tfidf'"), five.filter("method = 'dense'"), "query_id", "ndcg")
+    cases = frozen_runs(spark, d).select("query_id").distinct()
+
+    def system(name):
+        own = five.filter(F.col("method") == name).select("query_id", "ndcg")
+        return cases.join(own, "query_id", "left").fillna(0.0, ["ndcg"])
+
+    deltas = sc.paired_outcomes(system("tfidf"), system("dense"), "query_id", "ndcg")
     tagged = deltas.withColumn("pair", F.lit("tfidf>dense"))
     boot = ev.bootstrap(tagged, ["pair"], "query_id", "delta", samples=2000, seed=82, upper_shift=1)
     return boot.drop("mean").join(sc.win_loss(deltas))
 
 
+@query(
+    "unmatched_cases",
+    f"""{RUNS_CTE}, t AS (SELECT DISTINCT query_id FROM runs WHERE method='tfidf'), e AS (SELECT DISTINCT query_id FROM runs WHERE method='dense')
+        SELECT query_id, 'left' AS side FROM t WHERE query_id NOT IN (SELECT query_id FROM e) UNION ALL SELECT query_id, 'right' FROM e WHERE query_id NOT IN (SELECT query_id FROM t)""",
+)
+def unmatched_cases(spark, d):
+    """Queries that only the lexical or only the dense runs answer."""
+    runs = frozen_runs(spark, d)
+    return sc.unmatched_cases(runs.filter("method = 'tfidf'"), runs.filter("method = 'dense'"), "query_id")
+
+
 _RRX = """SELECT query_id, doc_id, rank, score, coalesce((dm - dense_rank + 1)*1.0/dm, 0)/2 + coalesce((lm - lexical_rank + 1)*1.0/lm, 0)/2 AS ms
   FROM (SELECT *, max(dense_rank) OVER (PARTITION BY query_id) AS dm, max(lexical_rank) OVER (PARTITION BY query_id) AS lm FROM hyb)"""
 
@@ -291,7 +309,7 @@ _P1, _P2 = "string_split(b.text,' ')[1] || ' ' || string_split(b.text,' ')[2]",
 _JUDGES = f"""{_FLAGGED}, jb AS MATERIALIZED (SELECT fl.*, {_CORE} AS core, {_pw(_P1)} AS w1, {_pw(_P2)} AS w2, lower(d.source || ' ' || d.lang || ' ' || d.text) AS body FROM fl JOIN benchmark b ON b.item_id = query_id JOIN documents d USING (doc_id)),
  jr AS (SELECT *, len(list_filter(core, lambda w: contains(body, w))) * 1.0 / greatest(1, len(core)) AS ratio,
    len(list_filter(w1, lambda w: contains(body, w))) AS h1, len(list_filter(w2, lambda w: contains(body, w))) AS h2 FROM jb),
- jd AS MATERIALIZED (SELECT query_id, doc_id, category_violation OR brand_violation OR price_violation OR rating_violation AS violated, category_violation,
+ jd AS MATERIALIZED (SELECT query_id, doc_id, category_violation, brand_violation, price_violation, rating_violation,
    CASE WHEN category_violation THEN 0 WHEN price_violation OR brand_violation OR rating_violation THEN 1 WHEN ratio < 0.3 THEN 1 WHEN h1 = len(w1) AND h2 = len(w2) AND ratio >= 0.7 THEN 3 ELSE 2 END AS grade_a,
    CASE WHEN category_violation THEN 0 WHEN price_violation OR brand_violation OR rating_violation THEN 1 WHEN ratio < 0.35 THEN 1 WHEN (len(w1) = 0 OR h1 > 0) AND (len(w2) = 0 OR h2 > 0) AND ratio >= 0.65 THEN 3 ELSE 2 END AS grade_b FROM jr)"""
 
@@ -317,8 +335,18 @@ def _judged(spark, d):
     )
 
 
+# What reviews and decisions assert beyond the rules, by id.
+_ASSERTED = {
+    "a": {"price_violation": "doc_id % 7 = 1"},
+    "b": {"brand_violation": "doc_id % 11 = 2"},
+    "decision": {"rating_violation": "doc_id % 5 = 3"},
+}
+
+
 def _side(rows, slot):
-    return rows.select("query_id", "doc_id", F.col(f"grade_{slot}").alias("grade"), F.col(f"other_{slot}").alias("other_violation"))
+    said = [F.expr(c).alias(f) for f, c in _ASSERTED[slot].items()]
+    grade, other = F.col(f"grade_{slot}").alias("grade"), F.col(f"other_{slot}").alias("other_violation")
+    return rows.select("query_id", "doc_id", grade, other, *said)
 
 
 @query("rule_judges", f"{_JUDGES} SELECT query_id, doc_id, grade_a, grade_b FROM jd")
@@ -334,9 +362,12 @@ def disagreement_tasks(spark, d):
     return lb.disagreement_tasks(_side(rows, "a"), _side(rows, "b"))
 
 
-_ADJ = f"""{_JUDGES}, ad AS MATERIALIZED (SELECT query_id, doc_id, grade_a, grade_b, CASE WHEN raw >= 2 AND violated THEN 1 ELSE raw END AS final_grade, coalesce(raw >= 2 AND violated, false) AS constraint_override,
+_ADJ = f"""{_JUDGES}, ad AS MATERIALIZED (SELECT query_id, doc_id, grade_a, grade_b, category_violation, bv AS brand_violation, pv AS price_violation, rv AS rating_violation,
+   CASE WHEN raw >= 2 AND violated THEN 1 ELSE raw END AS final_grade, coalesce(raw >= 2 AND violated, false) AS constraint_override,
    CASE WHEN raw IS NULL THEN 'UNRESOLVED' ELSE 'RESOLVED' END AS resolution, CASE WHEN grade_a = grade_b THEN 'AGREEMENT' WHEN raw IS NOT NULL THEN 'ADJUDICATION' END AS label_source
-   FROM (SELECT *, CASE WHEN grade_a = grade_b THEN grade_a WHEN doc_id % 3 > 0 THEN least(grade_a, grade_b) END AS raw FROM jd))"""
+   FROM (SELECT *, category_violation OR bv OR pv OR rv AS violated FROM (
+     SELECT *, CASE WHEN grade_a = grade_b THEN grade_a WHEN doc_id % 3 > 0 THEN least(grade_a, grade_b) END AS raw, brand_violation OR doc_id % 11 = 2 AS bv, price_violation OR doc_id % 7 = 1 AS pv,
+       rating_violation OR (grade_a <> grade_b AND doc_id % 3 > 0 AND doc_id % 5 = 3) AS rv FROM jd)))"""
 
 
 def _adjudicated(spark, d):
@@ -344,15 +375,17 @@ def _adjudicated(spark, d):
     decisions = rows.select(
         "query_id", "doc_id",
         F.when(F.col("doc_id") % 3 > 0, F.least("grade_a", "grade_b")).alias("decision"),
+        *[F.expr(c).alias(f) for f, c in _ASSERTED["decision"].items()],
     )
     return lb.adjudicate(_side(rows, "a"), _side(rows, "b"), rows, decisions)
 
 
 @query("adjudicate", f"{_ADJ} SELECT * FROM ad")
 def adjudicate(spark, d):
-    """Two of three disagreements have a decision (the lower grade)."""
+    """Two of three disagreements have a decision (the lower grade); reviews and decisions assert flags."""
     return _adjudicated(spark, d).select(
-        "query_id", "doc_id", "grade_a", "grade_b", "final_grade", "constraint_override", "resolution", "label_source"
+        "query_id", "doc_id", "grade_a", "grade_b", "final_grade", "constraint_override", "resolution", "label_source",
+        "category_violation", "brand_violation", "price_violation", "rating_violation",
     )
 
 

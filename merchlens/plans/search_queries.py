@@ -10,7 +10,7 @@ from merchlens.operators import fusion as fu
 from merchlens.operators import lexical as lx
 from merchlens.plans.derived import load
 from merchlens.plans.registry import query
-from merchlens.session import cut_lineage
+from merchlens.sources import sinks
 
 # --------------------------------------------------------------- twins: lexical
 _TOK = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
@@ -33,15 +33,19 @@ LEX_CTE = f"""WITH vocab AS MATERIALIZED ({_VOCAB}), wts AS MATERIALIZED ({_WEIG
 # ---------------------------------------------------------------- twins: dense
 _COS = "list_dot_product(cast({0} AS DOUBLE[]), cast({1} AS DOUBLE[])) / (sqrt(list_dot_product(cast({0} AS DOUBLE[]), cast({0} AS DOUBLE[]))) * sqrt(list_dot_product(cast({1} AS DOUBLE[]), cast({1} AS DOUBLE[]))))"
 _OK = """(f_category IS NULL OR lower(category) = lower(f_category)) AND (f_brand IS NULL OR lower(brand) = lower(f_brand)) AND (f_min_rating IS NULL OR coalesce(rating >= f_min_rating, false))
- AND (f_min_price IS NULL OR CASE WHEN f_min_inclusive THEN price >= f_min_price ELSE price > f_min_price END) AND (f_max_price IS NULL OR CASE WHEN f_max_inclusive THEN price <= f_max_price ELSE price < f_max_price END)"""
-DENSE_CTE = f"""qs AS (SELECT * FROM {{search_queries}}), prods AS (SELECT p.*, e.embedding AS vec FROM {{doc_products}} p LEFT JOIN embeddings e ON p.doc_id = e.vec_id),
- den AS MATERIALIZED (SELECT query_id, p.doc_id, {_COS.format('qs.embedding', 'p.vec')} AS score, {_OK} AS ok FROM qs JOIN prods p ON true WHERE qs.embedding IS NOT NULL AND p.vec IS NOT NULL),
+ AND (f_min_price IS NULL OR coalesce(CASE WHEN f_min_inclusive THEN price >= f_min_price WHEN NOT f_min_inclusive THEN price > f_min_price END, false))
+ AND (f_max_price IS NULL OR coalesce(CASE WHEN f_max_inclusive THEN price <= f_max_price WHEN NOT f_max_inclusive THEN price < f_max_price END, false))"""
+# Every vector is searched; only products of the catalog are candidates of hybrid search and runs.
+DENSE_CTE = f"""qs AS (SELECT * FROM {{search_queries}}), prods AS MATERIALIZED (SELECT * FROM {{doc_products}}),
+ vecs AS (SELECT e.vec_id AS doc_id, e.embedding AS vec, p.category, p.brand, p.price, p.rating, p.doc_id IS NOT NULL AS known FROM embeddings e LEFT JOIN prods p ON p.doc_id = e.vec_id),
+ den AS MATERIALIZED (SELECT query_id, p.doc_id, known, {_COS.format('qs.embedding', 'p.vec')} AS score, coalesce({_OK}, false) AS ok FROM qs JOIN vecs p ON true WHERE qs.embedding IS NOT NULL AND p.vec IS NOT NULL),
  denr AS MATERIALIZED (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score,8) DESC, doc_id) AS rank FROM den),
- denf AS MATERIALIZED (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score,8) DESC, doc_id) AS rank FROM den WHERE ok)"""
+ denf AS MATERIALIZED (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score,8) DESC, doc_id) AS rank FROM den WHERE ok),
+ denk AS MATERIALIZED (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score,8) DESC, doc_id) AS rank FROM den WHERE ok AND known)"""
 HYBRID_CTE = f"""{LEX_CTE}, {DENSE_CTE},
- lexf AS (SELECT l.query_id, l.doc_id, l.score, row_number() OVER (PARTITION BY l.query_id ORDER BY round(l.score,8) DESC, l.doc_id) AS rank FROM lex l JOIN qs USING (query_id) JOIN prods p ON p.doc_id = l.doc_id WHERE {_OK}),
+ lexf AS MATERIALIZED (SELECT l.query_id, l.doc_id, l.score, row_number() OVER (PARTITION BY l.query_id ORDER BY round(l.score,8) DESC, l.doc_id) AS rank FROM lex l JOIN qs USING (query_id) JOIN prods p ON p.doc_id = l.doc_id WHERE {_OK}),
  fused AS (SELECT query_id, doc_id, sum(1.0/(60+rank)) AS score, max(CASE WHEN b='d' THEN rank END) AS dense_rank, max(CASE WHEN b='l' THEN rank END) AS lexical_rank
-   FROM (SELECT query_id, doc_id, rank, 'd' AS b FROM denf WHERE rank <= 30 UNION ALL SELECT query_id, doc_id, rank, 'l' AS b FROM lexf) GROUP BY query_id, doc_id),
+   FROM (SELECT query_id, doc_id, rank, 'd' AS b FROM denk WHERE rank <= 30 UNION ALL SELECT query_id, doc_id, rank, 'l' AS b FROM lexf) GROUP BY query_id, doc_id),
  hyb AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,12) DESC, doc_id) AS rank FROM fused) WHERE rank <= 10)"""
 LIMIT = 10
 
@@ -54,41 +58,47 @@ def lexical_index(spark, d) -> lx.LexicalIndex:
     return lx.fit(_docs(spark, d), "doc_id", "text")
 
 
-_INDEXES: dict[tuple, lx.LexicalIndex] = {}
-
-
 def stored_index(spark, d) -> lx.LexicalIndex:
-    """The fitted index with its postings written once per application, then searched."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _INDEXES:
+    """The index as a stored artifact of the documents, made where it is missing."""
+
+    def make(path):
         index = lexical_index(spark, d)
-        _INDEXES[key] = lx.LexicalIndex(index.vocab, cut_lineage(index.postings), index.corpus_size)
-    return _INDEXES[key]
+        sinks.save_index(index.postings, index.vocab, index.corpus_size, path)
+
+    t = sinks.stored(spark, d, "lexical-index", ["documents"], make)
+    return lx.LexicalIndex(t["vocab"], t["postings"], t["size"])
+
+
+def _filters(spark, d):
+    return load(spark, d, "search_queries").drop("text", "embedding", "audited", "expected_status")
 
 
-def lexical_scores(spark, d, allowed=None):
+def lexical_scores(spark, d, constrained=False):
+    """R03; ``constrained`` drops pairs that fail the query's constraints before summing."""
     index = stored_index(spark, d)
-    return lx.scores(index, lx.query_vectors(load(spark, d, "benchmark"), "item_id", "text", index.vocab), allowed)
+    qvec = lx.query_vectors(load(spark, d, "benchmark"), "item_id", "text", index.vocab)
+    if not constrained:
+        return lx.scores(index, qvec)
+    products = load(spark, d, "doc_products").drop("text")
+    return lx.scores(index, qvec.join(_filters(spark, d), "query_id"), products, cs.matches_columns())
 
 
 def catalog(spark, d):
-    """Document products with their vectors, where they have one."""
+    """Every vector, with the attributes of its product where there is one."""
     vectors = load(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return load(spark, d, "doc_products").drop("text").join(vectors, "doc_id", "left")
+    return vectors.join(load(spark, d, "doc_products").drop("text"), "doc_id", "left")
+
+
+def products_with_vectors(spark, d):
+    vectors = load(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return load(spark, d, "doc_products").drop("text").join(vectors, "doc_id")
 
 
 def hybrid_candidates(spark, d, limit=LIMIT):
     """R08 over the whole batch: constraints first, then ranks, then fusion."""
-    products, queries = catalog(spark, d), load(spark, d, "search_queries")
-    pool = dn.exact_top_k(products, queries, fu.DENSE_POOL * limit, filtered=True)
-    lex = (
-        lexical_scores(spark, d)
-        .join(products.drop("embedding"), "doc_id")
-        .join(queries.drop("text", "embedding"), "query_id")
-        .filter(cs.matches_columns())
-        .select("query_id", "doc_id", "score")
-    )
-    return fu.hybrid(pool, lex, limit)
+    queries = load(spark, d, "search_queries")
+    pool = dn.exact_top_k(products_with_vectors(spark, d), queries, fu.DENSE_POOL * limit, filtered=True)
+    return fu.hybrid(pool, lexical_scores(spark, d, constrained=True), limit)
 
 
 @query("lexical_fit_vocab", f"SELECT term, df, round(idf,6) AS idf FROM ({_VOCAB})")
@@ -103,8 +113,7 @@ def lexical_fit_vocab(spark, d):
 )
 def lexical_postings(spark, d):
     """R01 normalized weights, summarised per document."""
-    postings = lx.normalized_postings(lexical_index(spark, d))
-    return postings.groupBy("doc_id").agg(
+    return stored_index(spark, d).postings.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("terms"),
         F.round(F.sum("weight"), 5).alias("weight_sum"),
         F.round(F.max("weight"), 6).alias("top_weight"),
@@ -114,7 +123,7 @@ def lexical_postings(spark, d):
 @query("query_vectors", f"{LEX_CTE} SELECT query_id, term, round(w/n,6) AS q_weight FROM qw JOIN qn USING (query_id)")
 def query_vectors(spark, d):
     """R02."""
-    vocab = lexical_index(spark, d).vocab
+    vocab = stored_index(spark, d).vocab
     out = lx.query_vectors(load(spark, d, "benchmark"), "item_id", "text", vocab)
     return out.withColumn("q_weight", F.round("q_weight", 6))
 
@@ -132,7 +141,7 @@ def lexical_topk(spark, d):
 )
 def lexical_stats(spark, d):
     """A25."""
-    return lx.statistics(lexical_index(spark, d))
+    return lx.statistics(stored_index(spark, d))
 
 
 @query(
@@ -141,10 +150,7 @@ def lexical_stats(spark, d):
 )
 def lexical_scenarios(spark, d):
     """R04."""
-    out = lx.scenario_report(
-        _docs(spark, d), load(spark, d, "benchmark"),
-        doc_id="doc_id", doc_text="text", query_id="item_id", query_text="text",
-    )
+    out = lx.scenario_report(stored_index(spark, d), load(spark, d, "benchmark"), "item_id", "text")
     return out.withColumn("best_score", F.round("best_score", 6))
 
 
@@ -201,7 +207,7 @@ def filtered_underfill(spark, d):
     products, queries = catalog(spark, d), load(spark, d, "search_queries")
     filtered = dn.exact_top_k(products, queries, 10, filtered=True)
     plain = dn.exact_top_k(products, queries, 10)
-    bare = queries.drop("text", "embedding")
+    bare = _filters(spark, d)
     allowed = (
         plain.join(products.drop("embedding"), "doc_id").join(bare, "query_id").filter(cs.matches_columns())
         .select("query_id", "doc_id")
@@ -372,36 +378,42 @@ def head_to_head(spark, d):
     return fu.head_to_head(lex, den, 10)
 
 
+def _not_captured(spark, d):
+    names = ("f_min_price", "f_max_price", "f_min_inclusive", "f_max_inclusive")
+    return fu.capture_status(
+        load(spark, d, "search_queries"), cs.unresolved_bounds(**{n: F.col(n) for n in names})
+    )
+
+
 def capture_runs(spark, d, depth=20):
-    """Lexical, dense and hybrid runs with the methods that found nothing."""
-    queries = load(spark, d, "search_queries")
+    """Constrained lexical, dense and hybrid runs of the queries that pass the gate."""
+    queries = load(spark, d, "search_queries").join(_not_captured(spark, d), "query_id", "left_anti")
+    dense = dn.exact_top_k(products_with_vectors(spark, d), queries, depth, filtered=True)
     methods = {
-        "tfidf": lx.top_k(lexical_scores(spark, d), depth),
-        "dense": dn.exact_top_k(catalog(spark, d), queries, depth),
+        "tfidf": lx.top_k(lexical_scores(spark, d, constrained=True), depth),
+        "dense": dense,
         "hybrid": frozen_candidates(spark, d),
     }
-    return fu.capture(methods, queries, depth)
+    return fu.capture(methods, depth).join(queries.select("query_id"), "query_id", "left_semi")
 
 
-RUNS_CTE = f"""{HYBRID_CTE}, runs AS MATERIALIZED (SELECT query_id, 'tfidf' AS method, doc_id, rank, score FROM lexr WHERE rank <= 20 UNION ALL SELECT query_id, 'dense', doc_id, rank, score FROM denr WHERE rank <= 20
-   UNION ALL SELECT query_id, 'hybrid', doc_id, rank, score FROM hyb)"""
+_STOPS = """(SELECT query_id, CASE WHEN audited THEN 'SKIPPED' ELSE 'BLOCKED' END AS status, CASE WHEN NOT audited THEN 'QUERY_AUDIT_INCOMPLETE' ELSE 'PIPELINE_STOP:' || stop END AS reason
+   FROM (SELECT *, CASE WHEN (f_min_price IS NOT NULL AND f_min_inclusive IS NULL) OR (f_max_price IS NOT NULL AND f_max_inclusive IS NULL) THEN 'CLARIFICATION_REQUIRED' ELSE expected_status END AS stop FROM qs)
+   WHERE NOT audited OR stop NOT IN ('SUCCESS', 'NO_RESULTS'))"""
+RUNS_CTE = f"""{HYBRID_CTE}, gone AS MATERIALIZED {_STOPS}, runs AS MATERIALIZED (SELECT * FROM (SELECT query_id, 'tfidf' AS method, doc_id, rank, score FROM lexf WHERE rank <= 20 UNION ALL SELECT query_id, 'dense', doc_id, rank, score FROM denk WHERE rank <= 20
+   UNION ALL SELECT query_id, 'hybrid', doc_id, rank, score FROM hyb) WHERE query_id NOT IN (SELECT query_id FROM gone))"""
 
 
 @query("captured_runs", f"{RUNS_CTE} SELECT query_id, method, doc_id, cast(rank AS INT) AS rank, round(score,6) AS score FROM runs")
 def captured_runs(spark, d):
     """R19."""
-    runs, _ = capture_runs(spark, d)
-    return runs.withColumn("score", F.round("score", 6))
+    return frozen_runs(spark, d).withColumn("score", F.round("score", 6))
 
 
-@query(
-    "capture_blockers",
-    f"{RUNS_CTE} SELECT query_id, method, 'NO_RESULTS' AS reason FROM (SELECT query_id, unnest(['tfidf','dense','hybrid']) AS method FROM qs) WHERE (query_id, method) NOT IN (SELECT (query_id, method) FROM runs)",
-)
+@query("capture_blockers", f"{RUNS_CTE} SELECT query_id, 'capture' AS stage, status, reason FROM gone")
 def capture_blockers(spark, d):
-    """R19 blockers."""
-    _, blockers = capture_runs(spark, d)
-    return blockers
+    """Unaudited queries and those that stop before retrieval."""
+    return _not_captured(spark, d)
 
 
 @query(
@@ -414,29 +426,24 @@ def candidate_verification(spark, d):
     rows = (
         frozen_candidates(spark, d)
         .join(load(spark, d, "doc_products").drop("text"), "doc_id")
-        .join(load(spark, d, "search_queries").drop("text", "embedding"), "query_id")
+        .join(_filters(spark, d), "query_id")
     )
     return cs.verify_candidates(rows, ~cs.matches_columns(), ~F.isnan("score") & F.col("rank").isNotNull())
 
 
-_FROZEN: dict[tuple, object] = {}
-
-
-def _frozen(kind, spark, d, make):
-    key = (spark.sparkContext.applicationId, kind, d)
-    if key not in _FROZEN:
-        _FROZEN[key] = cut_lineage(make(spark, d))
-    return _FROZEN[key]
+_SEARCHED = ["documents", "benchmark", "embeddings", "labels"]
 
 
 def frozen_runs(spark, d):
-    """The captured runs as a frozen artifact: made once per application, then read.
+    """The captured runs as a stored artifact.
 
     Evaluation reads stored runs, as the reference does, instead of searching again.
     """
-    return _frozen("runs", spark, d, lambda s, p: capture_runs(s, p)[0])
+    make = lambda path: sinks.save_tables({"runs": capture_runs(spark, d)}, path)
+    return sinks.stored(spark, d, "runs", _SEARCHED, make)["runs"]
 
 
 def frozen_candidates(spark, d):
-    """The fused candidates every reranker is compared on."""
-    return _frozen("hybrid", spark, d, hybrid_candidates)
+    """The fused candidates every reranker is compared on, stored once."""
+    make = lambda path: sinks.save_tables({"candidates": hybrid_candidates(spark, d)}, path)
+    return sinks.stored(spark, d, "hybrid", _SEARCHED, make)["candidates"]

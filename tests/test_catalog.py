@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from merchlens.operators import catalog as cat
 from merchlens.operators import lexical as lx
+from merchlens import session
 from merchlens.sources import readers, sinks
 
 SCHEMA = (
@@ -100,10 +101,76 @@ def test_publish_and_jsonl(spark, tmp_path):
 def test_index_round_trip(spark, tmp_path):
     docs = spark.createDataFrame([(1, "red mug"), (2, "red cup"), (3, "blue cup")], "id bigint, text string")
     index = lx.fit(docs, "id", "text", max_df=1.0)
-    sinks.save_index(index.postings, index.vocab, str(tmp_path / "ix"), 2)
-    postings, vocab = sinks.load_index(spark, str(tmp_path / "ix"))
-    assert postings.count() == index.postings.count() and vocab.count() == 2
-    sinks.load_append(index.postings, str(tmp_path / "ix" / "postings"))
+    path = str(tmp_path / "ix")
+    sinks.save_index(index.postings, index.vocab, index.corpus_size, path)
+    back = sinks.load_tables(spark, path, verify=True)
+    assert sorted(map(tuple, back["postings"].collect())) == sorted(map(tuple, index.postings.collect()))
+    assert back["vocab"].count() == 2 and back["size"].first().n_docs == 3
     with pytest.raises(readers.ContractError):
-        sinks.load_index(spark, str(tmp_path / "ix"))
-    assert docs.filter(F.col("id") > 1).count() == 2
+        sinks.save_index(index.postings, index.vocab, index.corpus_size, path)
+    index.postings.write.mode("append").parquet(f"{path}/postings")
+    with pytest.raises(readers.ContractError):
+        sinks.load_tables(spark, path)
+
+
+def test_stored_artifact_follows_its_inputs(spark, tmp_path):
+    made = []
+
+    def make(path):
+        made.append(path)
+        sinks.save_tables({"n": spark.read.parquet(f"{tmp_path}/docs.parquet").selectExpr("count(*) AS n")}, path)
+
+    def stored():
+        return sinks.stored(spark, str(tmp_path), "count", ["docs"], make)["n"].first().n
+
+    spark.range(3).write.parquet(f"{tmp_path}/docs.parquet")
+    assert stored() == stored() == 3 and len(made) == 1
+    spark.range(5).write.mode("overwrite").parquet(f"{tmp_path}/docs.parquet")
+    assert stored() == 5 and len(made) == 2
+
+
+def test_load_needs_an_empty_target(spark, tmp_path):
+    path, rows = str(tmp_path / "t"), spark.createDataFrame([("a", 1), ("b", 2)], "product_id string, x int")
+    with pytest.raises(readers.ContractError):
+        sinks.load_empty(rows.union(rows), path, "product_id")
+    assert not (tmp_path / "t").exists()
+    assert sinks.load_empty(rows.limit(0), path, "product_id").count() == 0
+    assert sinks.load_empty(rows, path, "product_id").count() == 2
+    with pytest.raises(readers.ContractError):
+        sinks.load_empty(rows, path, "product_id")
+
+
+def test_publish_checks_the_target_first(spark, tmp_path):
+    good = spark.createDataFrame([("a", "x")], "product_id string, retrieval_text string")
+    assert sinks.publish(good, str(tmp_path / "p")).count() == 1
+    before = sorted(p.name for p in tmp_path.iterdir())
+    with pytest.raises(readers.ContractError):
+        sinks.publish(good, str(tmp_path / "p"))
+    assert sorted(p.name for p in tmp_path.iterdir()) == before
+
+
+def test_knowledge_base_refuses_what_does_not_match(spark):
+    products = spark.createDataFrame([("a", "x"), ("b", "y")], "product_id string, product_name string")
+    vectors = spark.createDataFrame([("a", [1.0]), ("b", [0.0])], "product_id string, embedding array<double>")
+    columns = ("product_id", "product_name", "embedding", "embedding_model")
+    assert sinks.assemble_knowledge_base(products, vectors, "m", columns).count() == 2
+    for bad in (vectors.limit(1), vectors.union(vectors), vectors.union(spark.createDataFrame([("c", [1.0])], vectors.schema))):
+        with pytest.raises(readers.ContractError):
+            sinks.assemble_knowledge_base(products, bad, "m", columns)
+    with pytest.raises(readers.ContractError):
+        sinks.assemble_knowledge_base(products, vectors, "m", (*columns, "category"))
+
+
+def test_intermediates_need_a_shared_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError):
+        session.shared_folder(Session())

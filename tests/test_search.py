@@ -15,7 +15,7 @@ def test_weights_by_hand(spark):
     # Two kept terms, equal idf, counts chosen so that the unit weights are 2:1.
     docs = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "c")], "id bigint, text string")
     index = lx.fit(docs, "id", "text")
-    w = {(r.doc_id, r.term): r.weight for r in lx.normalized_postings(index).collect()}
+    w = {(r.doc_id, r.term): r.weight for r in index.postings.collect()}
     assert set(w) == {(1, "a"), (1, "b"), (1, "a b"), (2, "a"), (2, "b"), (2, "a b")}
     assert w[1, "a"] == pytest.approx(3**-0.5)
     assert lx.term_counts(docs, "id", "text").filter("doc_id = 1").count() == 3
