@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from merchlens.functions import text as tx
-from merchlens.functions.vectors import vector_problem
+from merchlens.functions.vectors import cosine_distance, norm
 
 
 def run_checks(df: DataFrame, checks: dict[str, Column], prefix: str = "") -> DataFrame:
@@ -44,8 +44,62 @@ def input_contract(df: DataFrame) -> DataFrame:
     )
 
 
-def processed_contract(df: DataFrame, columns: list[str], dim: int) -> DataFrame:
-    """I02. Column order, nulls, ranges and vectors of an assembled knowledge base."""
+MANDATORY = (
+    "product_id", "product_name", "category", "discounted_price", "product_specifications", "retrieval_text",
+    "embedding", "embedding_model",
+)
+
+
+def _outside(c: str, low: float, high: float) -> Column:
+    """Present but out of range; NaN is out of range."""
+    return F.coalesce(F.isnan(F.col(c).cast("double")) | ~F.col(c).between(low, high), F.lit(False))
+
+
+def _not_positive(c: str) -> Column:
+    return F.coalesce(F.isnan(F.col(c).cast("double")) | ~(F.col(c) > 0), F.lit(False))
+
+
+def _specs_broken(c: str) -> Column:
+    """Text that is not a JSON array; NULL is a missing value, not a broken one."""
+    return F.col(c).isNotNull() & (~F.trim(c).startswith("[") | F.json_array_length(c).isNull())
+
+
+def vector_checks(c: str, dim: int, tolerance: float = 1e-3) -> dict[str, Column]:
+    """R15. One condition per way a vector is unusable; the first that holds excludes the later ones."""
+    v = F.col(c)
+    dimension = F.size(v) != dim
+    nan = F.exists(v, lambda x: x.isNull() | F.isnan(x))
+    inf = F.exists(v, lambda x: F.abs(x) == float("inf"))
+    zero = norm(v) < 1e-8
+    off = F.abs(norm(v) - 1.0) > tolerance
+    out, before = {"vector_missing": v.isNull()}, v.isNull()
+    for name, cond in (("dimension", dimension), ("nan", nan), ("inf", inf), ("zero", zero), ("not_unit", off)):
+        out[f"vector_{name}"] = ~before & F.coalesce(cond, F.lit(False))
+        before = before | F.coalesce(cond, F.lit(False))
+    return out
+
+
+def _row_checks(dim: int, timestamps: bool) -> dict[str, Column]:
+    checks = {f"null_{c}": F.col(c).isNull() for c in MANDATORY if c != "embedding"}
+    for c in ("product_name", "category", "retrieval_text", "embedding_model"):
+        checks[f"blank_{c}"] = F.trim(c) == ""
+    checks |= {
+        "price_not_positive": _not_positive("discounted_price"),
+        "retail_not_positive": _not_positive("retail_price"),
+        "rating_range": _outside("rating", 1, 5),
+        "specs_not_array": _specs_broken("product_specifications"),
+        **vector_checks("embedding", dim),
+    }
+    if timestamps:
+        checks |= {
+            "timestamps_missing": F.col("created_at").isNull() | F.col("updated_at").isNull(),
+            "updated_before_created": F.col("updated_at") < F.col("created_at"),
+        }
+    return checks
+
+
+def processed_contract(df: DataFrame, columns: list[str], dim: int, timestamps: bool = False) -> DataFrame:
+    """I02. Column order, ids, mandatory fields, ranges, JSON specs and vectors of a knowledge base, in one pass."""
     order_wrong = 0 if [c for c in df.columns if c in columns] == [c for c in columns if c in df.columns] else 1
     missing = len([c for c in columns if c not in df.columns])
     return run_checks(
@@ -53,14 +107,112 @@ def processed_contract(df: DataFrame, columns: list[str], dim: int) -> DataFrame
         {
             "column_order": F.max(F.lit(order_wrong)),
             "columns_missing": F.max(F.lit(missing)),
-            "id_null": F.count_if(F.col("product_id").isNull()),
-            "price_not_positive": F.count_if(~F.coalesce(F.col("discounted_price") > 0, F.lit(False))),
-            "vector_problem": F.count_if(vector_problem(F.col("embedding"), dim).isNotNull()),
-            "model_blank": F.count_if(_blank("embedding_model")),
+            "id_duplicate": F.count("product_id") - F.count_distinct("product_id"),
+            **{n: F.count_if(F.coalesce(c, F.lit(False))) for n, c in _row_checks(dim, timestamps).items()},
         },
     )
 
 
+COMPARED = ("product_name", "category", "discounted_price", "retrieval_text", "embedding_model")
+
+
+def _side_by_side(source: DataFrame, target: DataFrame) -> DataFrame:
+    fields = [*COMPARED, "embedding"]
+    s, t = (df.filter(F.col("product_id").isNotNull()).dropDuplicates(["product_id"]) for df in (source, target))
+    return s.select("product_id", F.struct(*fields).alias("s")).join(
+        t.select("product_id", F.struct(*fields).alias("t")), "product_id", "full_outer"
+    )
+
+
+def loaded_contract(source: DataFrame, target: DataFrame, dim: int, tolerance: float = 1e-4) -> DataFrame:
+    """I04. A loaded table against its source: counts, ids, fields, every shared row, every vector.
+
+    ``vector_drift`` is the L2 distance of a row's two vectors, ``self_distance`` their cosine
+    distance: a row that does not find itself.  Rows without usable vectors on both
+    sides are counted by the vector checks.
+    """
+    rows = _side_by_side(source, target)
+    both = F.col("s").isNotNull() & F.col("t").isNotNull()
+    usable = both & (F.size("s.embedding") == dim) & (F.size("t.embedding") == dim)
+    l2 = norm(F.zip_with("s.embedding", "t.embedding", lambda x, y: x.cast("double") - y.cast("double")))
+    far = cosine_distance(F.col("s.embedding"), F.col("t.embedding"))
+    differs = {f"content_{c}": both & ~F.col(f"s.{c}").eqNullSafe(F.col(f"t.{c}")) for c in COMPARED}
+    # NaN compares above every number: a vector with NaN has drifted from anything else.
+    compared = run_checks(
+        rows,
+        {
+            "missing_rows": F.count_if(F.col("t").isNull()),
+            "unexpected_rows": F.count_if(F.col("s").isNull()),
+            **{n: F.count_if(c) for n, c in differs.items()},
+            "vector_drift": F.count_if(F.coalesce(usable & (l2 > tolerance), F.lit(False))),
+            "self_distance": F.count_if(F.coalesce(usable & (far > tolerance), F.lit(False))),
+        },
+    )
+    own = run_checks(
+        target,
+        {
+            "id_duplicate": F.count("product_id") - F.count_distinct("product_id"),
+            **{n: F.count_if(F.coalesce(c, F.lit(False))) for n, c in _row_checks(dim, True).items()},
+        },
+    )
+    return compared.unionByName(own)
+
+
+def integrity_battery(source: DataFrame, target: DataFrame, dim: int) -> DataFrame:
+    """I05. Ten named tests of a loaded table: (test_id, name, expected, actual, status).
+
+    Expected is what the source holds for the three count tests, and 0 faults for the others.
+    """
+    checks = _row_checks(dim, True)
+
+    def any_of(names: list[str]) -> Column:
+        found = F.lit(False)
+        for n in names:
+            found = found | F.coalesce(checks[n], F.lit(False))
+        return F.count_if(found)
+
+    named = {k: [n for n in checks if n.startswith(k)] for k in ("null_", "blank_", "vector_")}
+    one = target.agg(
+        F.count(F.lit(1)).alias("A01"),
+        F.count_distinct("product_id").alias("A02"),
+        any_of([*named["null_"], *named["blank_"]]).alias("A04"),
+        any_of(["price_not_positive", "retail_not_positive"]).alias("A05"),
+        any_of(["rating_range"]).alias("A06"),
+        any_of(["specs_not_array", "null_product_specifications"]).alias("A07"),
+        any_of(named["vector_"]).alias("A08"),
+        any_of(["timestamps_missing", "updated_before_created"]).alias("A09"),
+    )
+    base = source.agg(F.count(F.lit(1)).alias("E01"), F.count_distinct("product_id").alias("E02"))
+    groups = group_distribution(source, target, "category").agg(F.count_if(F.col("status") == "FAIL").alias("A03"))
+    unequal = F.lit(False)
+    for c in COMPARED:
+        unequal = unequal | ~F.col(f"s.{c}").eqNullSafe(F.col(f"t.{c}"))
+    rows = _side_by_side(source, target)
+    consistent = rows.agg(
+        F.count_if(F.col("s").isNull() | F.col("t").isNull() | unequal).alias("A10")
+    )
+    wide = one.join(F.broadcast(base)).join(F.broadcast(groups)).join(F.broadcast(consistent))  # one row each
+    names = {
+        "A01": "row count", "A02": "distinct ids", "A03": "category distribution", "A04": "mandatory columns",
+        "A05": "prices", "A06": "ratings", "A07": "specifications", "A08": "vectors", "A09": "timestamps",
+        "A10": "source consistency",
+    }
+    tests = F.array(
+        *[
+            F.struct(
+                F.lit(k).alias("test_id"),
+                F.lit(name).alias("name"),
+                (F.col("E01") if k == "A01" else F.col("E02") if k == "A02" else F.lit(0)).cast("bigint").alias("expected"),
+                F.col(k).cast("bigint").alias("actual"),
+            )
+            for k, name in names.items()
+        ]
+    )
+    return wide.select(F.inline(tests)).withColumn(
+        "status", F.when(F.col("actual") == F.col("expected"), "PASS").otherwise("FAIL")
+    )
+
+
 def key_diff(source: DataFrame, target: DataFrame, key: str) -> DataFrame:
     """J12 / U03. Matching, missing and unexpected keys."""
     s = source.select(F.col(key)).distinct().withColumn("_s", F.lit(True))
@@ -117,9 +269,11 @@ def declared_constraints(df: DataFrame, key: str, not_null: list[str], checks: d
 
 def group_distribution(source: DataFrame, target: DataFrame, by: str) -> DataFrame:
     """I05. Row counts per group on both sides."""
-    s = source.groupBy(by).agg(F.count(F.lit(1)).alias("source_rows"))
-    t = target.groupBy(by).agg(F.count(F.lit(1)).alias("target_rows"))
-    out = s.join(t, by, "full_outer").fillna(0, ["source_rows", "target_rows"])
+    side = lambda df, own: df.select(by, F.lit(own).alias("_own"))
+    rows = side(source, True).unionByName(side(target, False))
+    out = rows.groupBy(by).agg(
+        F.count_if(F.col("_own")).alias("source_rows"), F.count_if(~F.col("_own")).alias("target_rows")
+    )
     return out.withColumn("status", F.when(F.col("source_rows") == F.col("target_rows"), "PASS").otherwise("FAIL"))
 
 

@@ -139,6 +139,32 @@ SELECT CASE WHEN p_size = 9 THEN p_partkey + 100000000 ELSE p_partkey END AS p_p
 FROM {part} WHERE p_size <> 13
 """
 
+# An assembled knowledge base with one kind of fault per part size; ``v_fault`` says what
+# is wrong with the row's vector.
+SQL["faulty_products"] = """
+SELECT CASE WHEN p_size = 3 THEN '1' WHEN p_size = 4 THEN NULL ELSE cast(p_partkey AS string) END AS product_id, p_partkey,
+       CASE WHEN p_size = 5 THEN '  ' ELSE p_name END AS product_name, CASE WHEN p_size = 6 THEN NULL ELSE p_type END AS category, p_brand AS brand,
+       cast(CASE WHEN p_size = 9 THEN -1 WHEN p_size = 10 THEN NULL ELSE p_retailprice * 2 END AS double) AS retail_price,
+       cast(CASE WHEN p_size = 7 THEN 0 WHEN p_size = 8 THEN NULL ELSE p_retailprice END AS double) AS discounted_price,
+       cast(CASE WHEN p_size = 11 THEN 5.5 WHEN p_size = 12 THEN 0.5 WHEN p_size = 13 THEN NULL ELSE 4 END AS double) AS rating,
+       CASE WHEN p_size = 14 THEN '{"a":1}' WHEN p_size = 15 THEN 'none' WHEN p_size = 16 THEN NULL ELSE '[{"key":"Size","value":"1"}]' END AS product_specifications,
+       CASE WHEN p_size = 17 THEN '' ELSE 'Product: ' || p_name END AS retrieval_text,
+       CASE p_size WHEN 18 THEN 'missing' WHEN 19 THEN 'dimension' WHEN 20 THEN 'nan' WHEN 21 THEN 'inf' WHEN 22 THEN 'zero' WHEN 23 THEN 'long' WHEN 32 THEN 'drift' END AS v_fault,
+       CASE WHEN p_size = 24 THEN ' ' ELSE 'given-64' END AS embedding_model,
+       CASE WHEN p_size = 25 THEN NULL ELSE cast('2024-01-02 00:00:00' AS timestamp) END AS created_at,
+       CASE WHEN p_size = 26 THEN NULL WHEN p_size = 27 THEN cast('2024-01-01 00:00:00' AS timestamp) ELSE cast('2024-01-03 00:00:00' AS timestamp) END AS updated_at
+FROM {part}
+"""
+
+# The same after a load that lost, renamed and moved some rows.
+SQL["faulty_load"] = """
+SELECT CASE WHEN p_partkey % 40 = 29 THEN 'x' || product_id ELSE product_id END AS product_id, p_partkey,
+       CASE WHEN p_partkey % 40 = 31 THEN product_name || '!' ELSE product_name END AS product_name,
+       CASE WHEN p_partkey % 40 = 33 THEN 'ELSEWHERE' ELSE category END AS category, brand, retail_price, discounted_price, rating, product_specifications,
+       retrieval_text, v_fault, embedding_model, created_at, updated_at
+FROM {faulty_products} WHERE p_partkey % 40 <> 30
+"""
+
 # Tables under heavy per-row work.
 SPREAD = ("lineitem", "orders", "documents", "conversations", "pages")
 

@@ -9,12 +9,13 @@ from merchlens.operators import evidence as vd
 from merchlens.operators import integrity as ig
 from merchlens.operators import labels as lb
 from merchlens.operators.catalog import build_search_texts, clean_catalog
-from merchlens.plans.catalog_queries import _KEPT, _PREPARED, _raw
+from merchlens.functions.vectors import norm
+from merchlens.plans.catalog_queries import _KEPT, _PREPARED, _raw, part_vectors
 from merchlens.plans.derived import load
 from merchlens.plans.evaluation_queries import _ADJ, _adjudicated, _judged, _side
 from merchlens.plans.registry import query
 from merchlens.plans.search_queries import frozen_runs
-from merchlens.sources import readers, sinks
+from merchlens.sources import sinks
 from merchlens.streaming import sessions as ss
 
 _EV = """SELECT product_id || '-E' || cast(row_number() OVER (PARTITION BY product_id ORDER BY n) AS string) AS evidence_id, product_id, source_field, text FROM (
@@ -353,20 +354,110 @@ def input_contract(spark, d):
     return ig.input_contract(built)
 
 
+# Each fault of the derived products, as SQL over the columns it sits in.
+_ROW_FAULTS = {
+    **{f"null_{c}": f"{c} IS NULL" for c in ig.MANDATORY if c != "embedding"},
+    **{f"blank_{c}": f"trim({c}) = ''" for c in ("product_name", "category", "retrieval_text", "embedding_model")},
+    "price_not_positive": "discounted_price <= 0", "retail_not_positive": "retail_price <= 0",
+    "rating_range": "rating < 1 OR rating > 5",
+    "specs_not_array": "product_specifications NOT LIKE '[%'",
+    **{f"vector_{n}": f"v_fault = '{f}'" for n, f in
+       (("missing", "missing"), ("dimension", "dimension"), ("nan", "nan"), ("inf", "inf"), ("zero", "zero"), ("not_unit", "long"))},
+    "timestamps_missing": "created_at IS NULL OR updated_at IS NULL", "updated_before_created": "updated_at < created_at",
+}
+
+
+def _faults_sql(table, checks):
+    return " UNION ALL ".join(f"SELECT '{n}' AS test_id, count(*) FILTER ({c}) AS actual FROM {table}" for n, c in checks.items())
+
+
+def _status_sql(rows):
+    return f"SELECT test_id, cast(actual AS BIGINT) AS actual, 0 AS expected, CASE WHEN actual = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM ({rows})"
+
+
+_DUPLICATES = "SELECT 'id_duplicate' AS test_id, count(product_id) - count(DISTINCT product_id) AS actual FROM {0}"
+
+
+def _faulty(spark, d, name):
+    """Derived products with their vectors, damaged as ``v_fault`` says."""
+    vectors = part_vectors(spark, d).select(F.col("product_id").cast("bigint").alias("p_partkey"), "embedding")
+    unit = F.transform("embedding", lambda x: x / norm(F.col("embedding")))
+    first = lambda value: F.transform("e", lambda x, i: F.when(i == 0, F.lit(value)).otherwise(x))
+    fault = F.col("v_fault")
+    moved = F.transform("e", lambda x: -x) if name == "faulty_load" else F.col("e")
+    damaged = (
+        F.when(fault == "missing", F.lit(None))
+        .when(fault == "dimension", F.slice("e", 1, 63))
+        .when(fault == "nan", first(float("nan")))
+        .when(fault == "inf", first(float("inf")))
+        .when(fault == "zero", F.transform("e", lambda x: x * 0))
+        .when(fault == "long", F.transform("e", lambda x: x * 3))
+        .when(fault == "drift", moved)
+        .otherwise(F.col("e"))
+    )
+    rows = load(spark, d, name).join(vectors, "p_partkey").withColumn("e", unit)
+    return rows.withColumn("embedding", damaged).drop("e", "v_fault", "p_partkey")
+
+
 @query(
     "processed_contract",
-    "SELECT test_id, actual, 0 AS expected, CASE WHEN actual = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM (SELECT unnest(['column_order','columns_missing','id_null','price_not_positive','vector_problem','model_blank']) AS test_id, unnest([0, 0, 0, count(*) FILTER (NOT p_retailprice > 0), count(*) FILTER (len(embedding) <> 64), 0]) AS actual FROM part JOIN embeddings ON p_partkey = vec_id)",
+    _status_sql(
+        "SELECT 'column_order' AS test_id, 1 AS actual UNION ALL SELECT 'columns_missing', 1 UNION ALL "
+        + _DUPLICATES.format("{faulty_products}") + " UNION ALL " + _faults_sql("{faulty_products}", _ROW_FAULTS)
+    ),
 )
 def processed_contract(spark, d):
-    """I02, I04 over the assembled knowledge base."""
-    products = load(spark, d, "part").select(
-        F.col("p_partkey").cast("string").alias("product_id"), F.col("p_name").alias("product_name"),
-        F.col("p_type").alias("category"), F.col("p_retailprice").alias("discounted_price"),
-    )
-    vectors = load(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("product_id"), "embedding")
-    kb = sinks.assemble_knowledge_base(sinks.shape_for_load(products), vectors, "given-64")
-    wanted = [c for c in readers.CANONICAL if c in ("product_id", "product_name", "category", "discounted_price", "embedding", "embedding_model")]
-    return ig.processed_contract(kb, wanted, 64)
+    """I02 over products with one kind of fault per part size, a missing and a misplaced column."""
+    wanted = ["product_id", "category", "product_name", "description", "embedding", "embedding_model"]
+    return ig.processed_contract(_faulty(spark, d, "faulty_products"), wanted, 64, timestamps=True)
+
+
+_PAIRED = """(SELECT s.product_id AS sid, t.product_id AS tid, s.v_fault AS v_fault, {0} FROM (SELECT * FROM {{faulty_products}} WHERE product_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY p_partkey) = 1) s
+   FULL OUTER JOIN (SELECT * FROM {{faulty_load}} WHERE product_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY p_partkey) = 1) t ON s.product_id = t.product_id)""".format(
+    ", ".join(f"s.{c} IS DISTINCT FROM t.{c} AS d_{c}" for c in ig.COMPARED)
+)
+_BOTH = "sid IS NOT NULL AND tid IS NOT NULL"
+
+
+@query(
+    "loaded_contract",
+    _status_sql(
+        _faults_sql(
+            _PAIRED,
+            {
+                "missing_rows": "tid IS NULL", "unexpected_rows": "sid IS NULL", **{f"content_{c}": f"{_BOTH} AND d_{c}" for c in ig.COMPARED},
+                "vector_drift": f"{_BOTH} AND v_fault IN ('drift', 'nan', 'inf')", "self_distance": f"{_BOTH} AND v_fault IN ('drift', 'nan', 'inf', 'zero')",
+            },
+        )
+        + " UNION ALL " + _DUPLICATES.format("{faulty_load}") + " UNION ALL " + _faults_sql("{faulty_load}", _ROW_FAULTS)
+    ),
+)
+def loaded_contract(spark, d):
+    """A load that lost, renamed, changed and moved rows."""
+    return ig.loaded_contract(_faulty(spark, d, "faulty_products"), _faulty(spark, d, "faulty_load"), 64)
+
+
+def _any(*prefixes):
+    return " OR ".join(f"coalesce({c}, false)" for n, c in _ROW_FAULTS.items() if n.startswith(prefixes))
+
+
+@query(
+    "integrity_battery",
+    f"""SELECT test_id, name, cast(expected AS BIGINT) AS expected, cast(actual AS BIGINT) AS actual, CASE WHEN expected = actual THEN 'PASS' ELSE 'FAIL' END AS status FROM (
+      SELECT 'A01' AS test_id, 'row count' AS name, (SELECT count(*) FROM {{faulty_products}}) AS expected, (SELECT count(*) FROM {{faulty_load}}) AS actual
+      UNION ALL SELECT 'A02', 'distinct ids', (SELECT count(DISTINCT product_id) FROM {{faulty_products}}), (SELECT count(DISTINCT product_id) FROM {{faulty_load}})
+      UNION ALL SELECT 'A03', 'category distribution', 0, (SELECT count(*) FROM (SELECT category, count(*) AS n FROM {{faulty_products}} GROUP BY 1) s FULL OUTER JOIN (SELECT category, count(*) AS n FROM {{faulty_load}} GROUP BY 1) t ON s.category IS NOT DISTINCT FROM t.category WHERE s.n IS DISTINCT FROM t.n)
+      UNION ALL SELECT 'A04', 'mandatory columns', 0, (SELECT count(*) FROM {{faulty_load}} WHERE {_any('null_', 'blank_')})
+      UNION ALL SELECT 'A05', 'prices', 0, (SELECT count(*) FROM {{faulty_load}} WHERE {_any('price_', 'retail_')})
+      UNION ALL SELECT 'A06', 'ratings', 0, (SELECT count(*) FROM {{faulty_load}} WHERE {_any('rating_')})
+      UNION ALL SELECT 'A07', 'specifications', 0, (SELECT count(*) FROM {{faulty_load}} WHERE {_any('specs_', 'null_product_specifications')})
+      UNION ALL SELECT 'A08', 'vectors', 0, (SELECT count(*) FROM {{faulty_load}} WHERE {_any('vector_')})
+      UNION ALL SELECT 'A09', 'timestamps', 0, (SELECT count(*) FROM {{faulty_load}} WHERE {_any('timestamps_', 'updated_')})
+      UNION ALL SELECT 'A10', 'source consistency', 0, (SELECT count(*) FROM {_PAIRED} WHERE sid IS NULL OR tid IS NULL OR {' OR '.join(f'd_{c}' for c in ig.COMPARED)}))""",
+)
+def integrity_battery(spark, d):
+    """All ten tests, all of which this load fails."""
+    return ig.integrity_battery(_faulty(spark, d, "faulty_products"), _faulty(spark, d, "faulty_load"), 64)
 
 
 _ISSUES = f"""{_ADJ}, iss AS MATERIALIZED (SELECT unnest(['ERROR','ERROR','ERROR','ERROR','ERROR','ERROR','WARNING','WARNING','ERROR','ERROR','ERROR','WARNING','WARNING']) AS severity,
