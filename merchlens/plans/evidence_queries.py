@@ -59,60 +59,97 @@ def context_blocks(spark, d):
     return vd.context_blocks(queries, cands.select("query_id", "product_id", "rank"), _evidence(spark, d))
 
 
-def _payload_items(spark, d):
-    """Generator output as JSON per query, then parsed like any other payload."""
+def _payloads(spark, d):
+    """Generator output as JSON per query; every third overview is blank."""
     rows = load(spark, d, "generated")
     cites = F.array_compact(F.array("cite_1", "cite_2", "cite_3"))
-    none = F.array().cast("array<struct<claim:string,evidence_ids:array<string>>>")
+    none = F.array().cast(vd.CLAIMS)
+    limits = F.array(F.struct(F.concat(F.lit("limit of "), "reason").alias("claim"), F.array("cite_2").alias("evidence_ids")))
     item = F.struct(
-        "product_id", F.col("reason").alias("summary_reason"), F.lit("-").alias("comparison_note"),
+        "product_id", F.col("reason").alias("summary_reason"), F.concat(F.lit("note on "), "reason").alias("comparison_note"),
         F.array(F.struct(F.col("reason").alias("claim"), cites.alias("evidence_ids"))).alias("strengths"),
-        none.alias("limitations"),
+        F.when(F.col("cite_2").isNotNull(), limits.cast(vd.CLAIMS)).otherwise(none).alias("limitations"),
     )
     payloads = rows.groupBy("query_id").agg(
         F.to_json(
             F.struct(
-                F.lit("ok").alias("overview"),
+                F.when(F.col("query_id").cast("bigint") % 3 == 0, F.lit("  ")).otherwise(F.lit(" fine ")).alias("overview"),
                 F.transform(F.sort_array(F.collect_list(F.struct("pos", item.alias("i")))), lambda x: x["i"]).alias("products"),
             )
         ).alias("payload")
     )
-    return vd.parse_payloads(payloads)
+    return payloads
+
+
+def _payload_items(spark, d):
+    return vd.parse_payloads(_payloads(spark, d))
 
 
 def _merged(spark, d):
-    return vd.merge_generated(load(spark, d, "order_candidates"), _payload_items(spark, d))
+    return vd.merge_generated(load(spark, d, "order_candidates"), _payload_items(spark, d), _evidence(spark, d))
 
 
-_OKG = "SELECT query_id, product_id, min(pos) AS pos, min_by(reason, pos) AS reason FROM {generated} WHERE (query_id, product_id) IN (SELECT (query_id, product_id) FROM {order_candidates}) GROUP BY 1,2"
+_OKG = f"""ev AS MATERIALIZED ({_EV}), cand AS MATERIALIZED (SELECT * FROM {{order_candidates}}), gen AS MATERIALIZED (SELECT *, (query_id, product_id) IN (SELECT (query_id, product_id) FROM cand) AS known, row_number() OVER (PARTITION BY query_id, product_id ORDER BY pos) AS nth FROM {{generated}}),
+ ok AS MATERIALIZED (SELECT * FROM gen WHERE known AND nth = 1),
+ cites AS MATERIALIZED (SELECT x.query_id, x.product_id, kind, i, c, CASE WHEN e.product_id IS NULL THEN 'NO_SUCH_EVIDENCE' WHEN e.product_id <> x.product_id THEN 'OTHER_PRODUCT' ELSE 'VALID' END AS status
+   FROM (SELECT query_id, product_id, 's' AS kind, unnest([1, 2, 3]) AS i, unnest([cite_1, cite_2, cite_3]) AS c FROM ok UNION ALL SELECT query_id, product_id, 'l', 1, cite_2 FROM ok) x LEFT JOIN ev e ON e.evidence_id = c WHERE c IS NOT NULL),
+ clean AS (SELECT query_id, product_id, coalesce(string_agg(c, ',' ORDER BY i) FILTER (kind = 's' AND status = 'VALID'), '') AS s_ids, coalesce(string_agg(c, ',' ORDER BY i) FILTER (kind = 'l' AND status = 'VALID'), '') AS l_ids FROM cites GROUP BY 1, 2)"""
+_MERGED = f"""{_OKG}, merged AS MATERIALIZED (SELECT c.*, ok.reason, ok.cite_2, s_ids, l_ids, CASE WHEN c.query_id NOT IN (SELECT query_id FROM ok) THEN 'FALLBACK' WHEN ok.reason IS NULL THEN 'OMITTED' ELSE 'GENERATED' END AS source
+   FROM cand c LEFT JOIN ok USING (query_id, product_id) LEFT JOIN clean USING (query_id, product_id))"""
 
 
 @query(
     "merged_recommendations",
-    f"""WITH ok AS MATERIALIZED ({_OKG}) SELECT query_id, product_id, rank, source, CASE source WHEN 'GENERATED' THEN reason WHEN 'OMITTED' THEN product_name || ' matches the requested ' || category || ' category.'
-          ELSE product_name || coalesce(' by ' || brand, '') || ' in ' || category || ' at ' || printf('%.2f INR', discounted_price) || CASE WHEN rating IS NULL THEN '' ELSE printf(' with rating %.1f/5.0', rating) END || '.' END AS summary_reason
-        FROM (SELECT c.*, ok.reason, CASE WHEN c.query_id NOT IN (SELECT query_id FROM ok) THEN 'FALLBACK' WHEN ok.reason IS NULL THEN 'OMITTED' ELSE 'GENERATED' END AS source FROM {{order_candidates}} c LEFT JOIN ok USING (query_id, product_id))""",
+    f"""WITH {_MERGED} SELECT query_id, product_id, rank, source,
+        CASE source WHEN 'GENERATED' THEN reason WHEN 'OMITTED' THEN product_name || ' matches the requested ' || category || ' category.'
+          ELSE product_name || coalesce(' by ' || brand, '') || ' in ' || category || ' at ' || printf('%.2f INR', discounted_price) || CASE WHEN rating IS NULL THEN '' ELSE printf(' with rating %.1f/5.0', rating) END || '.' END AS summary_reason,
+        CASE source WHEN 'GENERATED' THEN reason || '[' || s_ids || ']' WHEN 'OMITTED' THEN 'Authentic ' || coalesce(brand, category) || ' product priced at ' || printf('%.2f INR', discounted_price) || '[' || product_id || '-E1]'
+          ELSE 'Verified ' || category || ' candidate meeting query retrieval criteria.[' || product_id || '-E1]' END AS strengths,
+        CASE source WHEN 'GENERATED' THEN CASE WHEN cite_2 IS NULL THEN '' ELSE 'limit of ' || reason || '[' || l_ids || ']' END WHEN 'OMITTED' THEN 'Full detailed explanation was omitted by model generation.[]'
+          ELSE 'Generated via deterministic fallback; natural language explanation unavailable.[]' END AS limitations,
+        CASE source WHEN 'GENERATED' THEN 'note on ' || reason WHEN 'OMITTED' THEN 'Alternative option in the retrieved set.' ELSE 'Rank #' || rank || ' candidate in retrieval results.' END AS comparison_note
+        FROM merged""",
 )
 def merged_recommendations(spark, d):
-    """V03, V04."""
+    """Texts, claims with cleaned citations and notes."""
     rows, _ = _merged(spark, d)
-    return rows.select("query_id", "product_id", "rank", "source", "summary_reason")
+    told = lambda c: F.array_join(
+        F.transform(c, lambda x: F.concat(x["claim"], F.lit("["), F.array_join(x["evidence_ids"], ","), F.lit("]"))), "|"
+    )
+    return rows.select(
+        "query_id", "product_id", "rank", "source", "summary_reason", told("strengths").alias("strengths"),
+        told("limitations").alias("limitations"), "comparison_note",
+    )
 
 
 @query(
     "merge_warnings",
-    "SELECT query_id, product_id, CASE WHEN known THEN 'DUPLICATE_PRODUCT' ELSE 'UNKNOWN_PRODUCT' END AS warning FROM (SELECT *, (query_id, product_id) IN (SELECT (query_id, product_id) FROM {order_candidates}) AS known, row_number() OVER (PARTITION BY query_id, product_id ORDER BY pos) AS nth FROM {generated}) WHERE NOT known OR nth > 1",
+    f"""WITH {_MERGED} SELECT query_id, product_id, CASE WHEN known THEN 'DUPLICATE_PRODUCT' ELSE 'UNKNOWN_PRODUCT' END AS warning, NULL AS evidence_id FROM gen WHERE (NOT known OR nth > 1) AND query_id IN (SELECT query_id FROM ok)
+        UNION ALL SELECT query_id, product_id, status, c FROM cites WHERE status <> 'VALID' UNION ALL SELECT query_id, product_id, 'OMITTED_PRODUCT', NULL FROM merged WHERE source = 'OMITTED'
+        UNION ALL SELECT DISTINCT query_id, NULL, 'NO_KNOWN_PRODUCT', NULL FROM merged WHERE source = 'FALLBACK'""",
 )
 def merge_warnings(spark, d):
-    """V03 warnings."""
+    """V03 warnings of every kind."""
     _, warnings = _merged(spark, d)
     return warnings
 
 
+@query(
+    "recommendation_overviews",
+    f"""WITH {_MERGED}, g AS (SELECT DISTINCT query_id FROM {{generated}}) SELECT query_id, CASE WHEN lost THEN 'DETERMINISTIC_FALLBACK' ELSE 'SUCCESS' END AS status,
+        CASE WHEN lost THEN 'Here are the top products matching your query (generated via verified metadata fallback):' WHEN cast(query_id AS BIGINT) % 3 = 0 THEN 'Here are the top recommended products matching your criteria:' ELSE 'fine' END AS overview
+        FROM (SELECT query_id, bool_or(source = 'FALLBACK') AS lost FROM merged GROUP BY 1)""",
+)
+def recommendation_overviews(spark, d):
+    """The text above the products."""
+    rows, _ = _merged(spark, d)
+    return vd.overviews(_payloads(spark, d), rows)
+
+
 @query(
     "citation_check",
     f"""WITH ev AS MATERIALIZED ({_EV}) SELECT status, count(*) AS citations FROM (SELECT CASE WHEN e.product_id IS NULL THEN 'NO_SUCH_EVIDENCE' WHEN e.product_id <> g.product_id THEN 'OTHER_PRODUCT' ELSE 'VALID' END AS status
-        FROM (SELECT product_id, unnest(list_filter([cite_1, cite_2, cite_3], lambda x: x IS NOT NULL)) AS c FROM {{generated}}) g LEFT JOIN ev e ON e.evidence_id = g.c) GROUP BY 1""",
+        FROM (SELECT product_id, unnest(list_filter([cite_1, cite_2, cite_3, cite_2], lambda x: x IS NOT NULL)) AS c FROM {{generated}}) g LEFT JOIN ev e ON e.evidence_id = g.c) GROUP BY 1""",
 )
 def citation_check(spark, d):
     """V03 citations."""
@@ -122,7 +159,9 @@ def citation_check(spark, d):
 
 @query(
     "claim_rows",
-    "SELECT query_id, product_id, pos, 'strengths' AS kind, reason AS claim, len(list_filter([cite_1, cite_2, cite_3], lambda x: x IS NOT NULL)) AS citations, sha256('{\"c\":\"' || reason || '\",\"k\":\"strengths\",\"p\":\"' || product_id || '\",\"q\":\"' || query_id || '\"}') AS claim_hash FROM {generated}",
+    """SELECT *, sha256('{"c":"' || claim || '","k":"' || kind || '","p":"' || product_id || '","q":"' || query_id || '"}') AS claim_hash FROM (
+       SELECT query_id, product_id, pos, 'strengths' AS kind, reason AS claim, len(list_filter([cite_1, cite_2, cite_3], lambda x: x IS NOT NULL)) AS citations FROM {generated}
+       UNION ALL SELECT query_id, product_id, pos, 'limitations', 'limit of ' || reason, 1 FROM {generated} WHERE cite_2 IS NOT NULL)""",
 )
 def claim_rows(spark, d):
     """V06."""
@@ -134,8 +173,8 @@ def claim_rows(spark, d):
     "grounding_check",
     """WITH pool AS (SELECT query_id, product_id, discounted_price <= max_price AS satisfied FROM {order_candidates}), g AS (SELECT g.*, p.satisfied FROM {generated} g LEFT JOIN pool p USING (query_id, product_id)),
        pr AS (SELECT query_id, count(*) AS listed, count(satisfied) AS checked_products, count(*) FILTER (satisfied IS NULL) AS unknown_products, count(*) FILTER (NOT satisfied) AS constraint_violations,
-         sum(CASE WHEN satisfied IS NULL THEN 0 ELSE (CASE WHEN cite_1 LIKE product_id || '-E%' THEN 1 ELSE 0 END) + (CASE WHEN cite_2 LIKE product_id || '-E%' THEN 1 ELSE 0 END) + (CASE WHEN cite_3 LIKE product_id || '-E%' THEN 1 ELSE 0 END) END) AS vc,
-         sum(CASE WHEN satisfied IS NULL THEN 0 ELSE (CASE WHEN cite_1 NOT LIKE product_id || '-E%' THEN 1 ELSE 0 END) + (CASE WHEN cite_2 NOT LIKE product_id || '-E%' THEN 1 ELSE 0 END) + (CASE WHEN cite_3 NOT LIKE product_id || '-E%' THEN 1 ELSE 0 END) END) AS bc FROM g GROUP BY 1)
+         sum(CASE WHEN satisfied IS NULL THEN 0 ELSE (CASE WHEN cite_1 LIKE product_id || '-E%' THEN 1 ELSE 0 END) + (CASE WHEN cite_2 LIKE product_id || '-E%' THEN 2 ELSE 0 END) + (CASE WHEN cite_3 LIKE product_id || '-E%' THEN 1 ELSE 0 END) END) AS vc,
+         sum(CASE WHEN satisfied IS NULL THEN 0 ELSE (CASE WHEN cite_1 NOT LIKE product_id || '-E%' THEN 1 ELSE 0 END) + (CASE WHEN cite_2 NOT LIKE product_id || '-E%' THEN 2 ELSE 0 END) + (CASE WHEN cite_3 NOT LIKE product_id || '-E%' THEN 1 ELSE 0 END) END) AS bc FROM g GROUP BY 1)
        SELECT query_id, coalesce(listed,0) AS listed, coalesce(checked_products,0) AS checked_products, coalesce(unknown_products,0) AS unknown_products, coalesce(constraint_violations,0) AS constraint_violations, cast(coalesce(vc,0) AS BIGINT) AS valid_citations, cast(coalesce(bc,0) AS BIGINT) AS bad_citations,
          CASE WHEN coalesce(listed,0) > 0 AND unknown_products = 0 AND constraint_violations = 0 AND bc = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM (SELECT DISTINCT query_id FROM pool) LEFT JOIN pr USING (query_id)""",
 )
@@ -546,9 +585,9 @@ def session_turns(spark, d):
 
 @query(
     "conversation_tail",
-    "SELECT conv_id, turn, role, cast(r AS INT) AS recency FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 10",
+    "SELECT conv_id, turn, role, text, cast(r AS INT) AS recency FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 10",
 )
 def conversation_tail(spark, d):
     """W12 over conversations."""
-    rows = load(spark, d, "conversations").drop("text")
-    return ss.last_turns(rows, ["conv_id"], [F.desc("turn")]).select("conv_id", "turn", "role", "recency")
+    rows = load(spark, d, "conversations")
+    return ss.last_turns(rows, ["conv_id"], [F.desc("turn")]).select("conv_id", "turn", "role", "text", "recency")
