@@ -222,13 +222,20 @@ def keep_one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     keep one row per different text.
     """
     groups = near_duplicate_groups(docs, doc_id, text)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    stays = docs.join(
-        kept.withColumnRenamed("doc_id", "__id"), F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")), "left_semi"
-    )
-    by_id = Window.partitionBy(F.col(f"`{doc_id}`"), F.when(F.col(f"`{doc_id}`").isNull(), F.col(f"`{text}`")))
-    numbered = stays.withColumn("__n", F.row_number().over(by_id.orderBy(F.col(f"`{text}`"))))
-    return numbered.filter("__n = 1").drop("__n")
+    key, body = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
+    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(doc_id)).distinct()
+    # The window sits on the partitioning of the join: texts are shuffled once.
+    stays = docs.filter(key.isNotNull()).join(kept, doc_id, "left_semi")
+    first = stays.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(body)))
+    # Rows without an id go by their fingerprint: kept where no row of the group has one.
+    bare = docs.filter(key.isNull()).dropDuplicates([text])
+    if bare.isEmpty():
+        return first.filter("__n = 1").drop("__n")
+    alone = groups.filter(F.col("component_id").isNull()).select("fp").distinct()
+    own = fingerprints(bare.select(body.alias("doc_id"), body.alias("text"))).join(alone, "fp", "left_semi")
+    same = body.eqNullSafe(F.col("__text"))
+    nameless = bare.join(own.select(F.col("doc_id").alias("__text")), same, "left_semi")
+    return first.filter("__n = 1").drop("__n").unionByName(nameless)
 
 
 @query("op3_simhash_groups")
