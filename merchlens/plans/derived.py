@@ -63,7 +63,8 @@ SELECT cast(o_orderkey AS string) AS query_id, o_orderpriority AS query_type, c_
          WHEN '4-NOT SPECIFIED' THEN 'Footwear' ELSE lower(c_mktsegment) END AS category,
        CASE o_orderpriority WHEN '2-HIGH' THEN 'nike' WHEN '3-MEDIUM' THEN 'any' ELSE NULL END AS brand,
        CASE o_orderstatus WHEN 'F' THEN 'lightweight|Shoes|not leather' WHEN 'O' THEN 'compact|without zip|durable' ELSE 'leather| Soft  grip |soft grip' END AS prefs,
-       CASE WHEN o_orderstatus = 'P' THEN 'UNSUPPORTED_INTENT' ELSE 'SUCCESS' END AS expected_status
+       CASE WHEN o_orderstatus = 'P' THEN 'UNSUPPORTED_INTENT' ELSE 'SUCCESS' END AS expected_status,
+       CASE WHEN o_custkey % 4 = 0 THEN 'leather' WHEN o_custkey % 4 = 1 THEN 'leather strap' END AS stored_exclusion, o_custkey % 5 = 0 AS stored_clarification
 FROM (SELECT o_orderkey, o_custkey, o_orderpriority, o_orderstatus, cast(cast(floor(o_totalprice) AS bigint) AS string) AS amt FROM {orders}) o
 JOIN {customer} c ON o.o_custkey = c.c_custkey
 """

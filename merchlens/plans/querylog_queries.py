@@ -222,7 +222,7 @@ def negation_conflicts(spark, d):
 
 
 _SYN = "(VALUES " + ", ".join(
-    f"('{w}','{c}',{i})" for i, (w, c) in enumerate((w, c) for c, ws in ql.CATEGORY_SYNONYMS for w in ws.split("|"))
+    f"('{w}','{c}',{i})" for i, (w, c) in enumerate(ql.CATEGORY_SYNONYMS.items())
 ) + ") s(w,c,p)"
 _CATS = "(VALUES " + ", ".join(f"('{c}',{i})" for i, c in enumerate(ql.CANONICAL_CATEGORIES)) + ") k(c,p)"
 _NORMCAT = f"""
@@ -422,14 +422,30 @@ def schema_round_trip(spark, d):
 def _refine_sql(price: bool, negation: bool, brand: bool, currency: bool) -> str:
     ev = f"({_EVIDENCE.replace('{query_texts}', '(SELECT query_id, raw_query FROM {shopper_log})')})"
     flag = lambda s: f"CASE WHEN e.{s}_value = l.{s}_price THEN e.{s}_inclusive ELSE true END" if price else "true"
-    return f"""SELECT l.query_id, {"n.category" if brand else "l.category"} AS category, {"CASE WHEN l.brand = 'any' THEN NULL WHEN l.brand = 'nike' THEN 'Nike' END" if brand else "l.brand"} AS brand,
+    return f"""SELECT l.query_id, {"n.category" if brand else "l.category"} AS category, {"CASE WHEN l.brand = 'any' THEN NULL WHEN l.brand = 'nike' THEN 'NIKE' END" if brand else "l.brand"} AS brand,
         {_NORMCUR if currency else "l.currency"} AS currency, {flag("min")} AS min_inclusive, {flag("max")} AS max_inclusive,
-        {"x.second_rules" if negation else "''"} AS exclusions
+        {"x.second_rules" if negation else "coalesce(l.stored_exclusion, '')"} AS exclusions, l.stored_clarification{f" OR {_NORMCUR} <> 'INR'" if currency else ""} AS needs_clarification
         FROM {{shopper_log}} l JOIN ({_NORMCAT}) n USING (query_id) JOIN {ev} e USING (query_id) JOIN ({_TYPED}) x USING (query_id)"""
 
 
-_TYPED = f"""SELECT query_id, array_to_string(list_filter(list_transform(list_filter(list_zip(regexp_extract_all(raw_query, '{_V2}', 1), regexp_extract_all(raw_query, '{_V2}', 2)), lambda p: coalesce(p[1],'') = ''),
-          lambda p: trim(regexp_replace(lower(p[2]), '\\s+', ' ', 'g'))), lambda v: NOT regexp_matches(v, '{ql.NEGATION_V2_GUARD}') AND length(v) <= 60), '|') AS second_rules FROM {{shopper_log}}"""
+_FOUND = f"""list_filter(list_transform(list_filter(list_zip(regexp_extract_all(raw_query, '{_V2}', 1), regexp_extract_all(raw_query, '{_V2}', 2)), lambda p: coalesce(p[1],'') = ''),
+          lambda p: trim(regexp_replace(lower(p[2]), '\\s+', ' ', 'g'))), lambda v: NOT regexp_matches(v, '{ql.NEGATION_V2_GUARD}') AND length(v) <= 60)"""
+# Stored exclusion first, then each found phrase that neither repeats nor overlaps an earlier one.
+_TYPED = f"""SELECT query_id, coalesce(array_to_string(CASE WHEN len(v) = 0 THEN [] ELSE list_reduce(list_transform(v, lambda x: [x]), lambda acc, x:
+     CASE WHEN len(list_filter(acc, lambda e: contains(x[1] || ' ', e || ' ') OR contains(e || ' ', x[1] || ' '))) > 0 THEN acc ELSE list_concat(acc, x) END) END, '|'), '') AS second_rules
+   FROM (SELECT query_id, list_concat(CASE WHEN stored_exclusion IS NULL THEN [] ELSE [stored_exclusion] END, {_FOUND}) AS v FROM {{shopper_log}})"""
+
+
+def _stored_log(spark, d):
+    """The log with what its stored interpretations already exclude and ask to clarify."""
+    stored = F.filter(F.array(F.struct(F.lit("attribute").alias("target_type"), F.col("stored_exclusion").alias("value"))), lambda e: e["value"].isNotNull())
+    return _log(spark, d).withColumns({"exclusions": stored, "needs_clarification": F.col("stored_clarification")})
+
+
+def _brands(spark, d):
+    """A catalog that spells the one brand of the log its own way."""
+    rows = load(spark, d, "shopper_log").select(F.lower("brand").alias("brand_key")).filter("brand_key <> 'any'")
+    return rows.distinct().withColumn("canonical", F.upper("brand_key"))
 
 
 @query(
@@ -441,12 +457,12 @@ _TYPED = f"""SELECT query_id, array_to_string(list_filter(list_transform(list_fi
 )
 def rule_ablation(spark, d):
     """Every rule group alone and all together."""
-    log = _log(spark, d).withColumn("product_type", F.lit("running shoes"))
+    log, brands = _stored_log(spark, d).withColumn("product_type", F.lit("running shoes")), _brands(spark, d)
     out = None
     for name, groups in (("all", ql.RULE_GROUPS), *[(g, (g,)) for g in ("price", "negation", "brand", "currency")]):
-        rows = ql.refine(log, groups).select(
+        rows = ql.refine(log, groups, brands).select(
             F.lit(name).alias("variant"), "query_id", "category", "brand", "currency", "min_inclusive", "max_inclusive",
-            F.array_join(F.transform("exclusions", lambda e: e["value"]), "|").alias("exclusions"),
+            F.array_join(F.transform("exclusions", lambda e: e["value"]), "|").alias("exclusions"), "needs_clarification",
         )
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -454,15 +470,21 @@ def rule_ablation(spark, d):
 
 @query(
     "refined_intent",
-    f"""SELECT l.query_id, n.category, CASE WHEN l.brand = 'any' THEN NULL WHEN l.brand = 'nike' THEN 'Nike' END AS brand, CASE WHEN min_price > max_price THEN NULL ELSE min_price END AS min_price,
+    f"""SELECT l.query_id, n.category, CASE WHEN stored_clarification AND n.category IS NULL THEN NULL WHEN l.brand = 'any' THEN NULL WHEN l.brand = 'nike' THEN 'NIKE' END AS brand, CASE WHEN min_price > max_price THEN NULL ELSE min_price END AS min_price,
         NOT regexp_matches(raw_query, '(?i){ql.STRICT_UPPER}') AS max_inclusive, CASE WHEN prefs LIKE 'lightweight%' THEN 'lightweight' WHEN prefs LIKE 'compact%' THEN 'compact|durable'
-          ELSE CASE WHEN query_type = '1-URGENT' THEN ' Soft  grip |soft grip' ELSE 'leather| Soft  grip |soft grip' END END AS prefs
+          ELSE CASE WHEN query_type = '1-URGENT' OR stored_exclusion IS NOT NULL THEN ' Soft  grip |soft grip' ELSE 'leather| Soft  grip |soft grip' END END AS prefs,
+        stored_clarification AS needs_clarification, coalesce(stored_exclusion, '') AS first_exclusion
         FROM {{shopper_log}} l JOIN ({_NORMCAT}) n USING (query_id)""",
 )
 def refined_intent(spark, d):
-    """Q25, second pass."""
-    out = ql.refine_v2(_log(spark, d).withColumn("product_type", F.lit(None).cast("string")))
-    return out.select("query_id", "category", "brand", "min_price", "max_inclusive", F.array_join("prefs", "|").alias("prefs"))
+    """Q25, second pass: what was stored comes first and stays."""
+    log = _stored_log(spark, d).withColumn("product_type", F.lit(None).cast("string"))
+    out = ql.refine_v2(log, _brands(spark, d))
+    first = F.when(F.col("stored_exclusion").isNotNull(), F.get("exclusions", F.lit(0))["value"])
+    return out.select(
+        "query_id", "category", "brand", "min_price", "max_inclusive", F.array_join("prefs", "|").alias("prefs"),
+        "needs_clarification", F.coalesce(first, F.lit("")).alias("first_exclusion"),
+    )
 
 
 @query(
