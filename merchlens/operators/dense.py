@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -9,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from merchlens.functions.vectors import cosine, norm, vector_problem
 from merchlens.operators.lexical import top_k
@@ -153,48 +155,70 @@ def nearest(catalog: DataFrame, vector: list[float], k: int) -> DataFrame:
     return scored.orderBy(F.desc(F.round("score", 8)), "doc_id").limit(k)
 
 
-def signatures(df: DataFrame, id_col: str, bands: int, bits: int, seed: int) -> DataFrame:
-    """Random-hyperplane band keys, one array per vector."""
+SIGNATURE_BITS = 512
+CANDIDATES = 200
+
+
+def planes(dim: int, bits: int) -> np.ndarray:
+    """(dim, bits) of +1 and -1: the first hexadecimal digit of md5("plane:dimension") below 8 is +1."""
+    digit = lambda j, i: hashlib.md5(f"{j}:{i}".encode()).hexdigest()[0]
+    return np.array([[1.0 if digit(j, i) < "8" else -1.0 for j in range(bits)] for i in range(dim)])
+
+
+def signatures(df: DataFrame, id_col: str, bits: int = SIGNATURE_BITS) -> DataFrame:
+    """(id, embedding): the side of each plane a vector lies on, as 64-bit words in place of the vector."""
+    cached: dict[int, np.ndarray] = {}
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def sign(vectors: pd.Series) -> pd.Series:
         if vectors.empty:
             return pd.Series([], dtype=object)
         m = np.stack(vectors.to_numpy()).astype("float64")
-        planes = np.random.RandomState(seed).standard_normal((m.shape[1], bands * bits))
-        on = (m @ planes > 0).reshape(len(m), bands, bits)
-        keys = on @ (1 << np.arange(bits, dtype="int64"))
-        return pd.Series(list(keys))
+        if m.shape[1] not in cached:
+            cached[m.shape[1]] = planes(m.shape[1], bits)
+        words = np.packbits(m @ cached[m.shape[1]] > 0, axis=1, bitorder="little").view("<i8")
+        return pd.Series(list(words))
 
-    return df.filter(F.col("embedding").isNotNull()).select(
-        id_col, "embedding", sign("embedding").alias("sig")
-    )
+    return df.filter(F.col("embedding").isNotNull()).select(id_col, sign("embedding").alias("embedding"))
 
 
 def approximate_top_k(
-    catalog: DataFrame, queries: DataFrame, k: int, bands: int = 24, bits: int = 4, seed: int = 7, pieces: int = 8
+    catalog: DataFrame,
+    queries: DataFrame,
+    k: int,
+    candidates: int = CANDIDATES,
+    bits: int = SIGNATURE_BITS,
+    rows_per_block: int = ROWS_PER_BLOCK,
+    queries_per_block: int = QUERIES_PER_BLOCK,
 ) -> DataFrame:
-    """R06. Hyperplane bands as an equi-join, then exact scores of the candidates.
+    """R06. The ``candidates`` vectors whose signatures differ least, then their exact scores.
 
-    Every member of a shared bucket is scored.  Buckets are cut in ``pieces`` by a
-    hash of the document, with the queries repeated per piece, so one crowded
-    bucket is several tasks.  A pair is emitted by its first shared band only, so
-    no distinct is needed.
+    Signatures take a quarter of the vectors' bytes and one XOR per 64 planes; only they
+    meet in the grid.  Each cell emits its best candidates, the best of all cells are
+    kept per query, and vectors are fetched once for those.  The number of exact scores
+    per query is fixed, so its share of all pairs falls as the catalog grows; recall
+    falls slowly with it (R12 reports it) and ``candidates`` buys it back.
     """
-    cat = signatures(catalog, "doc_id", bands, bits, seed).select(
-        "doc_id",
-        F.col("embedding").alias("d_vec"),
-        F.col("sig").alias("d_sig"),
-        F.posexplode("sig").alias("band", "key"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(pieces)).alias("piece"),
+
+    def cell(cat: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
+        ids = cat["doc_id"].to_numpy()
+        words = np.stack(cat["embedding"].to_numpy()).view(np.uint64)  # the count is of magnitudes else
+        parts = []
+        for row in qs.itertuples(index=False):
+            differing = np.bitwise_count(words ^ np.asarray(row.q_vec).view(np.uint64)).sum(axis=1, dtype=np.int64)
+            best = np.lexsort((ids, differing))[:candidates]
+            parts.append(pd.DataFrame({"query_id": row.query_id, "doc_id": ids[best], "differing": differing[best]}))
+        return pd.concat(parts, ignore_index=True)
+
+    met = _grid(
+        signatures(catalog, "doc_id", bits), signatures(queries, "query_id", bits), False, rows_per_block,
+        queries_per_block, cell, "query_id {query_id}, doc_id {doc_id}, differing bigint",
     )
-    qs = (
-        signatures(queries, "query_id", bands, bits, seed)
-        .select("query_id", F.col("embedding").alias("q_vec"), F.col("sig").alias("q_sig"), F.posexplode("sig").alias("band", "key"))
-        .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(pieces - 1).cast("bigint"))))
+    nearest_first = W.partitionBy("query_id").orderBy("differing", "doc_id")
+    near = met.withColumn("_n", F.row_number().over(nearest_first)).filter(F.col("_n") <= candidates)
+    pairs = near.join(catalog.select("doc_id", F.col("embedding").alias("d_vec")), "doc_id").join(
+        queries.select("query_id", F.col("embedding").alias("q_vec")), "query_id"
     )
-    first = F.array_position(F.zip_with("q_sig", "d_sig", lambda a, b: a == b), F.lit(True)) - 1
-    pairs = qs.join(cat, ["band", "key", "piece"]).filter(first == F.col("band"))
     scored = pairs.select("query_id", "doc_id", cosine(F.col("q_vec"), F.col("d_vec")).alias("score"))
     return top_k(scored, k)
 
@@ -247,20 +271,36 @@ def vector_report(df: DataFrame, dim: int) -> DataFrame:
 
 
 def search_checks(ranked: DataFrame, k: int) -> DataFrame:
-    """R17. Per query: K rows, contiguous ranks, scores that never rise."""
+    """R17. Per query: K rows, contiguous ranks, cosine distances in 0 to 2 that never fall, self match first.
+
+    ``self_first`` holds where the query's own vector is in the catalog under the same id.
+    """
     rows = ranked.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("returned"),
         F.max("rank").alias("last_rank"),
-        F.sort_array(F.collect_list(F.struct("rank", F.round("score", 8).alias("s")))).alias("l"),
+        F.sort_array(F.collect_list(F.struct("rank", (1 - F.round("score", 8)).alias("d")))).alias("l"),
+        F.bool_or((F.col("rank") == 1) & (F.col("doc_id") == F.col("query_id"))).alias("self_first"),
     )
-    falling = F.forall(
-        F.zip_with(F.slice("l", 1, k - 1), F.slice("l", 2, k - 1), lambda a, b: b["s"].isNull() | (a["s"] >= b["s"])),
-        lambda x: x,
+    fine = F.forall("l", lambda x: ~F.isnan(x["d"]) & x["d"].between(-1e-8, 2 + 1e-8))
+    rising = F.forall(
+        F.transform("l", lambda x, i: F.coalesce(F.get("l", i + 1)["d"] >= x["d"], F.lit(True)) & ~F.isnan(x["d"])),
+        lambda ok: ok,
     )
     return rows.select(
         "query_id", "returned", (F.col("returned") == k).alias("full"),
-        (F.col("last_rank") == F.col("returned")).alias("contiguous"), falling.alias("ordered"),
+        (F.col("last_rank") == F.col("returned")).alias("contiguous"), rising.alias("ordered"), fine.alias("in_range"),
+        "self_first",
+    )
+
+
+def filtered_checks(rows: DataFrame, eligible: DataFrame, k: int) -> DataFrame:
+    """R17 under filters. ``rows``: query_id, satisfied; ``eligible``: query_id, eligible."""
+    per = rows.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("returned"), F.count_if(~F.col("satisfied")).alias("violations")
     )
+    out = eligible.join(per, "query_id", "left").fillna(0).withColumn("possible", F.least(F.lit(k), F.col("eligible")))
+    ok = (F.col("returned") == F.col("possible")) & (F.col("violations") == 0)
+    return out.select("query_id", "possible", "returned", "violations", ok.alias("ok"))
 
 
 def margins(scored: DataFrame) -> DataFrame:

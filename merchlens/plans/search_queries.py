@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from merchlens.functions.vectors import cosine_distance
 from merchlens.operators import constraints as cs
 from merchlens.operators import dense as dn
 from merchlens.operators import fusion as fu
@@ -179,14 +180,26 @@ def nearest_one(spark, d):
     return dn.nearest(vectors, probe, 10).withColumn("score", F.round("score", 6))
 
 
-@query("dense_topk_ann")
+# Signatures as lists of +1 and -1: differing bits are (512 - product) / 2.
+_ANN_CTE = f"""WITH {DENSE_CTE}, planes AS MATERIALIZED (SELECT j, list(CASE WHEN substr(md5(j || ':' || i), 1, 1) < '8' THEN 1.0 ELSE -1.0 END ORDER BY i) AS p FROM range(512) a(j), range(64) b(i) GROUP BY j),
+ sig AS MATERIALIZED (SELECT vec_id, list(CASE WHEN list_dot_product(cast(embedding AS DOUBLE[]), p) > 0 THEN 1.0 ELSE -1.0 END ORDER BY j) AS s FROM embeddings, planes GROUP BY vec_id),
+ near AS (SELECT query_id, doc_id FROM (SELECT query_id, d.vec_id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(q.s, d.s) DESC, d.vec_id) AS n
+   FROM qs JOIN sig q ON q.vec_id = query_id JOIN sig d ON true) WHERE n <= 200),
+ ann AS MATERIALIZED (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score,8) DESC, doc_id) AS rank FROM den JOIN near USING (query_id, doc_id))"""
+
+
+@query("dense_topk_ann", f"{_ANN_CTE} SELECT query_id, doc_id, cast(rank AS INT) AS rank, round(score,6) AS score FROM ann WHERE rank <= 10")
 def dense_topk_ann(spark, d):
     """R06."""
     top = dn.approximate_top_k(catalog(spark, d), load(spark, d, "search_queries"), 10)
     return top.withColumn("score", F.round("score", 6))
 
 
-@query("ann_recall")
+@query(
+    "ann_recall",
+    f"""{_ANN_CTE}, r AS (SELECT e.query_id, k, avg(CASE WHEN a.rank <= k THEN 1.0 ELSE 0 END) AS recall FROM denr e LEFT JOIN ann a USING (query_id, doc_id), (VALUES (5),(10),(20)) t(k) WHERE e.rank <= k GROUP BY 1,2)
+        SELECT k, round(avg(recall),6) AS avg_recall, round(min(recall),6) AS min_recall, count(*) AS queries FROM r GROUP BY k""",
+)
 def ann_recall(spark, d):
     """R12 at K = 5, 10, 20."""
     products, queries = catalog(spark, d), load(spark, d, "search_queries")
@@ -216,28 +229,82 @@ def filtered_underfill(spark, d):
     return dn.underfill(filtered, plain, allowed, eligible, 10)
 
 
+def _damaged(spark, d):
+    """The given vectors with one kind of fault per id."""
+    turn, e = F.col("vec_id") % 20, F.col("embedding")
+    first = lambda value: F.transform(e, lambda x, i: F.when(i == 0, F.lit(value)).otherwise(x))
+    damaged = (
+        F.when(turn == 1, F.lit(None)).when(turn == 2, F.slice(e, 1, 63)).when(turn == 3, first(float("nan")))
+        .when(turn == 4, first(float("inf"))).when(turn == 5, F.transform(e, lambda x: x * 0))
+        .when(turn == 6, F.transform(e, lambda x: x * 3)).otherwise(e)
+    )
+    return load(spark, d, "embeddings").select("vec_id", damaged.alias("embedding"))
+
+
 @query(
     "vector_checks",
-    """SELECT count(*) AS vectors, count(*) FILTER (abs(n-1) <= 0.001) AS usable, 0 AS missing, count(*) FILTER (len(embedding) <> 64) AS dimension, 0 AS not_finite, count(*) FILTER (n = 0) AS zero,
-       count(*) FILTER (abs(n-1) > 0.001) AS not_unit, round(min(n),6) AS min_norm, round(avg(n),6) AS mean_norm, round(max(n),6) AS max_norm
-       FROM (SELECT embedding, sqrt(list_dot_product(cast(embedding AS DOUBLE[]), cast(embedding AS DOUBLE[]))) AS n FROM embeddings)""",
+    """SELECT count(*) AS vectors, count(*) FILTER (t NOT BETWEEN 1 AND 6 AND abs(n-1) <= 0.001) AS usable, count(*) FILTER (t = 1) AS missing, count(*) FILTER (t = 2) AS dimension, count(*) FILTER (t IN (3, 4)) AS not_finite,
+       count(*) FILTER (t = 5) AS zero, count(*) FILTER (t = 6 OR (t NOT BETWEEN 1 AND 6 AND abs(n-1) > 0.001)) AS not_unit, round(min(n) FILTER (t NOT BETWEEN 1 AND 6),6) AS min_norm, round(max(n) FILTER (t NOT BETWEEN 1 AND 6),6) AS max_norm
+       FROM (SELECT vec_id % 20 AS t, sqrt(list_dot_product(cast(embedding AS DOUBLE[]), cast(embedding AS DOUBLE[]))) AS n FROM embeddings)""",
 )
 def vector_checks(spark, d):
-    """R15."""
-    return dn.vector_report(load(spark, d, "embeddings"), 64)
+    """Counts over damaged vectors, norms over the usable ones."""
+    damaged = _damaged(spark, d)
+    norms = dn.vector_report(damaged.filter((F.col("vec_id") % 20 == 0) | (F.col("vec_id") % 20 > 6)), 64)
+    counts = dn.vector_report(damaged, 64).drop("min_norm", "mean_norm", "max_norm")
+    return counts.join(F.broadcast(norms.select("min_norm", "max_norm")))  # one row each
+
+
+# A run with faults by query: rows lost, ranks torn, distances out of order, itself not first.
+def _faulty_run(spark, d):
+    top = dn.exact_top_k(catalog(spark, d), load(spark, d, "search_queries"), 10)
+    turn, r = F.col("query_id") % 6, F.col("rank")
+    torn = F.when((turn == 2) & (r > 5), r + 1).otherwise(r)
+    swapped = F.when((turn == 3) & (r == 4), F.col("score") + 2).when((turn == 5) & (r == 7), F.lit(float("nan"))).otherwise(F.col("score"))
+    other = F.when((turn == 4) & (r == 1), F.col("doc_id") + 1_000_000).otherwise(F.col("doc_id"))
+    return top.filter(~((turn == 1) & (r > 8))).select("query_id", other.alias("doc_id"), torn.alias("rank"), swapped.alias("score"))
 
 
 @query(
     "vector_search_checks",
-    f"WITH {DENSE_CTE} SELECT query_id, count(*) AS returned, count(*) = 10 AS \"full\", true AS contiguous, true AS ordered, bool_or(rank = 1 AND doc_id = query_id) AS self_first FROM denr WHERE rank <= 10 GROUP BY query_id",
+    f"""WITH {DENSE_CTE} SELECT query_id, count(*) FILTER (t <> 1 OR rank <= 8) AS returned, t <> 1 AS "full", t <> 2 AS contiguous, t NOT IN (3, 5) AS ordered, t NOT IN (3, 5) AS in_range, bool_or(rank = 1 AND doc_id = query_id AND t <> 4) AS self_first
+        FROM (SELECT *, query_id % 6 AS t FROM denr WHERE rank <= 10) GROUP BY query_id, t""",
 )
 def vector_search_checks(spark, d):
-    """K rows, contiguous ranks, falling scores, self match first."""
-    top = dn.exact_top_k(catalog(spark, d), load(spark, d, "search_queries"), 10)
-    own = top.groupBy("query_id").agg(
-        F.bool_or((F.col("rank") == 1) & (F.col("doc_id") == F.col("query_id"))).alias("self_first")
+    """K rows, contiguous ranks, distances in range that never fall, self match first; every fault occurs."""
+    return dn.search_checks(_faulty_run(spark, d), 10)
+
+
+@query(
+    "filtered_search_checks",
+    f"""WITH {DENSE_CTE} SELECT query_id, least(10, el) AS possible, coalesce(n, 0) AS returned, coalesce(bad, 0) AS violations, coalesce(n, 0) = least(10, el) AND coalesce(bad, 0) = 0 AS ok FROM (SELECT query_id, count(*) FILTER (ok) AS el FROM den GROUP BY 1)
+        LEFT JOIN (SELECT query_id, count(*) AS n, count(*) FILTER (NOT ok) AS bad FROM (SELECT den.*, row_number() OVER (PARTITION BY query_id ORDER BY round(score,8) DESC, doc_id) AS r FROM den WHERE ok OR query_id % 4 = 1) WHERE r <= 10 GROUP BY 1) USING (query_id)""",
+)
+def filtered_search_checks(spark, d):
+    """R17 under filters: K rows where so many are eligible, all of them satisfying; every fourth query ignores its filters."""
+    products, queries = catalog(spark, d), load(spark, d, "search_queries")
+    careless = F.col("query_id") % 4 == 1
+    runs = dn.exact_top_k(products, queries.filter(~careless), 10, filtered=True).unionByName(
+        dn.exact_top_k(products, queries.filter(careless), 10)
+    )
+    rows = runs.join(products.drop("embedding"), "doc_id").join(_filters(spark, d), "query_id")
+    checked = rows.select("query_id", F.coalesce(cs.matches_columns(), F.lit(False)).alias("satisfied"))
+    return dn.filtered_checks(checked, dn.eligible_vectors(products, queries), 10)
+
+
+@query(
+    "cosine_distances",
+    f"""SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(CASE WHEN a.vec_id % 20 = 5 OR b.vec_id % 20 = 5 THEN 1.0 ELSE greatest(0, least(2, 1 - ({_COS.format('a.embedding', 'b.embedding')}))) END, 6) AS distance
+        FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id // 2""",
+)
+def cosine_distances(spark, d):
+    """Distance of each vector to that of half its id; 1 for a zero vector, never outside 0 to 2."""
+    zeroed = load(spark, d, "embeddings").withColumn(
+        "embedding", F.when(F.col("vec_id") % 20 == 5, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding"))
     )
-    return dn.search_checks(top, 10).join(own, "query_id")
+    a = zeroed.select(F.col("vec_id").alias("left_id"), F.col("embedding").alias("a"), F.floor(F.col("vec_id") / 2).alias("right_id"))
+    b = zeroed.select(F.col("vec_id").alias("right_id"), F.col("embedding").alias("b"))
+    return a.join(b, "right_id").select("left_id", "right_id", F.round(cosine_distance(F.col("a"), F.col("b")), 6).alias("distance"))
 
 
 @query(
