@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from merchlens.functions import text as tx
 from merchlens.functions.stats import pct
+from merchlens.operators.quantiles import distinct_counts, exact_quantiles, wide
 
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
@@ -37,21 +38,21 @@ def _per_column(df: DataFrame, metrics: dict[str, callable]) -> DataFrame:
 
 
 def overview(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """A04. Non-null, distinct and a small sample per column.
+    """A04. Non-null, distinct, smallest and largest value per column; long values are cut when shown.
 
     Samples are the three smallest distinct values (the reference takes the first
     three, which has no meaning in a distributed table).
     """
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    out = _per_column(
-        df,
-        {
-            "non_null": F.count,
-            "distinct_count": lambda c: distinct(c),
-            "min_value": lambda c: F.min(F.left(c.cast("string"), F.lit(60))),
-            "max_value": lambda c: F.max(F.left(c.cast("string"), F.lit(60))),
-        },
-    )
+    metrics = {
+        "non_null": F.count,
+        "min_value": lambda c: F.left(F.min(c.cast("string")), F.lit(60)),
+        "max_value": lambda c: F.left(F.max(c.cast("string")), F.lit(60)),
+    }
+    if approximate:
+        out = _per_column(df, {**metrics, "distinct_count": F.approx_count_distinct})
+    else:
+        counts = distinct_counts(df, {c: F.col(f"`{c}`") for c in df.columns})
+        out = _per_column(df, metrics).join(counts, "column_name")
     return out.withColumns(
         {
             "null_count": F.col("total_rows") - F.col("non_null"),
@@ -125,25 +126,28 @@ def duplicates(df: DataFrame, id_col: str, pid: str, name: str, brand: str, pric
         F.lower(F.trim(F.coalesce(brand, F.lit("")))).alias("b"),
         F.coalesce(F.col(price).cast("string"), F.lit("-1")).alias("p"),
     )
-    everything = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    n = F.count(F.lit(1))
-    return df.agg(
-        (n - F.count_distinct(everything)).alias("exact_duplicate_rows"),
-        (n - F.count_distinct(id_col)).alias("duplicate_id"),
-        (n - F.count_distinct(pid)).alias("duplicate_pid"),
-        (n - F.count_distinct(name)).alias("duplicate_name"),
-        (n - F.count_distinct(norm)).alias("potential_duplicate_products"),
+    # A row is there even if all its columns are NULL: only its hash is compared.
+    counts = distinct_counts(
+        df,
+        {
+            "exact_duplicate_rows": F.struct(*[F.col(f"`{c}`") for c in df.columns]),
+            "duplicate_id": F.col(id_col),
+            "duplicate_pid": F.col(pid),
+            "duplicate_name": F.col(name),
+            "potential_duplicate_products": norm,
+        },
+    )
+    total = df.agg(F.count(F.lit(1)).alias("n"))
+    names = ("exact_duplicate_rows", "duplicate_id", "duplicate_pid", "duplicate_name", "potential_duplicate_products")
+    return counts.join(F.broadcast(total)).agg(  # one row: the number of rows
+        *[F.max(F.when(F.col("column_name") == c, F.col("n") - F.col("distinct_count"))).alias(c) for c in names]
     )
 
 
 def numeric_stats(df: DataFrame, columns: list[str], digits: int = 2) -> DataFrame:
     """A08. Count, spread and interpolated percentiles of numeric (or numeric text) columns."""
-
-    def quantile(q: float):
-        return lambda c: F.round(F.percentile(c, F.lit(q)), digits)
-
     nums = df.select([F.col(c).try_cast("double").alias(c) for c in columns])
-    return _per_column(
+    stats = _per_column(
         nums,
         {
             "valid_count": F.count,
@@ -152,9 +156,16 @@ def numeric_stats(df: DataFrame, columns: list[str], digits: int = 2) -> DataFra
             "max": F.max,
             "mean": lambda c: F.round(F.avg(c), digits),
             "std": lambda c: F.round(F.when(F.count(c) > 1, F.stddev_samp(c)).otherwise(F.lit(0.0)), digits),
-            **{f"p{int(q * 100)}": quantile(q) for q in QUANTILES},
         },
     )
+    found = wide(_melted_quantiles(nums, list(QUANTILES)), "column_name", {(q, "interpolated"): f"p{int(q * 100)}" for q in QUANTILES})
+    rounded = found.select("column_name", *[F.round(c, digits).alias(c) for c in found.columns[1:]])
+    return stats.join(rounded, "column_name", "left")
+
+
+def _melted_quantiles(nums: DataFrame, q: list[float]) -> DataFrame:
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("v")) for c in nums.columns])
+    return exact_quantiles(nums.select(F.inline(cells)), "column_name", "v", q)
 
 
 def price_anomalies(df: DataFrame, retail: str, discounted: str) -> DataFrame:
@@ -165,9 +176,12 @@ def price_anomalies(df: DataFrame, retail: str, discounted: str) -> DataFrame:
     stats = [
         F.round(fn(c), 2).alias(f"{name}_{label}")
         for name, c in (("amount", amount), ("pct", share))
-        for label, fn in (("mean", F.avg), ("median", F.median), ("max", F.max), ("min", F.min))
+        for label, fn in (("mean", F.avg), ("max", F.max), ("min", F.min))
     ]
-    return df.agg(
+    medians = wide(
+        _melted_quantiles(df.select(amount.alias("amount"), share.alias("pct")), [0.5]), "column_name", {(0.5, "interpolated"): "m"}
+    ).agg(*[F.round(F.max(F.when(F.col("column_name") == c, F.col("m"))), 2).alias(f"{c}_median") for c in ("amount", "pct")])
+    counts = df.agg(
         F.count_if(d > r).alias("discount_exceeds_retail"),
         F.count_if(r <= 0).alias("non_positive_retail"),
         F.count_if(d <= 0).alias("non_positive_discounted"),
@@ -176,6 +190,7 @@ def price_anomalies(df: DataFrame, retail: str, discounted: str) -> DataFrame:
         F.count_if(d.isNull() & r.isNotNull()).alias("discounted_missing_only"),
         *stats,
     )
+    return counts.join(F.broadcast(medians))  # one row each
 
 
 def rating_profile(df: DataFrame, columns: list[str]) -> DataFrame:

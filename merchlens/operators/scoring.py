@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from merchlens.functions.stats import f1, precision, recall, wilson
 from merchlens.functions.text import collapse_space
+from merchlens.operators.quantiles import exact_quantiles, wide
 
 # ---------------------------------------------------------------------------
 # Fixed values of the scoring policy.
@@ -263,17 +264,19 @@ def metric_deltas(recomputed: DataFrame, reported: DataFrame, by: list[str], met
     )
 
 
-def latency_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """A22. Mean, interpolated p50/p95, nearest-rank p95, extremes."""
-    return df.groupBy(*by).agg(
+def latency_stats(df: DataFrame, by: str, value: str) -> DataFrame:
+    """A22. Mean, interpolated p50/p95, nearest-rank p95, extremes; quantiles without one task per group."""
+    stats = df.groupBy(by).agg(
         F.count(value).alias("n"),
         F.round(F.avg(value), 4).alias("mean"),
-        F.round(F.percentile(value, F.lit(0.5)), 4).alias("p50"),
-        F.round(F.percentile(value, F.lit(0.95)), 4).alias("p95"),
-        F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95_nearest"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),
     )
+    names = {(0.5, "interpolated"): "p50", (0.95, "interpolated"): "p95", (0.95, "nearest"): "p95_nearest"}
+    found = wide(exact_quantiles(df, by, value, [0.5, 0.95], [0.95]), by, names).withColumnRenamed(by, "_by")
+    return stats.join(found, F.col(by).eqNullSafe(F.col("_by")), "left").select(
+        by, "n", "mean", F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"), "p95_nearest", "min", "max"
+    )
 
 
 def usage_rollup(df: DataFrame, request: str, stage: str, tokens: str, price_per_million: float) -> DataFrame:

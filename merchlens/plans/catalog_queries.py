@@ -301,7 +301,10 @@ def match_keys(spark, d):
 
 
 # --------------------------------------------------------------------------- profiling
-_RAWCOLS = ["product_name", "brand", "description", "product_rating", "product_specifications"]
+_RAWCOLS = [
+    "uniq_id", "pid", "product_name", "product_category_tree", "retail_price", "discounted_price", "brand", "product_rating",
+    "overall_rating", "description", "product_specifications", "image",
+]
 
 
 def _union_cols(cols, body):
@@ -313,7 +316,7 @@ def _union_cols(cols, body):
     "SELECT *, total_rows - non_null AS null_count, round((total_rows-non_null)*100.0/total_rows,2) AS null_pct, round(distinct_count*100.0/total_rows,2) AS distinct_pct FROM ("
     + _union_cols(
         _RAWCOLS,
-        "SELECT '$c' AS column_name, count(*) AS total_rows, count($c) AS non_null, count(DISTINCT $c) AS distinct_count, min(left($c,60)) AS min_value, max(left($c,60)) AS max_value FROM {raw_catalog}",
+        "SELECT '$c' AS column_name, count(*) AS total_rows, count($c) AS non_null, count(DISTINCT $c) AS distinct_count, left(min($c),60) AS min_value, left(max($c),60) AS max_value FROM {raw_catalog}",
     )
     + ")",
 )

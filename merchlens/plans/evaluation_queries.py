@@ -768,7 +768,7 @@ def metric_recheck(spark, d):
 )
 def latency_stats(spark, d):
     """A22."""
-    return sc.latency_stats(load(spark, d, "events"), ["event_type"], "value")
+    return sc.latency_stats(load(spark, d, "events"), "event_type", "value")
 
 
 @query(
