@@ -114,6 +114,112 @@ def score_cases(df: DataFrame) -> DataFrame:
     return out.drop("_ah", "_eh", "_as", "_es", "_am", "_em")
 
 
+def _counts() -> dict[str, Column]:
+    """TP/FP/FN over the hard fields; an unexpected INR is the default, not a find."""
+    tp = fp = fn = F.lit(0)
+    for f in HARD_FIELDS:
+        e, a = F.col(f"expected.{f}").cast("string"), F.col(f"actual.{f}").cast("string")
+        same = F.coalesce(F.lower(e) == F.lower(a), F.lit(False))
+        extra = a.isNotNull() & ~(e.isNull() & (a == "INR") if f == "currency" else F.lit(False))
+        tp = tp + F.when(same, 1).otherwise(0)
+        fp = fp + F.when(extra & ~same, 1).otherwise(0)
+        fn = fn + F.when(e.isNotNull() & ~same, 1).otherwise(0)
+    return {"true_positives": tp, "false_positives": fp, "false_negatives": fn}
+
+
+def _set(c: Column, trim: bool) -> Column:
+    lower = F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda p: F.trim(F.lower(p)) if trim else F.lower(p))
+    return F.array_distinct(lower)
+
+
+def _set_f1(a: Column, e: Column) -> Column:
+    """F1 of two sets: both empty is 1, one empty is 0."""
+    both = F.size(F.array_intersect(a, e))
+    return F.when((F.size(a) == 0) & (F.size(e) == 0), 1.0).otherwise(2.0 * both / (F.size(a) + F.size(e)))
+
+
+def _field_matches(trim_brand: bool, default_actual: bool) -> dict[str, Column]:
+    act, exp = (lambda f: F.col(f"actual.{f}")), (lambda f: F.col(f"expected.{f}"))
+    clean = (lambda c: F.trim(F.lower(c))) if trim_brand else F.lower
+    currency = F.coalesce(act("currency"), F.lit("INR")) if default_actual else act("currency")
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    return {
+        "category_match": act("category").eqNullSafe(exp("category")),
+        "brand_match": clean(act("brand")).eqNullSafe(clean(exp("brand"))),
+        "price_match": act("min_price").eqNullSafe(exp("min_price")) & act("max_price").eqNullSafe(exp("max_price")),
+        "rating_match": act("min_rating").eqNullSafe(exp("min_rating")),
+        "currency_match": currency.eqNullSafe(F.coalesce(exp("currency"), F.lit("INR"))),
+        "clarification_match": flag(act("needs_clarification")) == flag(exp("needs_clarification")),
+    }
+
+
+def _all(names) -> Column:
+    out = F.lit(True)
+    for n in names:
+        out = out & F.col(n)
+    return out
+
+
+def score_fields(df: DataFrame) -> DataFrame:
+    """E28, first policy: field matches, field counts and the exact match of all of them.
+
+    ``df``: case_id, valid and structs ``actual`` and ``expected`` with the hard fields,
+    needs_clarification and soft_preferences.  Preferences are compared in lower case.
+    """
+    fields = _field_matches(trim_brand=False, default_actual=False)
+    soft = _set_f1(_set(F.col("actual.soft_preferences"), False), _set(F.col("expected.soft_preferences"), False))
+    out = df.withColumns({**fields, **_counts(), "soft_f1": F.round(soft, 4)})
+    return out.withColumn("exact_match", F.col("valid") & _all(fields))
+
+
+def score_complete(df: DataFrame) -> DataFrame:
+    """E28, second policy: the first one's fields plus everything else an answer holds.
+
+    Adds product type, inclusivity flags (compared where both sides have them), typed
+    exclusions and the preference sets; ``strict_exact`` wants all of it, ``legacy_exact``
+    the fields alone.
+    """
+    fields = _field_matches(trim_brand=True, default_actual=True)
+    act, exp = (lambda f: F.col(f"actual.{f}")), (lambda f: F.col(f"expected.{f}"))
+
+    def flag_match(f: str) -> Column:
+        return act(f).isNull() | exp(f).isNull() | (act(f) == exp(f))
+
+    def typed(side: Column) -> Column:
+        entries = F.coalesce(side, F.array().cast("array<struct<target_type:string,value:string>>"))
+        return F.array_distinct(
+            F.transform(
+                entries,
+                lambda e: F.concat(F.coalesce(e["target_type"], F.lit("attribute")), F.lit(":"), F.lower(F.coalesce(e["value"], F.lit("")))),
+            )
+        )
+
+    wanted, given = _set(exp("soft_preferences"), True), _set(act("soft_preferences"), True)
+    both = F.size(F.array_intersect(given, wanted))
+    kind = exp("product_type").isNull() | F.coalesce(
+        F.trim(F.lower(act("product_type"))) == F.trim(F.lower(exp("product_type"))), F.lit(False)
+    )
+    out = df.withColumns(
+        {
+            **fields,
+            **_counts(),
+            "boundary_match": flag_match("min_inclusive") & flag_match("max_inclusive"),
+            "product_type_match": kind,
+            "soft_precision": F.round(F.coalesce(F.try_divide(both, F.size(given)), F.lit(1.0)), 4),
+            "soft_recall": F.round(F.coalesce(F.try_divide(both, F.size(wanted)), F.lit(1.0)), 4),
+            "soft_f1": F.round(_set_f1(given, wanted), 4),
+            "soft_exact": (F.size(F.array_except(given, wanted)) == 0) & (F.size(F.array_except(wanted, given)) == 0),
+            "exclusions_f1": F.round(_set_f1(typed(act("exclusions")), typed(exp("exclusions"))), 4),
+        }
+    )
+    return out.withColumns(
+        {"exclusions_match": F.col("exclusions_f1") == 1.0, "legacy_exact": _all(fields)}
+    ).withColumn(
+        "strict_exact",
+        _all(["legacy_exact", "soft_exact", "exclusions_match", "product_type_match", "boundary_match"]),
+    )
+
+
 def summarize(scored: DataFrame, by: list[str]) -> DataFrame:
     """A21 / E29. Micro counts, macro F1, rates with Wilson bounds, field accuracies."""
 

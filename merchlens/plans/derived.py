@@ -140,6 +140,23 @@ SELECT CASE WHEN p_size = 9 THEN p_partkey + 100000000 ELSE p_partkey END AS p_p
 FROM {part} WHERE p_size <> 13
 """
 
+# Extraction answers next to what was expected; each order errs in its own way.
+SQL["extraction_cases"] = """
+SELECT cast(o_orderkey AS string) AS case_id, o_orderkey % 11 <> 3 AS valid,
+       'Footwear' AS e_category, CASE WHEN o_orderkey % 7 = 1 THEN 'footwear' WHEN o_orderkey % 7 = 2 THEN NULL ELSE 'Footwear' END AS a_category,
+       CASE WHEN o_custkey % 3 > 0 THEN 'Nike' END AS e_brand, CASE o_custkey % 4 WHEN 0 THEN ' nike ' WHEN 1 THEN 'NIKE' WHEN 2 THEN 'Puma' END AS a_brand,
+       CASE WHEN o_custkey % 2 = 0 THEN '100.0' END AS e_min_price, CASE WHEN o_custkey % 4 = 0 THEN '100.0' WHEN o_custkey % 4 = 1 THEN '5.0' END AS a_min_price,
+       '990.0' AS e_max_price, CASE WHEN o_orderkey % 9 = 4 THEN '99.0' ELSE '990.0' END AS a_max_price,
+       CASE WHEN o_orderkey % 5 = 0 THEN '4.0' END AS e_min_rating, CASE WHEN o_orderkey % 10 = 0 THEN '4.0' END AS a_min_rating,
+       CASE WHEN o_orderkey % 6 = 0 THEN 'USD' END AS e_currency, CASE o_orderkey % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'INR' WHEN 2 THEN 'INR' END AS a_currency,
+       o_orderkey % 8 = 5 AS e_clarify, CASE WHEN o_orderkey % 16 = 5 THEN true WHEN o_orderkey % 16 = 6 THEN NULL ELSE false END AS a_clarify,
+       CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'light|Soft Grip' ELSE 'durable' END AS e_soft, CASE o_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'Light' WHEN 2 THEN 'light| soft grip ' WHEN 3 THEN 'durable|durable' ELSE 'light|soft grip|blue' END AS a_soft,
+       CASE WHEN o_orderkey % 2 = 0 THEN 'running shoes' END AS e_type, CASE o_custkey % 3 WHEN 0 THEN ' Running Shoes' WHEN 1 THEN 'boots' END AS a_type,
+       CASE WHEN o_orderkey % 5 < 3 THEN o_orderkey % 5 = 0 END AS e_incl, CASE WHEN o_custkey % 5 < 4 THEN o_custkey % 2 = 0 END AS a_incl,
+       CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'attribute:leather' ELSE 'brand:nike|attribute:leather' END AS e_excl, CASE o_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'attribute:Leather' WHEN 2 THEN 'attribute:leather|brand:nike' ELSE 'brand:leather' END AS a_excl
+FROM {orders}
+"""
+
 # An assembled knowledge base with one kind of fault per part size; ``v_fault`` says what
 # is wrong with the row's vector.
 SQL["faulty_products"] = """

@@ -15,7 +15,7 @@ from merchlens.plans.derived import load
 from merchlens.plans.registry import query
 from merchlens.plans.querylog_queries import _LOGX, _SOFTX
 from merchlens.session import cut_lineage
-from merchlens.plans.search_queries import RUNS_CTE, frozen_candidates, frozen_runs
+from merchlens.plans.search_queries import RUNS_CTE, external_scores, frozen_candidates, frozen_runs
 
 KS = [3, 5, 10]
 _GAIN = "(pow(2.0, {0}) - 1) / log2({1} + 1)"
@@ -191,20 +191,30 @@ _RRX = """SELECT query_id, doc_id, rank, score, coalesce((dm - dense_rank + 1)*1
 
 @query(
     "reranker_comparison",
-    f"""{EVAL_CTE}, rr AS (SELECT 'multi_signal' AS method, query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(ms,8) DESC, rank, doc_id) AS nr FROM ({_RRX})
-          UNION ALL SELECT 'rrf', query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score,8) DESC, rank, doc_id) FROM hyb),
+    f"""{EVAL_CTE}, sg AS (SELECT r.*, (length(b.text) % 97) * 1.0 / 97 + (p.price % 31) / 31.0 AS s FROM ({_RRX}) r JOIN benchmark b ON b.item_id = r.query_id JOIN prods p ON p.doc_id = r.doc_id),
+        mx AS (SELECT *, CASE WHEN max(s) OVER w - min(s) OVER w <= 1e-12 THEN 0.5 ELSE (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) END AS mm FROM sg WINDOW w AS (PARTITION BY query_id)),
+        rr AS MATERIALIZED (SELECT method, query_id, doc_id, rank, row_number() OVER (PARTITION BY method, query_id ORDER BY round(v,8) DESC, rank, doc_id) AS nr FROM (
+          SELECT *, unnest(['multi_signal','rrf','pair','combined']) AS method, unnest([ms, score, mm, 0.7*mm + 0.3*ms]) AS v FROM mx)),
         pr AS (SELECT method, query_id, coalesce(sum(CASE WHEN grade > 0 THEN {_GAIN.format('grade', 'nr')} END),0) AS dcg, min(CASE WHEN grade>=2 THEN nr END) AS fr FROM rr LEFT JOIN qr USING (query_id, doc_id) WHERE nr <= 5 GROUP BY 1,2)
-        SELECT method, count(*) AS queries, round(avg(round(CASE WHEN coalesce(idcg,0)>0 THEN dcg/idcg ELSE 0 END,6)),6) AS mean_ndcg, round(avg(round(coalesce(1.0/fr,0),6)),6) AS mean_reciprocal_rank FROM pr LEFT JOIN (SELECT * FROM idl WHERE k=5) USING (query_id) GROUP BY 1""",
+        SELECT method, count(*) AS queries, round(avg(round(CASE WHEN coalesce(idcg,0)>0 THEN dcg/idcg ELSE 0 END,6)),6) AS mean_ndcg, round(avg(round(coalesce(1.0/fr,0),6)),6) AS mean_reciprocal_rank, any_value(shift) AS mean_shift
+        FROM pr LEFT JOIN (SELECT * FROM idl WHERE k=5) USING (query_id) JOIN (SELECT method, round(sum(abs(nr - rank))*1.0/count(*),6) AS shift FROM rr GROUP BY 1) USING (method) GROUP BY 1""",
 )
 def reranker_comparison(spark, d):
-    """Two rerankers over the same frozen candidates."""
+    """Four rankers over the same frozen candidates, with how far each moves them."""
     cands = frozen_candidates(spark, d)
+    scores = external_scores(spark, d)
+    ranked = {
+        "multi_signal": fu.multi_signal(cands), "rrf": fu.rrf_passthrough(cands), "pair": fu.pair_scores(cands, scores),
+        "combined": fu.pair_scores(cands, scores, 0.7, 0.3),
+    }
     runs = None
-    for name, scored in (("multi_signal", fu.multi_signal(cands)), ("rrf", fu.rrf_passthrough(cands))):
-        part = fu.rerank(scored).select("query_id", F.lit(name).alias("method"), "doc_id", F.col("new_rank").alias("rank"))
+    for name, scored in ranked.items():
+        part = fu.rerank(scored).select("query_id", F.lit(name).alias("method"), "doc_id", F.col("rank").alias("before"), F.col("new_rank").alias("rank"))
         runs = part if runs is None else runs.unionByName(part)
-    per = ev.cutoff_metrics(runs, _grades(spark, d), [5])
-    return ev.aggregate_metrics(per, ["method"]).select("method", "queries", "mean_ndcg", "mean_reciprocal_rank")
+    shift = runs.groupBy("method").agg(F.round(F.sum(F.abs(F.col("rank") - F.col("before"))) / F.count(F.lit(1)), 6).alias("mean_shift"))
+    per = ev.cutoff_metrics(runs.drop("before"), _grades(spark, d), [5])
+    out = ev.aggregate_metrics(per, ["method"]).select("method", "queries", "mean_ndcg", "mean_reciprocal_rank")
+    return out.join(shift, "method")
 
 
 def _kappa_sql(rows: str, by: str) -> str:
@@ -251,7 +261,15 @@ def candidate_pool(spark, d):
     )
 
 
-@query("pool_cap")
+@query(
+    "pool_cap",
+    f"""{_POOL.replace('WITH ', 'WITH RECURSIVE ', 1)}, lists AS MATERIALIZED (SELECT query_id, method, l, row_number() OVER (PARTITION BY query_id ORDER BY method) - 1 AS mi, count(*) OVER (PARTITION BY query_id) AS nm
+          FROM (SELECT query_id, method, list(doc_id ORDER BY rank, doc_id) AS l FROM runs WHERE rank <= 20 GROUP BY 1, 2)),
+        pick AS (SELECT DISTINCT query_id, cast(-1 AS BIGINT) AS s, cast([] AS BIGINT[]) AS taken, cast(NULL AS BIGINT) AS doc_id, '' AS method FROM lists
+          UNION ALL SELECT query_id, s, CASE WHEN d IS NULL THEN taken ELSE list_append(taken, d) END, d, method FROM (
+            SELECT p.query_id, p.s + 1 AS s, taken, list_filter(l, lambda x: NOT list_contains(p.taken, x))[1] AS d, l.method FROM pick p JOIN lists l ON l.query_id = p.query_id AND l.mi = (p.s + 1) % l.nm WHERE p.s + 1 < 20 * l.nm))
+        SELECT query_id, doc_id, cast(s // nm AS INT) AS round, method FROM pick JOIN (SELECT DISTINCT query_id, nm FROM lists) USING (query_id) WHERE doc_id IS NOT NULL ORDER BY s // nm, cast(query_id AS string), method LIMIT 500""",
+)
 def pool_cap(spark, d):
     """At most 500 judged pairs over all queries."""
     return lb.cap_pool(lb.candidate_pool(frozen_runs(spark, d), 20), 500)
@@ -671,6 +689,69 @@ def extraction_scores(spark, d):
     )
 
 
+def _policy_cases(spark, d):
+    rows = load(spark, d, "extraction_cases")
+    words = lambda c: F.filter(F.split(c, r"\|"), lambda x: x != "")
+
+    def side(p):
+        entries = F.transform(
+            words(f"{p}_excl"),
+            lambda x: F.struct(F.get(F.split(x, ":"), 0).alias("target_type"), F.get(F.split(x, ":"), 1).alias("value")),
+        )
+        return F.struct(
+            *[F.col(f"{p}_{f}").alias(f) for f in sc.HARD_FIELDS], F.col(f"{p}_clarify").alias("needs_clarification"),
+            words(f"{p}_soft").alias("soft_preferences"), F.col(f"{p}_type").alias("product_type"),
+            F.col(f"{p}_incl").alias("min_inclusive"), F.lit(None).cast("boolean").alias("max_inclusive"), entries.alias("exclusions"),
+        )
+
+    return rows.select("case_id", "valid", side("a").alias("actual"), side("e").alias("expected"))
+
+
+def _policy_sql(brand: str, currency: str) -> str:
+    same = lambda f: f"coalesce(lower(a_{f}) = lower(e_{f}), false)"
+    count = lambda parts: " + ".join(f"CASE WHEN {p} THEN 1 ELSE 0 END" for p in parts)
+    return f"""a_category IS NOT DISTINCT FROM e_category AS category_match, {brand} AS brand_match, a_min_price IS NOT DISTINCT FROM e_min_price AND a_max_price IS NOT DISTINCT FROM e_max_price AS price_match,
+        a_min_rating IS NOT DISTINCT FROM e_min_rating AS rating_match, {currency} IS NOT DISTINCT FROM coalesce(e_currency, 'INR') AS currency_match, coalesce(a_clarify, false) = coalesce(e_clarify, false) AS clarification_match,
+        {count(same(f) for f in sc.HARD_FIELDS)} AS true_positives,
+        {count((f"a_{f} IS NOT NULL AND NOT {same(f)}" + (" AND NOT (e_currency IS NULL AND a_currency = 'INR')" if f == "currency" else "") for f in sc.HARD_FIELDS))} AS false_positives,
+        {count(f"e_{f} IS NOT NULL AND NOT {same(f)}" for f in sc.HARD_FIELDS)} AS false_negatives"""
+
+
+def _words_sql(c: str, trim: bool) -> str:
+    one = "trim(lower(x))" if trim else "lower(x)"
+    return f"list_distinct(list_transform(list_filter(string_split({c}, '|'), lambda x: x <> ''), lambda x: {one}))"
+
+
+def _setf1_sql(a: str, e: str) -> str:
+    return f"round(CASE WHEN len({a}) = 0 AND len({e}) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect({a}, {e})) / (len({a}) + len({e})) END, 4)"
+
+
+_FIELD_FLAGS = ("category_match", "brand_match", "price_match", "rating_match", "currency_match", "clarification_match")
+
+
+@query(
+    "field_scores",
+    f"""SELECT * EXCLUDE (valid, sa, se), {_setf1_sql('sa', 'se')} AS soft_f1, valid AND {' AND '.join(_FIELD_FLAGS)} AS exact_match FROM (SELECT case_id, valid, {_policy_sql("lower(a_brand) IS NOT DISTINCT FROM lower(e_brand)", "a_currency")},
+        {_words_sql('a_soft', False)} AS sa, {_words_sql('e_soft', False)} AS se FROM {{extraction_cases}})""",
+)
+def field_scores(spark, d):
+    """E28, first policy."""
+    return sc.score_fields(_policy_cases(spark, d)).drop("valid", "actual", "expected")
+
+
+@query(
+    "complete_scores",
+    f"""SELECT * EXCLUDE (sa, se, xa, xe), round(CASE WHEN len(sa) = 0 THEN 1.0 ELSE len(list_intersect(sa, se)) * 1.0 / len(sa) END, 4) AS soft_precision, round(CASE WHEN len(se) = 0 THEN 1.0 ELSE len(list_intersect(sa, se)) * 1.0 / len(se) END, 4) AS soft_recall,
+        {_setf1_sql('sa', 'se')} AS soft_f1, list_sort(sa) = list_sort(se) AS soft_exact, {_setf1_sql('xa', 'xe')} AS exclusions_f1, list_sort(xa) = list_sort(xe) AS exclusions_match, {' AND '.join(_FIELD_FLAGS)} AS legacy_exact,
+        {' AND '.join(_FIELD_FLAGS)} AND list_sort(sa) = list_sort(se) AND list_sort(xa) = list_sort(xe) AND product_type_match AND boundary_match AS strict_exact
+        FROM (SELECT case_id, {_policy_sql("trim(lower(a_brand)) IS NOT DISTINCT FROM trim(lower(e_brand))", "coalesce(a_currency, 'INR')")}, a_incl IS NULL OR e_incl IS NULL OR a_incl = e_incl AS boundary_match,
+          e_type IS NULL OR coalesce(trim(lower(a_type)) = trim(lower(e_type)), false) AS product_type_match, {_words_sql('a_soft', True)} AS sa, {_words_sql('e_soft', True)} AS se, {_words_sql('a_excl', False)} AS xa, {_words_sql('e_excl', False)} AS xe FROM {{extraction_cases}})""",
+)
+def complete_scores(spark, d):
+    """E28, second policy: product type, inclusivity, clarification and typed exclusions too."""
+    return sc.score_complete(_policy_cases(spark, d)).drop("valid", "actual", "expected")
+
+
 _Z = 1.959963984540054
 
 

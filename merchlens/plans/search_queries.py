@@ -391,6 +391,15 @@ def rerank_multi_signal(spark, d):
 _PAIR = "(length(b.text) % 97) * 1.0 / 97 + (p.price % 31) / 31.0"
 
 
+def external_scores(spark, d):
+    """A table of pair scores such as a model would deliver: (query_id, doc_id, pair_score)."""
+    docs = load(spark, d, "doc_products").select("doc_id", "price")
+    queries = load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.length("text").alias("qlen"))
+    pairs = frozen_candidates(spark, d).select("query_id", "doc_id").join(docs, "doc_id").join(queries, "query_id")
+    score = (F.col("qlen") % 97) * 1.0 / 97 + (F.col("price") % 31) / 31.0
+    return pairs.select("query_id", "doc_id", score.alias("pair_score"))
+
+
 @query(
     "rerank_combined",
     f"""{HYBRID_CTE}, ps AS (SELECT r.*, (length(b.text) % 97) * 1.0 / 97 + (p.price % 31) / 31.0 AS s FROM ({_RR}) r JOIN benchmark b ON b.item_id = r.query_id JOIN prods p ON p.doc_id = r.doc_id),
@@ -399,12 +408,7 @@ _PAIR = "(length(b.text) % 97) * 1.0 / 97 + (p.price % 31) / 31.0"
 )
 def rerank_combined(spark, d):
     """A table of pair scores joined to the candidates."""
-    cands = frozen_candidates(spark, d)
-    docs = load(spark, d, "doc_products").select("doc_id", "price")
-    queries = load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.length("text").alias("qlen"))
-    scores = cands.select("query_id", "doc_id").join(docs, "doc_id").join(queries, "query_id").select(
-        "query_id", "doc_id", ((F.col("qlen") % 97) * 1.0 / 97 + (F.col("price") % 31) / 31.0).alias("pair_score")
-    )
+    cands, scores = frozen_candidates(spark, d), external_scores(spark, d)
     out = fu.rerank(fu.pair_scores(cands, scores, 0.7, 0.3))
     return out.select("query_id", "doc_id", F.round("rerank_score", 4).alias("rerank_score"), "new_rank")
 
