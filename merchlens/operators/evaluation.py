@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 RELEVANT = 2
-# Cumulative Poisson(1) probabilities: a uniform draw at or above the i-th is > i.
-POISSON_STEPS = (
-    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
-    0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.9999988747974019,
-)
+def _poisson_steps() -> tuple[float, ...]:
+    steps, term, k = [], math.exp(-1.0), 0
+    while not steps or steps[-1] < 1 - 2**-32:
+        steps.append((steps[-1] if steps else 0.0) + term)
+        k += 1
+        term /= k
+    return tuple(steps)
+
+
+# Cumulative Poisson(1) probabilities: a uniform draw at or above the i-th is > i.  They go
+# on as far as a 32-bit draw can reach.
+POISSON_STEPS = _poisson_steps()
 
 
 def gain(grade: Column, rank: Column) -> Column:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from merchlens.functions import text as tx
 from merchlens.operators import catalog as cat
+from merchlens.operators import constraints as cs
 from merchlens.operators import profile as pf
 from merchlens.plans.derived import load
 from merchlens.plans.registry import query
+from merchlens.session import shared_folder
 from merchlens.sources import readers, sinks
 
 # The cleaning steps as SQL, shared by the twins below.
@@ -675,3 +680,67 @@ def unmatched_vectors(spark, d):
     products = load(spark, d, "part").select(F.col("p_partkey").cast("string").alias("product_id"))
     vectors = load(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("product_id"), "embedding")
     return sinks.unmatched_vectors(products, vectors)
+
+
+# ------------------------------------------------------------------- sources and sinks
+def _fresh(spark, name):
+    return f"{shared_folder(spark)}/sources/{name}-{uuid.uuid4().hex}"
+
+
+_RAW12 = "uniq_id, pid, product_name, product_category_tree, retail_price, discounted_price, brand, product_rating, overall_rating, description, product_specifications, image"
+
+
+@query("csv_round_trip", f"SELECT {_RAW12} FROM {{raw_catalog}}")
+def csv_round_trip(spark, d):
+    """The raw catalog as CSV, read back by header name in another column order."""
+    raw, path = load(spark, d, "raw_catalog").select(*_RAW12.split(", ")), _fresh(spark, "csv")
+    sinks.write_new(raw, path, "csv")
+    shuffled = T.StructType(sorted(raw.schema.fields, key=lambda f: f.name))
+    return readers.read_csv(spark, path, shuffled)
+
+
+@query("jsonl_round_trip", "SELECT query_id, raw_query, min_price, category, stored_clarification FROM {shopper_log}")
+def jsonl_round_trip(spark, d):
+    """The shopper log as JSON lines."""
+    log = load(spark, d, "shopper_log").select("query_id", "raw_query", "min_price", "category", "stored_clarification")
+    path = _fresh(spark, "jsonl")
+    sinks.write_new(log, path)
+    return readers.read_jsonl(spark, path, log.schema)
+
+
+@query("published_catalog", "SELECT product_id, category, retrieval_text FROM {products}")
+def published_catalog(spark, d):
+    """Products staged, checked, promoted and read back pruned, with the row count agreed."""
+    products, path = load(spark, d, "products"), _fresh(spark, "catalog")
+    sinks.publish(products, path)
+    n = load(spark, d, "part").count()
+    return readers.read_catalog(spark, path, ["product_id", "category", "retrieval_text"], expected_rows=n)
+
+
+@query("loaded_parts_table", "SELECT p_partkey, p_name, p_brand, p_retailprice FROM part")
+def loaded_parts_table(spark, d):
+    """Parts loaded into an empty table."""
+    path = _fresh(spark, "load")
+    load(spark, d, "part").limit(0).write.parquet(path)
+    return sinks.load_empty(load(spark, d, "part"), path, "p_partkey").select("p_partkey", "p_name", "p_brand", "p_retailprice")
+
+
+# -------------------------------------------------------------- constraints as text
+_OWN = """(SELECT p_partkey, p_type AS category, CASE WHEN p_size % 9 = 2 THEN NULL ELSE p_brand END AS brand, cast(p_retailprice AS double) AS price, CASE WHEN p_size % 10 = 3 THEN NULL ELSE cast(p_size % 5 AS double) END AS rating,
+   CASE p_size % 6 WHEN 0 THEN lower(p_type) WHEN 1 THEN '  ' WHEN 2 THEN 'Z' || p_type ELSE p_type END AS f_category, CASE p_size % 5 WHEN 0 THEN upper(p_brand) WHEN 1 THEN '' WHEN 2 THEN 'other' END AS f_brand,
+   cast(CASE p_size % 4 WHEN 0 THEN p_retailprice WHEN 1 THEN p_retailprice - 1 WHEN 2 THEN p_retailprice + 1 END AS double) AS f_min_price, cast(CASE p_size % 7 WHEN 0 THEN p_retailprice WHEN 1 THEN p_retailprice - 1 END AS double) AS f_max_price,
+   CASE p_size % 3 WHEN 0 THEN '>' WHEN 1 THEN '>=' END AS f_min_operator, CASE p_size % 2 WHEN 0 THEN '<' ELSE '<=' END AS f_max_operator, cast(CASE WHEN p_size % 8 = 5 THEN 3 END AS double) AS f_min_rating FROM {part})"""
+
+
+@query(
+    "constraint_text_matches",
+    f"""SELECT p_partkey, (trim(f_category) = '' OR lower(category) = lower(f_category)) AND (coalesce(trim(f_brand), '') = '' OR coalesce(lower(brand) = lower(f_brand), false)) AND (f_min_rating IS NULL OR coalesce(rating >= f_min_rating, false))
+        AND (f_min_price IS NULL OR CASE WHEN f_min_operator = '>' THEN price > f_min_price ELSE price >= f_min_price END) AND (f_max_price IS NULL OR CASE WHEN f_max_operator = '<' THEN price < f_max_price ELSE price <= f_max_price END) AS matches
+        FROM {_OWN}""",
+)
+def constraint_text_matches(spark, d):
+    """every part against a constraint of its own, with operator symbols."""
+    part = load(spark, d, "part")
+    rows = spark.sql(_OWN.strip()[1:-1], part=part)
+    names = ("category", "brand", "price", "rating", "f_category", "f_brand", "f_min_price", "f_max_price", "f_min_operator", "f_max_operator", "f_min_rating")
+    return rows.select("p_partkey", cs.matches_text(**{n: F.col(n) for n in names}).alias("matches"))

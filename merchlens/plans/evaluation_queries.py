@@ -528,6 +528,18 @@ def grouped_split(spark, d):
     return sp.grouped_split(_docs_grouped(spark, d))
 
 
+@query(
+    "split_problems",
+    """SELECT query_id AS id, unnest(list_filter([CASE WHEN bool_or(coalesce(trim(g), '') = '') THEN 'NO_GROUP' END, CASE WHEN count(*) > 1 THEN 'REPEATED_ID' END], lambda x: x IS NOT NULL)) AS problem
+       FROM (SELECT conv_id AS query_id, CASE role WHEN 'system' THEN ' ' ELSE role END AS g FROM conversations WHERE turn < 2) GROUP BY 1""",
+)
+def split_problems(spark, d):
+    """Conversations as queries, first two turns as rows: some repeat an id, some have no group."""
+    group = F.when(F.col("role") == "system", F.lit(" ")).otherwise(F.col("role"))
+    rows = load(spark, d, "conversations").filter("turn < 2").select(F.col("conv_id").alias("query_id"), group.alias("g"))
+    return sp.split_problems(rows, "query_id", "g")
+
+
 @query(
     "split_leakage",
     f"""WITH {_split_cte('documents', _DGROUP)} SELECT sha256(lower(nfc_normalize(text))) AS text_key, count(*) AS copies, count(DISTINCT "partition") AS partitions FROM documents JOIN spl ON intent_group = {_DGROUP} GROUP BY 1 HAVING count(DISTINCT "partition") > 1""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from merchlens.functions.vectors import cosine_distance
@@ -11,6 +13,7 @@ from merchlens.operators import fusion as fu
 from merchlens.operators import lexical as lx
 from merchlens.plans.derived import load
 from merchlens.plans.registry import query
+from merchlens.session import shared_folder
 from merchlens.sources import sinks
 
 # --------------------------------------------------------------- twins: lexical
@@ -136,6 +139,23 @@ def lexical_topk(spark, d):
     return top.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query(
+    "index_round_trip",
+    f"{LEX_CTE}, p AS (SELECT doc_id, term FROM wts) SELECT 'postings' AS part, (SELECT count(*) FROM p) AS row_count, (SELECT count(DISTINCT term) FROM p) AS terms UNION ALL SELECT 'vocab', (SELECT count(*) FROM vocab), (SELECT count(DISTINCT term) FROM vocab) UNION ALL SELECT 'size', 1, NULL",
+)
+def index_round_trip(spark, d):
+    """The stored index, each table with its rows, every row checked against the manifest."""
+    made = stored_index(spark, d)
+    path = f"{shared_folder(spark)}/sources/index-{uuid.uuid4().hex}"
+    sinks.save_index(made.postings, made.vocab, made.corpus_size, path)
+    out = None
+    for name, df in sinks.load_tables(spark, path, verify=True).items():
+        terms = F.count_distinct("term") if "term" in df.columns else F.lit(None).cast("bigint")
+        one = df.agg(F.count(F.lit(1)).alias("row_count"), terms.alias("terms")).select(F.lit(name).alias("part"), "row_count", "terms")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(
     "lexical_stats",
     f"SELECT n_docs, v AS vocabulary, nz AS non_zeros, round(1 - nz*1.0/(n_docs*v),6) AS sparsity FROM (SELECT {_N} AS n_docs, count(*) AS v, cast(sum(df) AS BIGINT) AS nz FROM ({_VOCAB}))",

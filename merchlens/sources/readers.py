@@ -68,18 +68,18 @@ def _strip_bom(df: DataFrame) -> DataFrame:
     return df.withColumnRenamed(first, first.lstrip("﻿"))
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_CATALOG) -> DataFrame:
-    """S01/S06. CSV with header, quoted newlines and an optional byte-order mark.
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType = RAW_CATALOG, multi_line: bool = False
+) -> DataFrame:
+    """S01/S06. CSV with header and an optional byte-order mark.
 
-    Columns are matched by header name, so the declared schema may list them in
-    any order; a missing column or an empty file is an error.
+    Columns are matched by header name, so the declared schema may list them in any
+    order; a missing column or an empty file is an error.  All values are read as text and
+    cast, so nothing is inferred from the data.  Files are split among tasks unless
+    ``multi_line`` says that quoted fields hold newlines; then each file is one task.
     """
-    raw = _strip_bom(
-        spark.read.option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .csv(path)
-    )
+    options = {"header": True, "escape": '"', "multiLine": multi_line, "inferSchema": False}
+    raw = _strip_bom(spark.read.options(**options).csv(path))
     missing = [f.name for f in schema if f.name not in raw.columns]
     if missing:
         raise ContractError(f"CSV lacks columns {missing}")

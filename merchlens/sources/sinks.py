@@ -70,7 +70,8 @@ def write_new(df: DataFrame, path: str, fmt: str = "json") -> None:
     """S08. JSONL or CSV sink that never overwrites."""
     writer = df.write.mode("errorifexists")
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        kept = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        writer.options(**kept).csv(path)
     else:
         writer.option("ignoreNullFields", False).json(path)
 

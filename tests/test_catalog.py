@@ -72,7 +72,7 @@ def test_clean_catalog_end_to_end(spark, tmp_path):
     path = tmp_path / "raw.csv"
     quote = lambda s: '"' + s.replace('"', '""') + '"'
     path.write_text("﻿" + "\n".join(",".join(map(quote, r)) for r in [head, *rows]), encoding="utf-8")
-    raw = readers.read_csv(spark, str(path))
+    raw = readers.read_csv(spark, str(path), multi_line=True)
     chosen = cat.select_candidates(raw, ["Kitchen"])
     clean = cat.clean_catalog(chosen).collect()
     assert [(r.product_id, r.product_name, r.brand, r.rating) for r in clean] == [("u1", "A mug", "Acme", 4.5)]
