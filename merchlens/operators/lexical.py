@@ -128,12 +128,14 @@ def scores(
 ) -> DataFrame:
     """R03 / J09. Positive cosine per (query_id, doc_id).
 
-    Postings meet the query terms only; a batch of queries is small and Spark
-    broadcasts it by its size, so the postings stay where they are.  With ``attributes``
+    Postings meet the query terms only.  Query vectors are written first, so that their
+    true size is known: a batch is small and Spark broadcasts it rather than the
+    postings, which stay where they are.  With ``attributes``
     (doc_id and columns), pairs that fail ``eligible`` go before anything is summed,
     which leaves the scores of the others unchanged; ``eligible`` may also read
     columns that ``qvec`` carries.
     """
+    qvec = cut_lineage(qvec)
     pairs = salted_join(index.postings, qvec, "term", _hot_terms(index.vocab), "doc_id")
     if attributes is not None:
         pairs = pairs.join(attributes, "doc_id").filter(eligible)

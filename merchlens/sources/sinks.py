@@ -210,13 +210,13 @@ def _size(spark: SparkSession, path: str) -> tuple[int, int]:
 
 
 def save_index(postings: DataFrame, vocab: DataFrame, size: DataFrame, path: str) -> None:
-    """S12. Postings clustered by term, vocabulary, corpus size and manifest.
+    """S12. Postings in blocks of documents, sorted by term, with vocabulary, corpus size and manifest.
 
-    Ranges of terms rather than hashes: a frequent term fills as many files as it needs,
-    and statistics of sorted files let a reader skip what it does not ask for.
+    A document's postings lie in one block, so a scan adds up its scores before anything
+    is shuffled; statistics of the sorted files let a reader skip terms it does not ask for.
     """
-    clustered = postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-    save_tables({"postings": clustered, "vocab": vocab, "size": size}, path)
+    blocks = postings.repartition("doc_id").sortWithinPartitions("term", "doc_id")
+    save_tables({"postings": blocks, "vocab": vocab, "size": size}, path)
 
 
 def stored(
