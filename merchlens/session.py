@@ -6,6 +6,8 @@ import atexit
 import tempfile
 import uuid
 import weakref
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +29,29 @@ def get_session(app: str = "merchlens", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    if not _one_machine(spark.sparkContext.master):
+        ship_package(spark)
+    return spark
+
+
+def _one_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
+def ship_package(spark: SparkSession) -> str:
+    """Give the executors this package, so that its Python functions can run there.
+
+    Spark itself carries the archive; nothing reads the driver's folder.  Needless where the
+    package is installed on the cluster (see pyproject.toml), and harmless there.
+    """
+    package = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="merchlens-ship-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    return str(archive)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,7 +63,7 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+        if not named and not _one_machine(sc.master):
             raise ValueError(f"spark.checkpoint.dir must name a shared folder on {sc.master}")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="merchlens-ckpt-"))
     return sc.getCheckpointDir()

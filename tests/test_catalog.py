@@ -174,3 +174,10 @@ def test_intermediates_need_a_shared_folder_on_a_cluster():
 
     with pytest.raises(ValueError):
         session.shared_folder(Session())
+
+
+def test_the_package_can_be_shipped(spark):
+    import zipfile
+
+    names = zipfile.ZipFile(session.ship_package(spark)).namelist()
+    assert "merchlens/operators/dense.py" in names and "merchlens/__init__.py" in names
