@@ -332,8 +332,65 @@ def benchmark_issues(
     return out
 
 
-def readiness_gates(issues: DataFrame, coverage: DataFrame, min_queries: int, min_pairs: int) -> DataFrame:
-    """E27. Gates as booleans over the issue counts and (queries, pairs) totals."""
+def benchmark_content_issues(
+    queries: DataFrame,
+    runs: DataFrame,
+    pool: DataFrame,
+    catalog: DataFrame,
+    adjudications: DataFrame,
+    claims: DataFrame,
+    fields: list[str],
+    flags: tuple[str, ...],
+) -> DataFrame:
+    """E26. What a benchmark's rows say, against what they are made of: (severity, check, rows).
+
+    ``runs``: query_id, method, doc_id, rank; ``pool``: query_id, doc_id, methods (array),
+    candidate_count, the catalog ``fields`` as copied, fingerprint and stored_fingerprint;
+    ``adjudications``: query_id, doc_id, resolution, final_grade and the ``flags``;
+    ``claims``: claim_id, resolution, problems (array).
+    """
+    pair = ["query_id", "doc_id"]
+    dup = lambda df, *key: df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+    differs, flagged = F.lit(False), F.lit(False)
+    for f in fields:
+        differs = differs | ~F.col(f).eqNullSafe(F.col(f"_{f}"))
+    for f in flags:
+        flagged = flagged | F.coalesce(F.col(f), F.lit(False))
+    copied = pool.join(catalog.select("doc_id", *[F.col(f).alias(f"_{f}") for f in fields]), "doc_id")
+    counted = pool.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.max("candidate_count").alias("_c"))
+    methods = pool.select("query_id", F.explode("methods").alias("m")).groupBy("query_id").agg(F.count_distinct("m").alias("_m"))
+    resolved = adjudications.filter("resolution = 'RESOLVED'")
+    checks = [
+        ("ERROR", "duplicate_run_product", dup(runs, "query_id", "method", "doc_id")),
+        ("ERROR", "duplicate_run_rank", dup(runs, "query_id", "method", "rank")),
+        ("ERROR", "run_unknown_query", runs.join(queries, "query_id", "left_anti")),
+        ("ERROR", "run_product_not_in_catalog", runs.join(catalog, "doc_id", "left_anti")),
+        ("ERROR", "candidate_differs_from_catalog", copied.filter(differs)),
+        ("ERROR", "candidate_count_mismatch", counted.filter(~F.col("_n").eqNullSafe(F.col("_c")))),
+        ("ERROR", "stale_fingerprint", pool.filter(~F.col("fingerprint").eqNullSafe(F.col("stored_fingerprint")))),
+        ("ERROR", "invalid_grade", resolved.filter(~F.coalesce(F.col("final_grade").between(0, 3), F.lit(False)))),
+        ("ERROR", "high_grade_with_violation", resolved.filter((F.col("final_grade") >= 2) & flagged)),
+        ("ERROR", "pair_without_adjudication", pool.join(adjudications, pair, "left_anti")),
+        ("ERROR", "invalid_claim", claims.filter(F.size("problems") > 0)),
+        ("WARNING", "unresolved_claim", claims.filter("resolution <> 'RESOLVED'")),
+        ("WARNING", "single_method_pool", methods.filter("_m = 1")),
+    ]
+    out = None
+    for severity, name, rows in checks:
+        one = rows.agg(F.count(F.lit(1)).alias("rows")).select(
+            F.lit(severity).alias("severity"), F.lit(name).alias("check"), "rows"
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def readiness_gates(
+    issues: DataFrame, coverage: DataFrame, min_queries: int, min_pairs: int, must_be_empty: dict[str, DataFrame] | None = None
+) -> DataFrame:
+    """E27. Gates as booleans over the issue counts, (queries, pairs) totals and tables of open work.
+
+    Each table of ``must_be_empty`` is a gate of its own: labels, claims or splits that are not done.
+    """
     totals = issues.agg(
         F.sum(F.when(F.col("severity") == "ERROR", F.col("rows")).otherwise(0)).alias("errors"),
         F.sum(F.when(F.col("severity") == "WARNING", F.col("rows")).otherwise(0)).alias("warnings"),
@@ -345,6 +402,9 @@ def readiness_gates(issues: DataFrame, coverage: DataFrame, min_queries: int, mi
         "enough_pairs": F.col("pairs") >= min_pairs,
         "fully_resolved": F.col("warnings") == 0,
     }
+    for name, rows in (must_be_empty or {}).items():
+        out = out.join(F.broadcast(rows.agg(F.count(F.lit(1)).alias(f"open_{name}"))))
+        gates[f"{name}_done"] = F.col(f"open_{name}") == 0
     ready = F.lit(True)
     for g in gates.values():
         ready = ready & g

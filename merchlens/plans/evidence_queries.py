@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from merchlens.operators import constraints as cs
@@ -12,8 +13,8 @@ from merchlens.operators.catalog import build_search_texts, clean_catalog
 from merchlens.functions.vectors import norm
 from merchlens.plans.catalog_queries import _KEPT, _PREPARED, _raw, part_vectors
 from merchlens.plans.derived import load
-from merchlens.plans.evaluation_queries import _ADJ, _adjudicated, _judged, _side
-from merchlens.plans.registry import query
+from merchlens.plans.evaluation_queries import _ADJ, _adjudicated, _judged, _side, split_problems
+from merchlens.plans.registry import ORACLES, query
 from merchlens.plans.search_queries import frozen_runs
 from merchlens.sources import sinks
 from merchlens.streaming import sessions as ss
@@ -501,7 +502,7 @@ def integrity_battery(spark, d):
 
 _ISSUES = f"""{_ADJ}, iss AS MATERIALIZED (SELECT unnest(['ERROR','ERROR','ERROR','ERROR','ERROR','ERROR','WARNING','WARNING','ERROR','ERROR','ERROR','WARNING','WARNING']) AS severity,
    unnest(['duplicate_query','pool_unknown_query','pool_duplicate_pair','candidate_not_in_catalog','review_a_outside_pool','review_b_outside_pool','pair_without_review_a','pair_without_review_b','qrel_outside_pool','qrel_without_resolution','qrel_differs_from_adjudication','unresolved_pair','query_without_pool']) AS "check",
-   unnest([0,0,0,(SELECT count(*) FROM pool WHERE doc_id NOT IN (SELECT doc_id FROM labels)),0,0,(SELECT count(*) FROM pool WHERE doc_id % 10 = 0),0,0,(SELECT count(*) FROM ad WHERE resolution <> 'RESOLVED'),(SELECT count(*) FROM ad WHERE resolution = 'RESOLVED' AND grade_a <> final_grade),
+   unnest([0,0,0,(SELECT count(*) FROM pool WHERE doc_id % 10 = 9),0,0,(SELECT count(*) FROM pool WHERE doc_id % 10 = 0),0,0,(SELECT count(*) FROM ad WHERE resolution <> 'RESOLVED'),(SELECT count(*) FROM ad WHERE resolution = 'RESOLVED' AND grade_a <> final_grade),
      (SELECT count(*) FROM ad WHERE resolution <> 'RESOLVED'),(SELECT count(*) FROM benchmark WHERE item_id NOT IN (SELECT query_id FROM pool))]) AS "rows")"""
 
 
@@ -512,7 +513,7 @@ def _issues(spark, d):
     return ig.benchmark_issues(
         load(spark, d, "benchmark").select(F.col("item_id").alias("query_id")),
         pool,
-        load(spark, d, "labels").select("doc_id"),
+        load(spark, d, "doc_products").filter("doc_id % 10 <> 9").select("doc_id"),
         _side(judged, "a").filter("doc_id % 10 <> 0"),
         _side(judged, "b"),
         adjudicated,
@@ -526,16 +527,74 @@ def benchmark_issues(spark, d):
     return _issues(spark, d)
 
 
+def _faulty_benchmark(spark, d):
+    """Runs, pool, adjudications and claims of the captured benchmark with one kind of fault per id."""
+    runs = frozen_runs(spark, d).select("query_id", "method", "doc_id", "rank")
+    torn = runs.unionByName(runs.filter("method = 'hybrid' AND rank = 1")).unionByName(
+        runs.filter("rank = 2").selectExpr("query_id + 1000000 AS query_id", "method", "doc_id + 1000000 AS doc_id", "rank")
+    )
+    products = load(spark, d, "doc_products").select("doc_id", "category", "brand", "price")
+    pooled = lb.candidate_pool(frozen_runs(spark, d), 20).join(products, "doc_id")
+    single = F.col("query_id") % 10 == 6
+    pool = pooled.select(
+        "query_id", "doc_id",
+        F.when(single, F.array(F.lit("tfidf"))).otherwise(F.transform("membership", lambda m: m["method"])).alias("methods"),
+        (F.count(F.lit(1)).over(Window.partitionBy("query_id")) + F.when(F.col("query_id") % 10 == 8, 1).otherwise(0)).alias("candidate_count"),
+        "category", F.when(F.col("doc_id") % 10 == 4, F.lit("changed")).otherwise(F.col("brand")).alias("brand"), "price", "fingerprint",
+        F.when(F.col("doc_id") % 10 == 5, F.lit("old")).otherwise(F.col("fingerprint")).alias("stored_fingerprint"),
+    )
+    turn = F.col("doc_id") % 10
+    grade = F.when(turn == 7, F.lit(5)).when((turn == 6) & (F.col("resolution") == "RESOLVED"), F.lit(3)).otherwise(F.col("final_grade"))
+    adjudicated = _adjudicated(spark, d).filter(turn != 3).select(
+        "query_id", "doc_id", "resolution", grade.alias("final_grade"), *[F.col(f) for f in lb.FLAGS]
+    )
+    claims = claim_adjudication(spark, d).join(claim_review_errors(spark, d), "claim_id").select(
+        "claim_id", "resolution", F.filter(F.split("errors", r"\|"), lambda e: e != "").alias("problems")
+    )
+    return torn, pool, adjudicated, claims, products
+
+
+_CONTENT = f"""{_ADJ}, fr AS MATERIALIZED (SELECT query_id, method, doc_id, rank FROM runs UNION ALL SELECT query_id, method, doc_id, rank FROM runs WHERE method = 'hybrid' AND rank = 1 UNION ALL SELECT query_id + 1000000, method, doc_id + 1000000, rank FROM runs WHERE rank = 2),
+  fa AS MATERIALIZED (SELECT *, CASE WHEN doc_id % 10 = 7 THEN 5 WHEN doc_id % 10 = 6 AND resolution = 'RESOLVED' THEN 3 ELSE final_grade END AS fg FROM ad WHERE doc_id % 10 <> 3),
+  cl AS MATERIALIZED (SELECT claim_id, resolution, errors <> '' AS bad FROM ({ORACLES['claim_adjudication']}) JOIN ({ORACLES['claim_review_errors']}) USING (claim_id)),
+  con AS MATERIALIZED (SELECT unnest(['ERROR','ERROR','ERROR','ERROR','ERROR','ERROR','ERROR','ERROR','ERROR','ERROR','ERROR','WARNING','WARNING']) AS severity,
+   unnest(['duplicate_run_product','duplicate_run_rank','run_unknown_query','run_product_not_in_catalog','candidate_differs_from_catalog','candidate_count_mismatch','stale_fingerprint','invalid_grade','high_grade_with_violation','pair_without_adjudication','invalid_claim','unresolved_claim','single_method_pool']) AS "check",
+   unnest([(SELECT count(*) FROM (SELECT 1 FROM fr GROUP BY query_id, method, doc_id HAVING count(*) > 1)), (SELECT count(*) FROM (SELECT 1 FROM fr GROUP BY query_id, method, rank HAVING count(*) > 1)),
+     (SELECT count(*) FROM fr WHERE query_id NOT IN (SELECT item_id FROM benchmark)), (SELECT count(*) FROM fr WHERE doc_id NOT IN (SELECT doc_id FROM prods)), (SELECT count(*) FROM pool WHERE doc_id % 10 = 4),
+     (SELECT count(DISTINCT query_id) FROM pool WHERE query_id % 10 = 8), (SELECT count(*) FROM pool WHERE doc_id % 10 = 5), (SELECT count(*) FROM fa WHERE resolution = 'RESOLVED' AND fg NOT IN (0,1,2,3)),
+     (SELECT count(*) FROM fa WHERE resolution = 'RESOLVED' AND fg >= 2 AND (category_violation OR brand_violation OR price_violation OR rating_violation)), (SELECT count(*) FROM pool WHERE doc_id % 10 = 3),
+     (SELECT count(*) FROM cl WHERE bad), (SELECT count(*) FROM cl WHERE resolution <> 'RESOLVED'), (SELECT count(*) FROM (SELECT query_id FROM runs GROUP BY query_id HAVING count(DISTINCT method) = 1 OR query_id % 10 = 6))]) AS "rows")"""
+
+
+def _content_issues(spark, d):
+    runs, pool, adjudicated, claims, products = _faulty_benchmark(spark, d)
+    queries = load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
+    return ig.benchmark_content_issues(queries, runs, pool, products, adjudicated, claims, ["category", "brand", "price"], lb.FLAGS)
+
+
+@query("benchmark_content_issues", f"{_CONTENT} SELECT severity, \"check\", \"rows\" FROM con")
+def benchmark_content_issues(spark, d):
+    """Copied fields, counts, fingerprints, grades, adjudications and claims of a benchmark with every fault."""
+    return _content_issues(spark, d)
+
+
 @query(
     "readiness_gates",
-    f"""{_ISSUES} SELECT queries, pairs, cast(errors AS BIGINT) AS errors, cast(warnings AS BIGINT) AS warnings, errors = 0 AS structurally_valid, queries >= 20 AS enough_queries, pairs >= 500 AS enough_pairs, warnings = 0 AS fully_resolved, errors = 0 AND queries >= 20 AND pairs >= 500 AND warnings = 0 AS ready
-        FROM (SELECT count(DISTINCT query_id) AS queries, count(*) AS pairs FROM pool), (SELECT sum(CASE WHEN severity='ERROR' THEN "rows" ELSE 0 END) AS errors, sum(CASE WHEN severity='WARNING' THEN "rows" ELSE 0 END) AS warnings FROM iss)""",
+    f"""{_ISSUES}, cl AS (SELECT count(*) FILTER (resolution <> 'RESOLVED') AS n FROM ({ORACLES['claim_adjudication']})), sp AS (SELECT count(*) AS n FROM ({ORACLES['split_problems']})), ul AS (SELECT count(*) AS n FROM ad WHERE resolution <> 'RESOLVED')
+        SELECT queries, pairs, cast(errors AS BIGINT) AS errors, cast(warnings AS BIGINT) AS warnings, errors = 0 AS structurally_valid, queries >= 20 AS enough_queries, pairs >= 500 AS enough_pairs, warnings = 0 AS fully_resolved,
+          ul.n AS open_labels, cl.n AS open_claims, sp.n AS open_splits, ul.n = 0 AS labels_done, cl.n = 0 AS claims_done, sp.n = 0 AS splits_done, errors = 0 AND queries >= 20 AND pairs >= 500 AND warnings = 0 AND ul.n + cl.n + sp.n = 0 AS ready
+        FROM (SELECT count(DISTINCT query_id) AS queries, count(*) AS pairs FROM pool), (SELECT sum(CASE WHEN severity='ERROR' THEN "rows" ELSE 0 END) AS errors, sum(CASE WHEN severity='WARNING' THEN "rows" ELSE 0 END) AS warnings FROM iss), cl, sp, ul""",
 )
 def readiness_gates(spark, d):
-    """E27."""
+    """Structure, size, labels, claims and splits."""
     pool = lb.candidate_pool(frozen_runs(spark, d), 20)
     totals = pool.agg(F.count_distinct("query_id").alias("queries"), F.count(F.lit(1)).alias("pairs"))
-    return ig.readiness_gates(_issues(spark, d), totals, 20, 500)
+    todo = {
+        "labels": _adjudicated(spark, d).filter("resolution <> 'RESOLVED'"),
+        "claims": claim_adjudication(spark, d).filter("resolution <> 'RESOLVED'"),
+        "splits": split_problems(spark, d),
+    }
+    return ig.readiness_gates(_issues(spark, d), totals, 20, 500, todo)
 
 
 @query(
