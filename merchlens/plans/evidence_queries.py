@@ -44,18 +44,19 @@ def evidence_rows(spark, d):
 @query(
     "context_blocks",
     f"""WITH ev AS ({_EV}), l AS (SELECT product_id, string_agg('  [' || evidence_id || '] (' || source_field || '): ' || text, chr(10) ORDER BY cast(string_split(evidence_id,'-E')[2] AS INT)) AS lines FROM ev GROUP BY 1)
-        SELECT query_id, '### USER REQUIREMENTS' || chr(10) || '- Original query: order ' || query_id || chr(10) || '- Hard constraints: MaxPrice=990.0 INR' || chr(10) || chr(10) || '### CANDIDATE PRODUCTS (ORDERED BY RELEVANCE RANK)' || chr(10)
+        SELECT query_id, '### USER REQUIREMENTS' || chr(10) || '- Original query: order ' || query_id || chr(10) || '- Hard constraints: ' || concat_ws(', ', CASE WHEN query_id::BIGINT % 2 = 0 THEN 'Category=''STANDARD''' END, CASE WHEN query_id::BIGINT % 3 = 0 THEN 'Brand=''Brand#1''' END,
+            CASE WHEN query_id::BIGINT % 5 = 0 THEN 'MinPrice=100.0 ' || CASE WHEN query_id::BIGINT % 4 = 0 THEN 'USD' ELSE 'INR' END END, 'MaxPrice=990.0 ' || CASE WHEN query_id::BIGINT % 4 = 0 THEN 'USD' ELSE 'INR' END, CASE WHEN query_id::BIGINT % 7 = 0 THEN 'MinRating=3.5' END) || chr(10) || chr(10) || '### CANDIDATE PRODUCTS (ORDERED BY RELEVANCE RANK)' || chr(10)
           || string_agg('[CANDIDATE #' || rank || ']' || chr(10) || 'Product ID: ' || product_id || chr(10) || '<product_evidence product_id="' || product_id || '">' || chr(10) || lines || chr(10) || '</product_evidence>', chr(10) || chr(10) ORDER BY rank) AS context
         FROM {{order_candidates}} JOIN l USING (product_id) GROUP BY query_id""",
 )
 def context_blocks(spark, d):
     """V02."""
     cands = load(spark, d, "order_candidates")
-    none = F.lit(None).cast("string")
+    every = lambda n, value: F.when(F.col("query_id").cast("bigint") % n == 0, F.lit(value))
     queries = cands.select("query_id").distinct().select(
-        "query_id", F.concat(F.lit("order "), "query_id").alias("raw_query"), none.alias("category"), none.alias("brand"),
-        F.lit(None).cast("double").alias("min_price"), F.lit(990.0).alias("max_price"),
-        F.lit(None).cast("double").alias("min_rating"), none.alias("currency"),
+        "query_id", F.concat(F.lit("order "), "query_id").alias("raw_query"), every(2, "STANDARD").alias("category"),
+        every(3, "Brand#1").alias("brand"), every(5, 100.0).alias("min_price"), F.lit(990.0).alias("max_price"),
+        every(7, 3.5).alias("min_rating"), every(4, "USD").alias("currency"),
     )
     return vd.context_blocks(queries, cands.select("query_id", "product_id", "rank"), _evidence(spark, d))
 
