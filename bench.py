@@ -8,7 +8,7 @@ import sys
 import time
 
 from merchlens.plans import QUERIES, search_queries
-from merchlens.session import get_session
+from merchlens.session import get_session, release
 
 # Made once and stored; timed apart, so that no query pays for them.
 ARTIFACTS = {
@@ -83,6 +83,7 @@ def main() -> None:
             }
         )
     )
+    release(spark)
     spark.stop()
 
 

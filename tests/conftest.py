@@ -1,6 +1,6 @@
 import pytest
 
-from merchlens.session import get_session
+from merchlens.session import get_session, release
 
 
 @pytest.fixture(scope="session")
@@ -17,4 +17,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
     session.stop()
