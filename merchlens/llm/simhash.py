@@ -215,13 +215,15 @@ def near_duplicate_groups(
     return printed.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one_per_group(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", groups_of=near_duplicate_groups, prints_of=fingerprints
+) -> DataFrame:
     """``docs`` with one row per group of near copies: that of the least id.
 
-    Where rows repeat an id, the one with the least text stays; groups without any id
+    ``groups_of`` and ``prints_of`` say what a near copy is, by default as in op3.  Where rows repeat an id, the one with the least text stays; groups without any id
     keep one row per different text.
     """
-    groups = near_duplicate_groups(docs, doc_id, text)
+    groups = groups_of(docs, doc_id, text)
     key, body = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
     kept = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(doc_id)).distinct()
     # The window sits on the partitioning of the join: texts are shuffled once.
@@ -232,7 +234,7 @@ def keep_one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     if bare.isEmpty():
         return first.filter("__n = 1").drop("__n")
     alone = groups.filter(F.col("component_id").isNull()).select("fp").distinct()
-    own = fingerprints(bare.select(body.alias("doc_id"), body.alias("text"))).join(alone, "fp", "left_semi")
+    own = prints_of(bare.select(body.alias("doc_id"), body.alias("text"))).join(alone, "fp", "left_semi")
     same = body.eqNullSafe(F.col("__text"))
     nameless = bare.join(own.select(F.col("doc_id").alias("__text")), same, "left_semi")
     return first.filter("__n = 1").drop("__n").unionByName(nameless)
