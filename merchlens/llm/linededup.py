@@ -46,16 +46,21 @@ def boilerplate_lines(
     text: str = "text",
     ratio: float = RATIO,
     min_pages: int = MIN_PAGES,
+    copies_once: bool = False,
 ) -> DataFrame:
     """(site, lines, pages): hashes of the lines each site repeats too often.
 
     A line counts once per page, without surrounding blanks; blank lines never count.
     It is boilerplate if it is on at least ``min_pages`` pages and on more than
-    ``ratio`` of the site's pages.  Rows with null text are pages without lines.
+    ``ratio`` of the site's pages.  Rows with null text are pages without lines.  With
+    ``copies_once`` equal texts of a site are one page, so that the copies of a page do not
+    make its lines boilerplate.
     """
     lines = F.filter(F.transform(F.split(F.col(text), "\n"), _stripped), lambda x: x != "")
     hashes = F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x)))
-    slim = pages.select(_site(F.col(host)).alias("site"), hashes.alias("hashes"))
+    slim = pages.select(_site(F.col(host)).alias("site"), hashes.alias("hashes"), F.col(text).alias("page"))
+    if copies_once:
+        slim = slim.groupBy("site", F.xxhash64("page").alias("page")).agg(F.any_value("hashes").alias("hashes"))
     totals = slim.groupBy("site").agg(F.count(F.lit(1)).alias("site_pages"))
     counts = (
         slim.select("site", F.explode("hashes").alias("line"))
@@ -78,15 +83,16 @@ def drop_boilerplate(
     ratio: float = RATIO,
     min_pages: int = MIN_PAGES,
     dropped: str | None = None,
+    copies_once: bool = False,
 ) -> DataFrame:
     """``pages`` with boilerplate lines taken out of ``text``, all other columns kept.
 
     Null text stays null; a text all of whose lines go becomes empty; repeated rows are
-    separate pages; an empty table gives an empty table.  ``dropped`` names an optional
+    separate pages unless ``copies_once``; an empty table gives an empty table.  ``dropped`` names an optional
     column for the number of lines taken out (0 for null text); a column of that name
     is replaced.
     """
-    bad = cut_lineage(boilerplate_lines(pages, host, text, ratio, min_pages))
+    bad = cut_lineage(boilerplate_lines(pages, host, text, ratio, min_pages, copies_once))
     size = bad.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
     keep = [c for c in pages.columns if c != dropped]
     keyed = pages.withColumn("__site", _site(F.col(f"`{host}`")))

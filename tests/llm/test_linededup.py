@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+import corpus_pipeline
 from merchlens.llm import linededup
 
 
@@ -57,3 +58,16 @@ def test_edges(docs):
     assert {r.text for r in linededup.drop_boilerplate(docs(blank)).collect()} == {"\n \n"}
     clash = docs([(1, "x", None, "s")]).withColumnRenamed("lang", "lines").withColumnRenamed("n_chars", "hashes")
     assert linededup.drop_boilerplate(clash).columns == ["doc_id", "text", "lines", "source", "hashes"]
+
+
+def test_a_large_group_of_copies_keeps_one_in_the_pipeline(spark, docs):
+    stages = dict(corpus_pipeline.STAGES)
+    text = lambda name: "menu\n" + "\n".join(f"{name} line {k} of the page" for k in range(8))
+    rows = [(i, text("copied"), None, "s") for i in range(40)] + [(40 + i, text("other"), None, "s") for i in range(40)]
+    rows += [(100 + i, text(f"own{i}"), None, "s") for i in range(20)]
+    cleaned = stages["line_dedup"](spark, docs(rows), "")
+    assert {r.text for r in cleaned.collect()} == {t.removeprefix("menu\n") for _, t, _, _ in rows}
+    kept = stages["near_dedup"](spark, cleaned, "")
+    assert {r.doc_id: r.text for r in kept.collect()} == {
+        i: t.removeprefix("menu\n") for i, t, _, _ in rows if i in (0, 40) or i >= 100
+    }
