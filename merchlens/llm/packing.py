@@ -27,6 +27,8 @@ from merchlens.session import cut_lineage
 
 SEQUENCE = 2048
 END_ID = 0
+# Added tokens of byte_bpe_50k.json, which `tokenizers` finds inside texts.
+SPECIAL = {"<|endoftext|>": 50256}
 # Pieces that one task packs together.
 PIECES_PER_GROUP = 20_000
 ROUNDS = 4
@@ -38,21 +40,23 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-@lru_cache(maxsize=2)
-def encoder(vocabulary: str):
-    """Byte-level BPE of a rank file; strings of special tokens in a text are ordinary text."""
+@lru_cache(maxsize=4)
+def encoder(vocabulary: str, special: bool = False):
+    """Byte-level BPE of a rank file; strings of special tokens in a text are ordinary text unless ``special``."""
     import public_tokenizers
     import tiktoken
 
     with open(vocabulary, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     return tiktoken.Encoding(
-        "packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
-    )
+        "packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
+        special_tokens=SPECIAL if special else {},
+    )
 
 
-def token_ids(text: str | None, vocabulary: str) -> np.ndarray:
-    ids = encoder(vocabulary).encode_to_numpy(text or "", disallowed_special=())
+def token_ids(text: str | None, vocabulary: str, special: bool = False) -> np.ndarray:
+    allowed = set(SPECIAL) if special else set()
+    ids = encoder(vocabulary, special).encode_to_numpy(text or "", allowed_special=allowed, disallowed_special=())
     return np.append(ids, np.uint32(END_ID)).astype("<u4")
 
 
@@ -69,11 +73,13 @@ def pieces(
     size: int = SEQUENCE,
     vocabulary: str | None = None,
     with_ids: bool = False,
+    special: bool = False,
 ) -> DataFrame:
     """(doc_id, row, piece, start, length, ids_crc32[, ids]), one row per piece.
 
     Null text counts as empty: one piece holding the end id.  ``row`` numbers the rows
     of the scan, so repeated rows and null ids are separate documents.
+    With ``special`` the strings of special tokens become those tokens, as in `tokenizers`.
     """
     vocabulary = vocabulary or default_vocabulary()
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -85,7 +91,7 @@ def pieces(
             out: list[list] = [[] for _ in names]
             taken = []
             for i, value in enumerate(batch.column(2)):
-                ids = token_ids(value.as_py(), vocabulary)
+                ids = token_ids(value.as_py(), vocabulary, special)
                 for k, (start, length) in enumerate(cut(len(ids), size)):
                     part = ids[start : start + length]
                     taken.append(i)
@@ -247,9 +253,9 @@ def sequences(packed_with_ids: DataFrame) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame) -> DataFrame:
+def pack_documents(docs: DataFrame, special: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every document's pieces."""
-    return pack(cut_lineage(pieces(docs))).select(
+    return pack(cut_lineage(pieces(docs, special=special))).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
 
@@ -257,4 +263,4 @@ def pack_documents(docs: DataFrame) -> DataFrame:
 @query("op6_best_fit_packing")
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
-    return pack_documents(read(spark, sf_dir, "documents"))
+    return pack_documents(read(spark, sf_dir, "documents"), special=True)

@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from merchlens.llm import packing
 
 
@@ -126,3 +127,18 @@ def test_empty_table_and_clashing_names(docs):
     assert packing.pack_documents(docs([])).count() == 0
     clash = docs([(1, "x")]).withColumnRenamed("lang", "row").withColumnRenamed("source", "piece")
     assert packing.pack_documents(clash).first().length == 2
+
+
+def test_query_and_stage_give_the_ids_of_the_unchanged_tokenizer(spark, docs, tmp_path):
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>  b", "<|endoftext|", "no <|ENDOFTEXT|>", *TEXTS]
+    want = [[*plain.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+    vocabulary = packing.default_vocabulary()
+    assert [packing.token_ids(t, vocabulary, special=True).tolist() for t in texts] == want
+    assert want[0] == [31373, 220, 50256, 995, 0]
+    made = docs(list(enumerate(texts[:5])))
+    made.write.parquet(f"{tmp_path}/documents.parquet")
+    stage = dict(corpus_pipeline.STAGES)["pack"]
+    for got in (packing.op6_best_fit_packing(spark, str(tmp_path)), stage(spark, made, str(tmp_path))):
+        found = {r.doc_id: (r.length, r.ids_crc32) for r in got.collect()}
+        assert found == {i: (len(w), zlib.crc32(np.array(w, "<u4").tobytes())) for i, w in enumerate(want[:5])}
