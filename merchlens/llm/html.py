@@ -38,7 +38,11 @@ HIDDEN = frozenset(
     "audio button canvas datalist head iframe map math noframes noscript object option "
     "script select style svg template textarea title video".split()
 )
+# Of these, the ones that do not nest: a further start ends the one before.
+FLAT = frozenset("button datalist head noscript option select".split())
 RAW = frozenset("iframe noembed noframes script style textarea title xmp".split())
+# May stand in a head; anything else ends it.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 # Part of the running text around them.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rb rp rt "
@@ -97,11 +101,16 @@ class Page:
     def _read(self, html: str) -> None:
         open_: list[tuple[str, int]] = [("#root", 0)]  # every open element with its node
         hidden: list[str] = []
+        inside: list[str] = []  # open elements within the hidden one
+        loose = False  # the hidden element has no end tag of its own
+        ends: dict[str, int] = {}
         links = 0
         at = 0
         while True:
             m = _TOKEN.search(html, at)
             text = html[at : m.start() if m else len(html)]
+            if hidden == ["head"] and text.strip():
+                hidden.clear()
             if text and not hidden:
                 text = unescape(text)
                 node = open_[-1][1]
@@ -117,14 +126,38 @@ class Page:
             if tag is None:
                 continue
             tag = tag.lower()
+            if tag in RAW and not closing and not attributes.rstrip().endswith("/"):
+                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
+                at = end.end() if end else len(html)
+                continue
             if hidden:
-                if tag == hidden[-1]:
-                    hidden.pop() if closing else hidden.append(tag)
-                elif tag == "body" and not closing:  # a head that was never closed
+                if tag == "body" and not closing:  # a head that was never closed
                     hidden.clear()
-                if hidden:
+                elif hidden[-1] == "head":
+                    if closing and tag == "head":
+                        hidden.pop()
+                        continue
+                    if not closing and tag not in IN_HEAD:
+                        hidden.pop()
+                    elif not closing and tag in HIDDEN and tag != "head":
+                        hidden.append(tag)
+                        inside, loose = [], self._unclosed(html, at, tag, ends)
+                elif closing and tag == hidden[-1]:
+                    hidden.pop()
                     continue
-                if closing:
+                elif closing and tag in inside:
+                    del inside[len(inside) - 1 - inside[::-1].index(tag) :]
+                elif closing and tag not in INLINE and (tag == "head" or any(t == tag for t, _ in open_)):
+                    hidden.clear()  # the element around it ends
+                elif not closing and loose and tag in ENDS_P:
+                    hidden.clear()
+                elif not closing and tag == hidden[-1] and tag not in FLAT:
+                    hidden.append(tag)
+                elif not closing and tag == hidden[-1]:
+                    inside, loose = [], self._unclosed(html, at, tag, ends)
+                elif not closing and tag not in VOID and not attributes.rstrip().endswith("/"):
+                    inside.append(tag)
+                if hidden or (closing and tag == "head"):
                     continue
             if closing:
                 links -= self._close(open_, {tag}, tag == "p")
@@ -135,13 +168,10 @@ class Page:
                 if tag not in INLINE and tag not in ("br", "wbr", "img"):
                     self.runs.append((0, BREAK))
                 continue
-            if tag in RAW and not attributes.rstrip().endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
-                at = end.end() if end else len(html)
-                continue
             if tag in HIDDEN:
                 if not attributes.rstrip().endswith("/"):
                     hidden.append(tag)
+                    inside, loose = [], self._unclosed(html, at, tag, ends)
                 continue
             if tag in ENDS_P:
                 links -= self._close(open_, {"p"}, True)
@@ -156,6 +186,22 @@ class Page:
             links += tag == "a"
             open_.append((tag, node))
 
+    @staticmethod
+    def _unclosed(html: str, at: int, tag: str, ends: dict[str, int]) -> bool:
+        """No end tag follows, or none before the next start of an element that does not nest.
+
+        ``ends`` remembers the next place of each tag, so a page is searched once.
+        """
+
+        def following(mark: str) -> int:
+            if ends.get(mark, -1) < at:
+                found = re.compile(rf"{mark}(?![^\s/>])", re.I).search(html, at)
+                ends[mark] = found.start() if found else len(html)
+            return ends[mark]
+
+        end = following(f"</{tag}")
+        return end == len(html) or (tag in FLAT and following(f"<{tag}") < end)
+
     def _loose(self, above: int, text: str) -> int:
         """Node for text right below the page's root or body: one for each block."""
         if not text.strip():

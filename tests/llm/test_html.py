@@ -89,3 +89,24 @@ def test_rows(spark, model):
     assert html.main_text(df.limit(0), model).count() == 0
     empty = html.fit(df.limit(0))
     assert np.allclose(empty.moves, PRIOR.moves)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<head><title>T</title><p>ARTICLE</p>",
+        "<head><title>T</title>ARTICLE",
+        "<head><title>T</title><script>var s = '<body>';</script><style>x</style></head><body><p>ARTICLE</p></body>",
+        "<head><script>for(i=0;i<n;i++){x = \"it's\"}</script></head><body><p>ARTICLE</p></body>",
+        "<head><noscript><link rel=x></noscript><title>T</title></head><p>ARTICLE</p>",
+        *[f"<body><{t}>hidden<p>ARTICLE</p></body>" for t in ("button", "noscript", "object", "svg", "select", "video")],
+        *[f"<body><div><{t}>hidden</div>ARTICLE</body>" for t in ("button", "noscript", "object", "svg", "select")],
+        "<body><button>hidden<p>ARTICLE</p><button>hidden</button></body>",
+        "<body><button><div>hidden</div></button><p>ARTICLE</p></body>",
+        "<body><object><object>hidden</object>hidden</object><noscript><div>hidden</div></noscript><p>ARTICLE</p></body>",
+        "<body><select><option>hidden<option>hidden</select><p>ARTICLE</p></body>",
+    ],
+)
+def test_unclosed_hidden_elements_end_where_their_surroundings_do(page):
+    read = html.Page(page.replace("ARTICLE", LONG))
+    assert " ".join("".join(t or " " for _, t in read.runs).split()) == LONG
