@@ -1,6 +1,7 @@
 """Retrieval against hand values and brute force."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +97,15 @@ def test_approximate_finds_itself_and_most_neighbours(spark):
     assert recall.avg_recall >= 0.8
 
 
+@pytest.mark.parametrize("n", [2_000, 30_000])
+def test_approximate_recall_holds_as_the_catalog_grows(spark, n):
+    m = np.random.default_rng(n).standard_normal((n, 64))
+    docs = spark.createDataFrame(pd.DataFrame({"doc_id": np.arange(n), "embedding": list(m)}))
+    queries = docs.filter("doc_id < 40").select(F.col("doc_id").alias("query_id"), "embedding")
+    recall = dn.ann_recall(dn.exact_top_k(docs, queries, 10), dn.approximate_top_k(docs, queries, 10), [10]).first()
+    assert recall.avg_recall >= 0.95
+
+
 def test_vector_problems(spark):
     rows = [([1.0, 0.0],), ([1.0],), ([float("nan"), 0.0],), ([0.0, 0.0],), ([2.0, 0.0],), (None,)]
     df = spark.createDataFrame(rows, "embedding array<float>")
