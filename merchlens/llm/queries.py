@@ -5,7 +5,7 @@ import importlib
 from merchlens.llm.registry import ORACLES, QUERIES
 
 MODULES = (
-    "chat", "decontam", "html", "langid", "licences", "linededup", "packing", "quality", "sharding",
+    "chat", "decontam", "fim", "html", "langid", "licences", "linededup", "packing", "quality", "sharding",
     "simhash",
 )
 for _module in MODULES:
