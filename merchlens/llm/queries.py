@@ -5,7 +5,7 @@ import importlib
 from merchlens.llm.registry import ORACLES, QUERIES
 
 MODULES = (
-    "chat", "decontam", "fim", "html", "langid", "licences", "linededup", "packing", "quality", "repair", "sharding",
+    "chat", "decontam", "fim", "html", "langid", "licences", "linededup", "mixing", "packing", "quality", "repair", "sharding",
     "simhash",
 )
 for _module in MODULES:
