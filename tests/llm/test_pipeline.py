@@ -5,7 +5,7 @@ from collections import defaultdict
 import pytest
 
 import corpus_pipeline
-from merchlens.llm import decontam, langid, linededup, packing, simhash
+from merchlens.llm import decontam, langid, linededup, packing
 from merchlens.session import release
 
 DATA = "/root/testdata/sf0.001"
@@ -19,13 +19,16 @@ def brute(rows, model, bench):
     rows = {i: r for i, r in rows.items() if (m := langid.infer(model, r[0])) and m[0][1] >= 0.5}
     pages, on = defaultdict(int), defaultdict(int)
     blank = " \t\r\x0b\x0c"
-    for text, source in rows.values():
+    for text, source in set(rows.values()):  # copies of a text count once
         pages[source] += 1
         for line in {x.strip(blank) for x in text.split("\n")} - {""}:
             on[source, line] += 1
     bad = {k for k, n in on.items() if n >= linededup.MIN_PAGES and n > linededup.RATIO * pages[k[0]]}
     texts = {i: "\n".join(x for x in t.split("\n") if (s, x.strip(blank)) not in bad) for i, (t, s) in rows.items()}
-    fps = {i: simhash.fingerprint(t) for i, t in texts.items()}
+    sets = {}
+    for i, t in texts.items():
+        words = t.lower().split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
     root = {i: i for i in texts}
 
     def find(i):
@@ -34,7 +37,7 @@ def brute(rows, model, bench):
         return i
 
     for a, b in itertools.combinations(sorted(texts), 2):
-        if bin(fps[a] ^ fps[b]).count("1") <= 3 and find(a) != find(b):
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and find(a) != find(b):
             a, b = sorted((find(a), find(b)))
             root[b] = a
     texts = {i: t for i, t in texts.items() if find(i) == i}
