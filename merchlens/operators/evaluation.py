@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from merchlens.functions import stats as st
+
 RELEVANT = 2
 def _poisson_steps() -> tuple[float, ...]:
     steps, term, k = [], math.exp(-1.0), 0
@@ -21,6 +23,9 @@ def _poisson_steps() -> tuple[float, ...]:
 # Cumulative Poisson(1) probabilities: a uniform draw at or above the i-th is > i.  They go
 # on as far as a 32-bit draw can reach.
 POISSON_STEPS = _poisson_steps()
+POISSON_LIMITS = tuple(math.ceil(step * 2**32) for step in POISSON_STEPS if step * 2**32 <= 2**32 - 1)
+# 32-bit draws that one SHA-256 holds.
+DRAWS = 8
 
 
 def gain(grade: Column, rank: Column) -> Column:
@@ -90,14 +95,14 @@ def cutoff_metrics(runs: DataFrame, qrels: DataFrame, ks: list[int]) -> DataFram
 METRICS = ("precision_judged", "precision_conservative", "reciprocal_rank", "ndcg", "pool_recall", "satisfaction")
 
 
-def aggregate_metrics(per_query: DataFrame, by: list[str]) -> DataFrame:
-    """A20. Means skip NULL; coverage is judged over returned in total."""
+def aggregate_metrics(per_query: DataFrame, by: list[str], digits: int = 6) -> DataFrame:
+    """A20. Means skip NULL, are exact and rounded once; coverage is judged over returned in total."""
     return per_query.groupBy(*by).agg(
         F.count(F.lit(1)).alias("queries"),
         F.sum("returned").alias("total_returned"),
         F.sum("judged").alias("total_judged"),
         F.round(F.coalesce(F.sum("judged") / F.nullif(F.sum("returned"), F.lit(0)), F.lit(1.0)), 6).alias("coverage"),
-        *[F.round(F.avg(m), 6).alias(f"mean_{m}") for m in METRICS],
+        *[st.exact_mean(F.sum(st.units(F.col(m))), F.count(m), digits).alias(f"mean_{m}") for m in METRICS],
     )
 
 
@@ -156,32 +161,47 @@ def bootstrap(
 ) -> DataFrame:
     """E06. Mean and percentile interval per group.
 
-    A row enters replicate r with a Poisson(1) weight taken from a hash of
-    (seed, r, key): rows never meet a resampling join, replicates combine on the
-    map side, and the draw depends neither on partitioning nor on row order.
+    A row enters replicate r with a Poisson(1) weight taken from a hash of (seed, block of
+    replicates, key): rows never meet a resampling join, one hash serves DRAWS replicates,
+    and all replicates of a block are added up side by side on the map side.  Values count
+    in whole millionths, so sums are exact and neither partitioning nor row order matters.
     """
     usable = values.filter(
         F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
-    ).select(*by, F.col(key).cast("string").alias("_key"), F.col(value).cast("double").alias("_v"))
-    drawn = usable.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_r").cast("string"), "_key"))
-    u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
-    weight = sum((F.when(u >= step, 1).otherwise(0) for step in POISSON_STEPS[1:]), F.when(u >= POISSON_STEPS[0], 1).otherwise(0))
+    ).select(*by, F.col(key).cast("string").alias("_key"), st.units(F.col(value).cast("double")).alias("_v"))
+    blocks = -(-samples // DRAWS)
+    drawn = usable.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("_b").cast("string"), "_key"), 256)
+    drawn = drawn.withColumn("_h", digest)
+
+    def weight(j: int) -> Column:
+        h = F.conv(F.substring("_h", 8 * j + 1, 8), 16, 10).cast("bigint")
+        return sum((F.when(h >= limit, 1).otherwise(0) for limit in POISSON_LIMITS[1:]), F.when(h >= POISSON_LIMITS[0], 1).otherwise(0))
+
+    weighed = drawn.select(*by, "_b", "_v", *[weight(j).cast("bigint").alias(f"_w{j}") for j in range(DRAWS)])
+    sums = weighed.groupBy(*by, "_b").agg(
+        *[F.sum(f"_w{j}").alias(f"_n{j}") for j in range(DRAWS)],
+        *[F.sum(F.col(f"_w{j}") * F.col("_v")).alias(f"_s{j}") for j in range(DRAWS)],
+    )
+    each = F.array(*[
+        F.struct((F.col("_b") * DRAWS + j).alias("r"), st.exact_mean(F.col(f"_s{j}"), F.col(f"_n{j}")).alias("m"))
+        for j in range(DRAWS)
+    ])
     means = (
-        drawn.withColumn("_w", weight)
-        .groupBy(*by, "_r")
-        .agg((F.sum(F.col("_w") * F.col("_v")) / F.nullif(F.sum("_w"), F.lit(0))).alias("_m"))
+        sums.select(*by, F.inline(each))
+        .filter((F.col("r") < samples) & F.col("m").isNotNull())
         .groupBy(*by)
-        .agg(F.sort_array(F.collect_list(F.round("_m", 9))).alias("_ms"))
+        .agg(F.sort_array(F.collect_list("m")).alias("_ms"))
     )
     lo = int(samples * alpha / 2)
     hi = min(samples - 1, int(samples * (1 - alpha / 2))) - upper_shift
-    stats = usable.groupBy(*by).agg(F.round(F.avg("_v"), 6).alias("mean"), F.count(F.lit(1)).alias("n"))
+    n = F.count(F.lit(1))
+    stats = usable.groupBy(*by).agg(st.exact_mean(F.sum("_v"), n).alias("mean"), n.alias("n"))
 
     def at(i: int, name: str) -> Column:
         # Replicates that drew nothing are absent, which only tiny groups can have.
         pos = F.least(F.lit(i), F.size("_ms") - 1)
-        return F.when(F.col("n") == 1, F.col("mean")).otherwise(F.round(F.get("_ms", pos), 6)).alias(name)
+        return F.when(F.col("n") == 1, F.col("mean")).otherwise(F.get("_ms", pos)).alias(name)
 
     return stats.join(means, by).select(*by, "mean", "n", at(lo, "ci_lower"), at(hi, "ci_upper"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from merchlens.functions import stats as st
 from merchlens.operators import constraints as cs
 from merchlens.operators import evaluation as ev
 from merchlens.operators import fusion as fu
@@ -65,12 +66,11 @@ def cutoff_metrics(spark, d):
 @query(
     "metrics_by_method",
     f"""{EVAL_CTE} SELECT method, k, count(*) AS queries, cast(sum(returned) AS BIGINT) AS total_returned, cast(sum(judged) AS BIGINT) AS total_judged, round(sum(judged)*1.0/sum(returned),6) AS coverage,
-        {', '.join(f'round(round(avg({m}),6),4) AS mean_{m}' for m in ev.METRICS)} FROM cm GROUP BY 1,2""",
+        {', '.join(f"{st.exact_mean_sql(f'sum({st.units_sql(m)})', f'count({m})', 4)} AS mean_{m}" for m in ev.METRICS)} FROM cm GROUP BY 1,2""",
 )
 def metrics_by_method(spark, d):
     """A20."""
-    out = ev.aggregate_metrics(_cutoffs(spark, d), ["method", "k"])
-    return out.withColumns({f"mean_{m}": F.round(f"mean_{m}", 4) for m in ev.METRICS})
+    return ev.aggregate_metrics(_cutoffs(spark, d), ["method", "k"], digits=4)
 
 
 _QGROUP = "'g' || cast(item_id % 12 AS string)"
@@ -90,7 +90,7 @@ def _query_split(spark, d):
 
 
 _BYPART = f"""{EVAL_CTE}, {_split_cte('benchmark', _QGROUP)}, qp AS (SELECT item_id AS query_id, "partition" FROM benchmark JOIN spl ON spl.intent_group = {_QGROUP}),
- agg AS (SELECT method, "partition", k, count(*) AS queries, round(avg(ndcg),6) AS mean_ndcg, round(avg(reciprocal_rank),6) AS mean_reciprocal_rank FROM cm JOIN qp USING (query_id) GROUP BY 1,2,3)"""
+ agg AS (SELECT method, "partition", k, count(*) AS queries, {st.exact_mean_sql('sum(' + st.units_sql('ndcg') + ')', 'count(ndcg)')} AS mean_ndcg, {st.exact_mean_sql('sum(' + st.units_sql('reciprocal_rank') + ')', 'count(reciprocal_rank)')} AS mean_reciprocal_rank FROM cm JOIN qp USING (query_id) GROUP BY 1,2,3)"""
 
 
 @query("metrics_by_partition", f"{_BYPART} SELECT * FROM agg")
@@ -135,12 +135,14 @@ def unjudged_as_zero(spark, d):
 
 
 def _boot_sql(values: str, by: str, seed: int, samples: int, lo: int, hi: int) -> str:
-    step = " + ".join(f"CASE WHEN u >= {s!r} THEN 1 ELSE 0 END" for s in ev.POISSON_STEPS)
-    return f"""SELECT {by}, mean, n, CASE WHEN n = 1 THEN mean ELSE round(ms[least({lo}, len(ms)-1)+1],6) END AS ci_lower, CASE WHEN n = 1 THEN mean ELSE round(ms[least({hi}, len(ms)-1)+1],6) END AS ci_upper
-      FROM (SELECT {by}, round(avg(v),6) AS mean, count(*) AS n FROM ({values}) WHERE v IS NOT NULL GROUP BY {by})
-      JOIN (SELECT {by}, list_sort(list(m)) AS ms FROM (SELECT {by}, r, round(sum(w*v)/nullif(sum(w),0),9) AS m FROM (
-        SELECT {by}, r, v, {step} AS w FROM (SELECT {by}, r, v, ('0x' || substr(md5('{seed}:' || r || ':' || key),1,8))::BIGINT / 4294967296.0 AS u FROM (SELECT *, unnest(range(0,{samples})) AS r FROM ({values}) WHERE v IS NOT NULL)))
-        GROUP BY {by}, r) WHERE m IS NOT NULL GROUP BY {by}) USING ({by})"""
+    step = " + ".join(f"CASE WHEN h >= {limit} THEN 1 ELSE 0 END" for limit in ev.POISSON_LIMITS)
+    rows = f"SELECT {by}, key, {st.units_sql('v')} AS v FROM ({values}) WHERE v IS NOT NULL"
+    drawn = f"""SELECT {by}, r, v, ('0x' || substr(sha256('{seed}:' || (r // {ev.DRAWS}) || ':' || key), 8 * (r % {ev.DRAWS}) + 1, 8))::BIGINT AS h
+      FROM (SELECT *, unnest(range(0, {samples})) AS r FROM ({rows}))"""
+    return f"""SELECT {by}, mean, n, CASE WHEN n = 1 THEN mean ELSE ms[least({lo}, len(ms)-1)+1] END AS ci_lower, CASE WHEN n = 1 THEN mean ELSE ms[least({hi}, len(ms)-1)+1] END AS ci_upper
+      FROM (SELECT {by}, {st.exact_mean_sql('sum(v)', 'count(*)')} AS mean, count(*) AS n FROM ({rows}) GROUP BY {by})
+      JOIN (SELECT {by}, list_sort(list(m)) AS ms FROM (SELECT {by}, r, {st.exact_mean_sql('sum(w * v)', 'sum(w)')} AS m FROM (
+        SELECT {by}, r, v, {step} AS w FROM ({drawn})) GROUP BY {by}, r) WHERE m IS NOT NULL GROUP BY {by}) USING ({by})"""
 
 
 @query(
@@ -196,7 +198,7 @@ _RRX = """SELECT query_id, doc_id, rank, score, coalesce((dm - dense_rank + 1)*1
         rr AS MATERIALIZED (SELECT method, query_id, doc_id, rank, row_number() OVER (PARTITION BY method, query_id ORDER BY round(v,8) DESC, rank, doc_id) AS nr FROM (
           SELECT *, unnest(['multi_signal','rrf','pair','combined']) AS method, unnest([ms, score, mm, 0.7*mm + 0.3*ms]) AS v FROM mx)),
         pr AS (SELECT method, query_id, coalesce(sum(CASE WHEN grade > 0 THEN {_GAIN.format('grade', 'nr')} END),0) AS dcg, min(CASE WHEN grade>=2 THEN nr END) AS fr FROM rr LEFT JOIN qr USING (query_id, doc_id) WHERE nr <= 5 GROUP BY 1,2)
-        SELECT method, count(*) AS queries, round(avg(round(CASE WHEN coalesce(idcg,0)>0 THEN dcg/idcg ELSE 0 END,6)),6) AS mean_ndcg, round(avg(round(coalesce(1.0/fr,0),6)),6) AS mean_reciprocal_rank, any_value(shift) AS mean_shift
+        SELECT method, count(*) AS queries, {st.exact_mean_sql('sum(' + st.units_sql('CASE WHEN coalesce(idcg,0)>0 THEN dcg/idcg ELSE 0 END') + ')', 'count(*)')} AS mean_ndcg, {st.exact_mean_sql('sum(' + st.units_sql('coalesce(1.0/fr,0)') + ')', 'count(*)')} AS mean_reciprocal_rank, any_value(shift) AS mean_shift
         FROM pr LEFT JOIN (SELECT * FROM idl WHERE k=5) USING (query_id) JOIN (SELECT method, round(sum(abs(nr - rank))*1.0/count(*),6) AS shift FROM rr GROUP BY 1) USING (method) GROUP BY 1""",
 )
 def reranker_comparison(spark, d):

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -272,3 +273,14 @@ def test_upsert_and_states(spark):
     got = {r.id: (r.v, r.action) for r in ig.upsert(cur, new, "id", ["v"], F.lit("2024-02-01").cast("timestamp")).collect()}
     assert got == {1: ("a", "UNCHANGED"), 2: ("x", "UPDATED"), 3: ("c", "KEPT"), 4: ("d", "INSERTED")}
     assert ig.target_state(new, new, "id", ["v"]).first().state == "ALREADY_POPULATED"
+
+
+def test_bootstrap_is_exact_under_any_partitioning(spark):
+    rnd = random.Random(3)
+    rows = [(f"g{i % 2}", i, round(rnd.random(), 6) - 0.5) for i in range(64)]
+    df = spark.createDataFrame(rows, "g string, id int, v double")
+    seen = [sorted(ev.bootstrap(df.repartition(n), ["g"], "id", "v", samples=50).collect()) for n in (1, 7, 64)]
+    assert seen[0] == seen[1] == seen[2]
+    for r in seen[0]:
+        whole = sum(round(v * 10**6) for g, _, v in rows if g == r.g)
+        assert r.mean == math.floor(Fraction(whole, 32) + Fraction(1, 2)) / 10**6  # once, half up

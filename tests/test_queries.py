@@ -16,7 +16,6 @@ DIGITS = 9
 # Columns whose last shown digit may differ by one: means or shares of values that were
 # rounded before, or that lie on half a digit.
 LAST_DIGIT = {
-    "metrics_by_method": 4,
     "profile_prices": 2,
     "rerank_combined": 4,
 }
