@@ -1,16 +1,13 @@
-"""Dense retrieval: exact, filtered and approximate."""
+"""Dense retrieval: exact and filtered, recall and checks."""
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
 from merchlens.functions.vectors import cosine, norm, vector_problem
 from merchlens.operators.lexical import top_k
@@ -155,82 +152,6 @@ def nearest(catalog: DataFrame, vector: list[float], k: int) -> DataFrame:
     return scored.orderBy(F.desc(F.round("score", 8)), "doc_id").limit(k)
 
 
-SIGNATURE_BITS = 512
-# Candidates of a query in catalogs of up to CANDIDATES_FROM vectors; beyond, they grow with the square root.
-CANDIDATES, CANDIDATES_FROM = 200, 2_000
-
-
-def candidates_for(n: int) -> int:
-    """Candidates of a query among ``n`` vectors."""
-    return math.ceil(CANDIDATES * math.sqrt(max(1.0, n / CANDIDATES_FROM)))
-
-
-def planes(dim: int, bits: int) -> np.ndarray:
-    """(dim, bits) of +1 and -1: the first hexadecimal digit of md5("plane:dimension") below 8 is +1."""
-    digit = lambda j, i: hashlib.md5(f"{j}:{i}".encode()).hexdigest()[0]
-    return np.array([[1.0 if digit(j, i) < "8" else -1.0 for j in range(bits)] for i in range(dim)])
-
-
-def signatures(df: DataFrame, id_col: str, bits: int = SIGNATURE_BITS) -> DataFrame:
-    """(id, embedding): the side of each plane a vector lies on, as 64-bit words in place of the vector."""
-    cached: dict[int, np.ndarray] = {}
-
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def sign(vectors: pd.Series) -> pd.Series:
-        if vectors.empty:
-            return pd.Series([], dtype=object)
-        m = np.stack(vectors.to_numpy()).astype("float64")
-        if m.shape[1] not in cached:
-            cached[m.shape[1]] = planes(m.shape[1], bits)
-        words = np.packbits(m @ cached[m.shape[1]] > 0, axis=1, bitorder="little").view("<i8")
-        return pd.Series(list(words))
-
-    return df.filter(F.col("embedding").isNotNull()).select(id_col, sign("embedding").alias("embedding"))
-
-
-def approximate_top_k(
-    catalog: DataFrame,
-    queries: DataFrame,
-    k: int,
-    candidates: int | None = None,
-    bits: int = SIGNATURE_BITS,
-    rows_per_block: int = ROWS_PER_BLOCK,
-    queries_per_block: int = QUERIES_PER_BLOCK,
-) -> DataFrame:
-    """R06. The ``candidates`` vectors whose signatures differ least, then their exact scores.
-
-    Signatures take a quarter of the vectors' bytes and one XOR per 64 planes; only they
-    meet in the grid.  Each cell emits its best candidates, the best of all cells are
-    kept per query, and vectors are fetched once for those.  Without ``candidates`` their
-    number follows the catalog (`candidates_for`), which holds recall@10 at 0.99 (R12
-    reports it) while the share of exact scores falls.
-    """
-    if candidates is None:
-        candidates = candidates_for(catalog.count())
-
-    def cell(cat: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
-        ids = cat["doc_id"].to_numpy()
-        words = np.stack(cat["embedding"].to_numpy()).view(np.uint64)  # the count is of magnitudes else
-        parts = []
-        for row in qs.itertuples(index=False):
-            differing = np.bitwise_count(words ^ np.asarray(row.q_vec).view(np.uint64)).sum(axis=1, dtype=np.int64)
-            best = np.lexsort((ids, differing))[:candidates]
-            parts.append(pd.DataFrame({"query_id": row.query_id, "doc_id": ids[best], "differing": differing[best]}))
-        return pd.concat(parts, ignore_index=True)
-
-    met = _grid(
-        signatures(catalog, "doc_id", bits), signatures(queries, "query_id", bits), False, rows_per_block,
-        queries_per_block, cell, "query_id {query_id}, doc_id {doc_id}, differing bigint",
-    )
-    nearest_first = W.partitionBy("query_id").orderBy("differing", "doc_id")
-    near = met.withColumn("_n", F.row_number().over(nearest_first)).filter(F.col("_n") <= candidates)
-    pairs = near.join(catalog.select("doc_id", F.col("embedding").alias("d_vec")), "doc_id").join(
-        queries.select("query_id", F.col("embedding").alias("q_vec")), "query_id"
-    )
-    scored = pairs.select("query_id", "doc_id", cosine(F.col("q_vec"), F.col("d_vec")).alias("score"))
-    return top_k(scored, k)
-
-
 def ann_recall(exact: DataFrame, approx: DataFrame, ks: list[int]) -> DataFrame:
     """R12. Per K: average and smallest share of the exact top K that was found."""
     hit = exact.select("query_id", "doc_id", F.col("rank").alias("e_rank")).join(

@@ -9,6 +9,7 @@ from merchlens.operators import constraints as cs
 from merchlens.operators import dense as dn
 from merchlens.operators import fusion as fu
 from merchlens.operators import lexical as lx
+from merchlens.operators import vector_index as vi
 from merchlens.operators import skew
 
 
@@ -90,7 +91,7 @@ def test_exact_grid_matches_plain_scoring(spark, filtered):
 def test_approximate_finds_itself_and_most_neighbours(spark):
     docs, _ = vectors(spark, 300, 1, dim=16)
     queries = docs.filter("doc_id < 20").select(F.col("doc_id").alias("query_id"), "embedding")
-    approx = dn.approximate_top_k(docs, queries, 10)
+    approx = vi.search(vi.fit(docs), queries, 10)
     assert approx.filter("rank = 1 AND query_id = doc_id").count() == 20
     assert approx.groupBy("query_id", "doc_id").count().filter("count > 1").isEmpty()
     recall = dn.ann_recall(dn.exact_top_k(docs, queries, 10), approx, [10]).first()
@@ -102,7 +103,7 @@ def test_approximate_recall_holds_as_the_catalog_grows(spark, n):
     m = np.random.default_rng(n).standard_normal((n, 64))
     docs = spark.createDataFrame(pd.DataFrame({"doc_id": np.arange(n), "embedding": list(m)}))
     queries = docs.filter("doc_id < 40").select(F.col("doc_id").alias("query_id"), "embedding")
-    recall = dn.ann_recall(dn.exact_top_k(docs, queries, 10), dn.approximate_top_k(docs, queries, 10), [10]).first()
+    recall = dn.ann_recall(dn.exact_top_k(docs, queries, 10), vi.search(vi.fit(docs), queries, 10), [10]).first()
     assert recall.avg_recall >= 0.95
 
 
@@ -172,3 +173,48 @@ def test_literal_filter_reaches_the_scan(spark, tmp_path):
     df = spark.read.parquet(path).filter(cs.literal_filter(min_rating=2.0, max_price=5.0, max_inclusive=True)).select("category")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(rating,2.0)" in plan and "LessThanOrEqual(discounted_price,5.0)" in plan
+
+
+def clustered(n, centres, dim=16, seed=0, spread=0.25):
+    rng = np.random.default_rng(seed)
+    return rng.standard_normal((centres, dim))[rng.integers(0, centres, n)] + spread * rng.standard_normal((n, dim))
+
+
+def table(spark, m):
+    return spark.createDataFrame(pd.DataFrame({"doc_id": np.arange(len(m)), "embedding": list(m)}))
+
+
+def ranked(df):
+    return sorted((r.query_id, r["rank"], r.doc_id) for r in df.collect())
+
+
+@pytest.mark.parametrize("probes", [1, 3, None])
+def test_proved_search_equals_exact_search(spark, probes):
+    docs = table(spark, clustered(3000, 40))
+    queries = docs.filter("doc_id % 100 = 7").select(F.col("doc_id").alias("query_id"), "embedding")
+    index = vi.fit(docs, rows_per_block=150)
+    assert ranked(vi.search(index, queries, 7, probes=probes, exact=True)) == ranked(dn.exact_top_k(docs, queries, 7))
+    assert index.vectors.count() == 3000 and index.vectors.groupBy("shelf", "part").count().agg(F.max("count")).first()[0] < 300
+
+
+def test_clustered_vectors_need_few_cells(spark):
+    docs = table(spark, clustered(20_000, 200))
+    queries = docs.filter("doc_id < 50").select(F.col("doc_id").alias("query_id"), "embedding")
+    index = vi.fit(docs)
+    recall = dn.ann_recall(dn.exact_top_k(docs, queries, 10), vi.search(index, queries, 10), [10]).first()
+    read = vi.share_read(index, queries)
+    assert recall.avg_recall >= 0.95 and read.agg(F.avg("share")).first()[0] < 0.1
+    assert read.select("cells").distinct().count() == 1
+
+
+def test_index_edges(spark):
+    m = np.concatenate([np.ones((500, 4)), clustered(40, 4, dim=4), np.zeros((2, 4))])  # mostly one vector
+    docs = table(spark, m).unionByName(spark.createDataFrame([(9999, None)], "doc_id bigint, embedding array<double>"))
+    queries = docs.filter("doc_id in (3, 505, 9999)").select(F.col("doc_id").alias("query_id"), "embedding")
+    index = vi.fit(docs, rows_per_block=50)
+    assert index.size.first().vectors == 542
+    got = vi.search(index, queries, 600, probes=10_000)
+    assert got.filter("query_id = 3").count() == 542 and got.filter("query_id = 9999").isEmpty()
+    assert ranked(got.filter("rank <= 5")) == ranked(dn.exact_top_k(docs, queries, 5))
+    empty = vi.fit(docs.filter("false"))
+    assert vi.search(empty, queries, 3).isEmpty() and vi.search(index, queries.filter("false"), 3).isEmpty()
