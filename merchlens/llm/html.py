@@ -14,6 +14,7 @@ looks that no labelled page shows, and pages without any such markup, are judged
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from html import unescape
 
@@ -35,7 +36,7 @@ PRIOR_MOVES, PRIOR_LOOKS = 0.2, 0.5
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Never shown as text of the page.
 HIDDEN = frozenset(
-    "audio button canvas datalist head iframe map math noframes noscript object option "
+    "annotation audio button canvas datalist head iframe map noframes noscript object option "
     "script select style svg template textarea title video".split()
 )
 # Of these, the ones that do not nest: a further start ends the one before.
@@ -45,8 +46,9 @@ RAW = frozenset("iframe noembed noframes script style textarea title xmp".split(
 IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 # Part of the running text around them.
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rb rp rt "
-    "rtc ruby s samp small span strike strong sub sup time tt u var".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo "
+    "mover mroot mrow ms msqrt mstyle msub msubsup msup mtext munder munderover nobr q rb rp rt rtc ruby s samp "
+    "semantics small span strike strong sub sup time tt u var".split()
 )
 CHROME_TAGS = frozenset("aside dialog fieldset footer form header menu nav".split())
 # An element ends where one of these starts.
@@ -84,6 +86,10 @@ _PART = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 BREAK = None
+# What the names of an element say: nothing (0), boilerplate, article, or boilerplate on what holds most of the page.
+NAMED_CHROME, NAMED_CONTENT, NAMED_AROUND = 1, 2, 3
+# Share of the running text that a wrapper without headings holds.
+WRAPPER_ALONE = 0.8
 
 
 class Page:
@@ -92,11 +98,36 @@ class Page:
     def __init__(self, html: str | None):
         self.parent: list[int] = [-1]
         self.tag: list[str] = ["#root"]
-        self.hint: list[int] = [0]  # 1: boilerplate, 2: article
+        self.hint: list[int] = [0]  # NAMED_CHROME, NAMED_CONTENT, NAMED_AROUND or 0
         self.words: list[int] = [0]  # own words, those in links apart
         self.linked: list[int] = [0]
         self.runs: list[tuple[int, str | None]] = []  # (node, text), or BREAK between blocks
+        self._open = Counter()  # open elements by tag
         self._read(html or "")
+        self._widen()
+
+    def _widen(self) -> None:
+        """Tell names of boilerplate on wrappers (`search-enabled`) from those on menus and comments.
+
+        An element with such a name that holds at least half of the page's running text is
+        around the article if it is an `article` or `main`, or holds a heading of the page's
+        highest level; without any heading it must hold WRAPPER_ALONE of the text.
+        """
+        if NAMED_CHROME not in self.hint:
+            return
+        level = {f"h{k}": k for k in range(1, 7)}
+        text = list(self.words)
+        best = [level.get(t, 9) for t in self.tag]
+        for i in range(len(text) - 1, 0, -1):
+            text[self.parent[i]] += text[i]
+            best[self.parent[i]] = min(best[self.parent[i]], best[i])
+        for i, named in enumerate(self.hint):
+            if named != NAMED_CHROME or self.tag[i] in CHROME_TAGS or 2 * text[i] < text[0] or not text[i]:
+                continue
+            least = WRAPPER_ALONE if best[0] == 9 and self.tag[i] not in ("article", "main") else 0.5
+            titled = self.tag[i] in ("article", "main") or best[i] == best[0]
+            if titled and text[i] >= least * text[0]:
+                self.hint[i] = NAMED_AROUND
 
     def _read(self, html: str) -> None:
         open_: list[tuple[str, int]] = [("#root", 0)]  # every open element with its node
@@ -147,7 +178,7 @@ class Page:
                     continue
                 elif closing and tag in inside:
                     del inside[len(inside) - 1 - inside[::-1].index(tag) :]
-                elif closing and tag not in INLINE and (tag == "head" or any(t == tag for t, _ in open_)):
+                elif closing and tag not in INLINE and (tag == "head" or self._open[tag]):
                     hidden.clear()  # the element around it ends
                 elif not closing and loose and tag in ENDS_P:
                     hidden.clear()
@@ -185,6 +216,7 @@ class Page:
                 node = self._add(node, tag, hint)
             links += tag == "a"
             open_.append((tag, node))
+            self._open[tag] += 1
 
     @staticmethod
     def _unclosed(html: str, at: int, tag: str, ends: dict[str, int]) -> bool:
@@ -220,11 +252,14 @@ class Page:
 
     def _close(self, open_: list[tuple[str, int]], tags: set[str], scoped: bool) -> int:
         """Close the innermost open element of ``tags`` and all within; returns the links closed."""
+        if not any(self._open[tag] for tag in tags):
+            return 0
         for i in range(len(open_) - 1, 0, -1):
             tag = open_[i][0]
             if tag in tags:
                 gone = open_[i:]
                 del open_[i:]
+                self._open.subtract(t for t, _ in gone)
                 if any(t not in INLINE for t, _ in gone):
                     self.runs.append((open_[-1][1], BREAK))
                 return sum(t == "a" for t, _ in gone)
@@ -240,9 +275,9 @@ class Page:
         for value in _NAMES.findall(attributes):
             parts = set(_PART.findall(_CAMEL.sub(" ", "".join(value)).lower()))
             if parts & CHROME_WORDS and not parts & {"has", "no", "with", "without"}:
-                return 1
+                return NAMED_CHROME
             if parts & CONTENT_WORDS and tag not in INLINE:
-                found = 2
+                found = NAMED_CONTENT
         return found
 
 
@@ -254,7 +289,7 @@ GROUPS |= {"td": 7, "th": 7, "tr": 7, "table": 7, "tbody": 7, "thead": 7, "tfoot
 SHORT = (3, 4, 7, 8)
 # Values of each look: kind of tag (0: others) with share of links, names, own words.
 LINKS = 4
-LOOKS = (9 * LINKS, 3, 6)
+LOOKS = (9 * LINKS, 4, 6)
 
 
 def looks(page: Page) -> np.ndarray:
@@ -286,8 +321,8 @@ def labels(page: Page) -> np.ndarray | None:
     tops = []
     for i in range(1, n):
         above = page.parent[i]
-        marked = page.tag[i] in ("article", "main") and page.hint[i] != 1
-        chrome = page.tag[i] in CHROME_TAGS or page.hint[i] == 1
+        marked = page.tag[i] in ("article", "main") and page.hint[i] != NAMED_CHROME
+        chrome = page.tag[i] in CHROME_TAGS or page.hint[i] == NAMED_CHROME
         if not inside[above] and marked and state[above] != -1:
             tops.append(i)
         inside[i] = (inside[above] or marked) and not chrome
@@ -304,11 +339,12 @@ def labels(page: Page) -> np.ndarray | None:
 def _prior() -> tuple[np.ndarray, list[np.ndarray]]:
     """Prior potentials: parent to child, and looks by state, each row adding up to 1.
 
-    Tags and names of boilerplate are next to impossible for content and for what is
-    around it: no amount of running text inside outweighs them.
+    Tags and names of boilerplate are impossible for content and for what is around it: no
+    amount of running text inside, such as a thousand comments, outweighs them.  A name on an element that
+    holds most of the page (NAMED_AROUND) is a look of its own, and says wrapper rather than menu.
     """
     moves = np.array([[0.9985, 0.0005, 0.001], [0.05, 0.945, 0.005], [0.3, 0.4, 0.3]])
-    never = 1e-12
+    never = 0.0
     tag = np.array(
         # other, article, text, item, heading, chrome, page, cell, list
         [
@@ -318,7 +354,7 @@ def _prior() -> tuple[np.ndarray, list[np.ndarray]]:
         ]
     )
     links = np.array([[32, 8, 15, 45], [78, 16, 4, 2], [40, 45, 10, 5]])
-    hint = np.array([[70, 28, 1], [84, never, 16], [68, never, 16]])
+    hint = np.array([[70, 28, 1, 1], [82, never, 16, 2], [60, never, 16, 24]])
     words = np.array([[30, 33, 9, 2, 1, 25], [19, 9, 14, 16, 17, 25], [70, 2, 1, 1, 1, 25]])
     kinds = (tag[:, :, None] * links[:, None, :]).reshape(3, -1)
     return moves, [t / t.sum(axis=1, keepdims=True) for t in (kinds, hint, words)]
@@ -340,7 +376,8 @@ def model_of(moves: np.ndarray, counts: list[np.ndarray]) -> Model:
     def mix(n, prior, weight):
         total = n.sum(axis=1, keepdims=True)
         share = np.where(total > 0, weight, 1.0)
-        return np.log(share * prior + (1 - share) * n / np.maximum(total, 1))
+        with np.errstate(divide="ignore"):  # impossible looks are minus infinity
+            return np.log(share * prior + (1 - share) * n / np.maximum(total, 1))
 
     return Model(
         mix(moves, prior_moves, PRIOR_MOVES),

@@ -1,6 +1,7 @@
 import html as html_lib
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
@@ -110,3 +111,48 @@ def test_rows(spark, model):
 def test_unclosed_hidden_elements_end_where_their_surroundings_do(page):
     read = html.Page(page.replace("ARTICLE", LONG))
     assert " ".join("".join(t or " " for _, t in read.runs).split()) == LONG
+
+
+WRAPPERS = [
+    "site search-enabled", "wrap form-page", "layout share-bar-left", "page related-posts-layout",
+    "content widget-area-none", "social-story", "has-sidebar sidebar-right",
+]
+
+
+def hinted_page(shape, name):
+    body = "<h1>Real title</h1>" + "".join(f"<p>{LONG} Part {i}.</p>" for i in range(4))
+    menu = '<header class="masthead"><h1>Site</h1><a href=/>Home</a></header><nav><a href=/a>A</a><a href=/b>B</a></nav>'
+    end = '<div class="comments"><h2>Comments</h2><p>I loved it, thank you so much for writing this, it is great.</p></div><footer>&copy; all</footer>'
+    if shape == "wrapper":
+        return f'<body><div class="{name}">{menu}<div>{body}</div>{end}</div></body>'
+    if shape == "child":
+        return f'<body>{menu}<div class="{name}">{body}</div>{end}</body>'
+    return f'<body>{menu}<article class="{name}">{body}</article>{end}</body>'
+
+
+@pytest.mark.parametrize("name", WRAPPERS)
+@pytest.mark.parametrize("shape", ["wrapper", "child", "article"])
+def test_articles_inside_wrappers_with_names_of_boilerplate(model, shape, name):
+    want = "Real title " + " ".join(f"{LONG} Part {i}." for i in range(4))
+    for own in (PRIOR, model):
+        assert html.extract(hinted_page(shape, name), own)[0] == want
+
+
+@pytest.mark.parametrize("n", [3, 30, 1000])
+def test_long_comments_are_no_wrapper(model, n):
+    comments = "".join(f"<p>Reader {i} says that this is by far the best text that I have read in a long time, really.</p>" for i in range(n))
+    page = f'<body><div><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div><div class="comments"><h2>Comments</h2>{comments}</div></body>'
+    for own in (PRIOR, model):
+        assert html.extract(page, own)[0] == f"Title {LONG} {LONG}"
+
+
+def test_mathematics_stays_in_its_sentence(model):
+    page = f"<article><h1>T</h1><p>{LONG} Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> hold.</p></article>"
+    assert html.extract(page, model)[0] == f"T {LONG} Let x=2 hold."
+
+
+def test_stray_end_tags_take_linear_time(model):
+    page = "<div>" * 60_000 + f"<p>{LONG}</p>" + "</span>" * 60_000 + "</p>" * 20_000
+    begun = time.time()
+    html.Page(page)
+    assert time.time() - begun < 2
