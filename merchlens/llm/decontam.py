@@ -38,6 +38,8 @@ EXACT_BELOW = 8
 BLOCK_TOKENS = 2_000_000
 # Training tokens hashed at once in a task.
 CHUNK_TOKENS = 400_000
+# Seed hits held before they are collapsed to alignments.
+HITS = 500_000
 
 _WORD = re.compile(r"\w+")
 _MULTIPLIERS = np.random.default_rng(5).integers(1, 1 << 63, 8, dtype=np.uint64) * 2 + 1
@@ -110,10 +112,15 @@ def best_window(equal: np.ndarray, share: float, least: int) -> tuple[int, int]
     return (int(first[stop]), stop) if size[stop] >= least else None
 
 
-def _leaks(index: SeedIndex, words: np.ndarray, bounds: np.ndarray, share: float, min_tokens: int):
-    """Yield (document, item, start, size, equal) of the documents in ``words``[bounds[i]:bounds[i + 1]]."""
+def _alignments(index: SeedIndex, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sorted numbers of all different (document, item, shift) with a seed in common.
+
+    Text that repeats itself meets an item at every pair of places, but on few shifts: hits
+    are collapsed to shifts whenever HITS of them are there, so they never take more.
+    """
     known = words > 0
-    hits = []
+    items, span = len(index.starts) - 1, len(words) + int(np.diff(index.starts).max(initial=0)) + 1
+    distinct, waiting, held = np.empty(0, np.int64), [], 0
     for mask, (hashes, item, place) in index.seeds.items():
         n = len(words) - mask[-1]
         if n <= 0:
@@ -121,34 +128,87 @@ def _leaks(index: SeedIndex, words: np.ndarray, bounds: np.ndarray, share: float
         ok = known[:n].copy()
         for off in mask[1:]:
             ok &= known[off : off + n]
-        at = np.flatnonzero(ok)
-        h = seed_hash(words, at, mask)
+        places = np.flatnonzero(ok)
+        h = seed_hash(words, places, mask)
         table = index.filters[mask]
         bits = len(table).bit_length() - 1
         maybe = table[(h >> np.uint64(64 - bits)).astype(np.int64)]
-        at, h = at[maybe], h[maybe]
-        low = np.searchsorted(hashes, h, "left")
-        many = np.searchsorted(hashes, h, "right") - low
-        at = np.repeat(at, many)
-        slot = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
-        hits.append(np.stack([item[slot], at - place[slot], np.searchsorted(bounds, at, "right") - 1]))
-    if not hits:
-        return
-    # One comparison per item, document and offset between the two.
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for i, shift, doc in np.unique(np.concatenate(hits, axis=1), axis=1).T.tolist():
+        places, h = places[maybe], h[maybe]
+        lows = np.searchsorted(hashes, h, "left")
+        counts = np.searchsorted(hashes, h, "right") - lows
+        # Parts of places with about HITS hits; a place has no more hits than the seed has in the items.
+        cuts = np.flatnonzero(np.diff((np.cumsum(counts) // HITS), prepend=0))
+        for at, low, many in zip(*(np.split(x, cuts) for x in (places, lows, counts))):
+            total = int(many.sum())
+            if not total:
+                continue
+            slot = np.arange(total) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+            at = np.repeat(at, many)
+            doc = np.searchsorted(bounds, at, "right") - 1
+            number = (doc * items + item[slot]) * (2 * span) + (at - place[slot] + span)
+            waiting.append(np.unique(number))
+            held += len(waiting[-1])
+            if held > HITS:
+                distinct = np.unique(np.concatenate([distinct, *waiting]))
+                waiting, held = [], 0
+    return np.unique(np.concatenate([distinct, *waiting]))
+
+
+def _leaks(index: SeedIndex, words: np.ndarray, bounds: np.ndarray, share: float, min_tokens: int):
+    """Yield (document, item, start, size, equal) of the documents in ``words``[bounds[i]:bounds[i + 1]].
+
+    The alignments of a document and an item are compared in order of their equal tokens.
+    A window has no more of these than its alignment, so once a window is found, only
+    alignments that may hold more, or as many and earlier, are looked at.
+    """
+    numbers = _alignments(index, words, bounds)
+    items, span = len(index.starts) - 1, len(words) + int(np.diff(index.starts).max(initial=0)) + 1
+    pair, shift = numbers // (2 * span), numbers % (2 * span) - span
+    for stop, start in zip(*_runs(pair)):
+        doc, i = divmod(int(pair[start]), items)
+        shifts = shift[start:stop]
         a, b = int(index.starts[i]), int(index.starts[i + 1])
-        low, high = max(shift, int(bounds[doc])), min(shift + b - a, int(bounds[doc + 1]))
-        equal = words[low:high] == index.words[a + low - shift : a + high - shift]
+        first, last = int(bounds[doc]), int(bounds[doc + 1])
+        low, high = np.maximum(shifts, first), np.minimum(shifts + b - a, last)
         least = min(min_tokens, b - a)
-        window = best_window(equal, share if b - a >= EXACT_BELOW else 1.0, least)
-        if window is None:
-            continue
-        start, stop = window
-        found = (int(equal[start:stop].sum()), -(low + start - int(bounds[doc])), stop - start)
-        best[doc, i] = max(best.get((doc, i), found), found)
-    for (doc, i), (equal, minus_start, size) in best.items():
-        yield doc, i, -minus_start, size, equal
+        equal = _equal_tokens(words, index.words[a:b], shifts, first, last)
+        needed = equal >= (share if b - a >= EXACT_BELOW else 1.0) * least - 1e-9
+        order = np.lexsort((shifts, -equal))
+        order = order[needed[order]]
+        best = None
+        while len(order):
+            k, order = int(order[0]), order[1:]
+            same = words[low[k] : high[k]] == index.words[a + low[k] - shifts[k] : a + high[k] - shifts[k]]
+            window = best_window(same, share if b - a >= EXACT_BELOW else 1.0, least)
+            if window is None:
+                continue
+            found = (int(same[window[0] : window[1]].sum()), first - int(low[k]) - window[0], window[1] - window[0])
+            if best is None or found > best:
+                best = found
+                order = order[(equal[order] > best[0]) | (equal[order] == best[0]) & (first - low[order] >= best[1])]
+        if best is not None:
+            yield doc, i, -best[1], best[2], best[0]
+
+
+def _runs(values: np.ndarray) -> tuple[list[int], list[int]]:
+    """Stops and starts of the runs of equal values."""
+    edges = np.flatnonzero(np.diff(values)) + 1
+    return [*edges.tolist(), len(values)][: len(values)], [0, *edges.tolist()][: len(values)]
+
+
+def _equal_tokens(words: np.ndarray, item: np.ndarray, shifts: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Equal tokens of an item laid over words[first:last] at each shift."""
+    out = np.zeros(len(shifts), np.int64)
+    if len(shifts) <= len(item):
+        for k, at in enumerate(shifts.tolist()):
+            low, high = max(at, first), min(at + len(item), last)
+            out[k] = np.count_nonzero(words[low:high] == item[low - at : high - at])
+        return out
+    for j, token in enumerate(item.tolist()):
+        at = shifts + j
+        inside = (at >= first) & (at < last)
+        out += inside & (words[np.where(inside, at, first)] == token)
+    return out
 
 
 def leaks_in(index: SeedIndex, texts: pa.Array, share: float, min_tokens: int):

@@ -1,7 +1,10 @@
 import itertools
 import random
+import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from merchlens.llm import decontam
@@ -124,3 +127,28 @@ def test_edges(spark, docs):
     got = decontam.find_leaks(copies, bench).collect()
     assert len(got) == 41 and {r.item_id for r in got} == {"a"}
     assert [r.start for r in got if r.doc_id == 99] == [50_000]
+
+
+@pytest.mark.parametrize("text, item", [
+    (["x"] * 400_000, ["x"] * 50),
+    ((["x"] * 37 + ["y"]) * 2_000, ["x"] * 50),
+    (["a", "b"] * 20_000, ["a", "b", "c"] * 20),
+    (["x"] * 30 + ["q"] + ["x"] * 400, ["x"] * 60 + ["z"] * 3),
+])
+def test_text_that_repeats_itself(text, item):
+    index = decontam.build_index(pa.array([1]), [" ".join(item)])
+    tracemalloc.start()
+    begun = time.time()
+    got = list(decontam.leaks_in(index, pa.array([" ".join(text)]), 0.8, 13))
+    assert time.time() - begun < 60 and tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+    # Brute force: every shift; the most equal tokens, then the first start, then the longest window.
+    best, last = None, min(len(text), 3_000)
+    for shift in range(1 - len(item), last):
+        low, high = max(shift, 0), min(shift + len(item), len(text))
+        same = np.array([text[i] == item[i - shift] for i in range(low, high)])
+        window = decontam.best_window(same, 0.8, 13)
+        if window:
+            found = (int(same[window[0] : window[1]].sum()), -(low + window[0]), window[1] - window[0])
+            best = found if best is None else max(best, found)
+    assert got == ([] if best is None else [(0, 0, -best[1], best[2], best[0])])
