@@ -34,24 +34,31 @@ EM_STEPS = 50
 MIN_SHARE = 0.5
 
 
+LETTER, MARK = 1, 2
+
+
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    """True for code points of letters, and of the marks that scripts write letters with."""
-    kinds = np.zeros(0x110000, bool)
+    """LETTER for code points of letters, MARK for the marks that scripts write letters with, else 0."""
+    kinds = np.zeros(0x110000, np.uint8)
     for c in range(0x110000):
-        kinds[c] = unicodedata.category(chr(c)) in ("Lu", "Ll", "Lt", "Lm", "Lo", "Mn", "Mc")
+        category = unicodedata.category(chr(c))
+        kinds[c] = LETTER if category[0] == "L" else MARK if category in ("Mn", "Mc") else 0
     return kinds
 
 
 def trigrams(text: str | None) -> np.ndarray:
     """Bucket of every letter trigram of the whole text in lower case.
 
-    A run of other characters is one gap; a trigram holds a letter in the middle, so
-    gaps mark where words start and end.
+    A run of other characters is one gap; a trigram holds a letter or mark in the middle, so
+    gaps mark where words start and end.  Marks without any letter are no text.
     """
     raw = (text or "").lower().encode("utf-32-le", "surrogatepass")
     c = np.frombuffer(raw, "<u4").astype(np.uint64)
-    c = np.where(_letters()[c.astype(np.int64)], c, 0)
+    kinds = _letters()[c.astype(np.int64)]
+    if not (kinds == LETTER).any():
+        return np.empty(0, np.int64)
+    c = np.where(kinds, c, 0)
     c = np.concatenate([[0], c, [0]]).astype(np.uint64)
     c = c[np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)])]
     if len(c) < 3:

@@ -86,3 +86,9 @@ def test_given_documents(spark):
     got = langid.op1_language_mixture(spark, "/root/testdata/sf0.001").join(docs, "doc_id")
     held = got.filter("held_out and lang is not null").collect()
     assert sum(r.lang == r.lang_pred for r in held) >= 0.95 * len(held)
+
+
+def test_marks_alone_are_no_letters(model):
+    for text in ("\u0301\u0301\u0301", " \u0301 12 \u20e3", "", None):
+        assert langid.infer(model, text) == [] or not langid.infer(model, text)
+    assert langid.infer(model, "ka\u0301lo mita nure")
