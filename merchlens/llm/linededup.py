@@ -88,7 +88,7 @@ def drop_boilerplate(
     """``pages`` with boilerplate lines taken out of ``text``, all other columns kept.
 
     Null text stays null; a text all of whose lines go becomes empty; repeated rows are
-    separate pages unless ``copies_once``; an empty table gives an empty table.  ``dropped`` names an optional
+    separate pages unless ``copies_once`` (null texts are one page too then); an empty table gives an empty table.  ``dropped`` names an optional
     column for the number of lines taken out (0 for null text); a column of that name
     is replaced.
     """
@@ -122,13 +122,13 @@ def drop_boilerplate(
 
 OP10_SQL = r"""
 WITH l AS (
-  SELECT doc_id, source, i, string_split(text, chr(10))[i] AS line,
+  SELECT doc_id, source, text, i, string_split(text, chr(10))[i] AS line,
          trim(string_split(text, chr(10))[i], ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS s
   FROM (SELECT doc_id, source, text, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i
         FROM documents WHERE text IS NOT NULL)),
-tot AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+tot AS (SELECT source, count(DISTINCT text) + max(CASE WHEN text IS NULL THEN 1 ELSE 0 END) AS pages FROM documents GROUP BY source),
 bad AS (
-  SELECT c.source, c.s FROM (SELECT source, s, count(DISTINCT doc_id) AS n FROM l WHERE s <> '' GROUP BY source, s) c
+  SELECT c.source, c.s FROM (SELECT source, s, count(DISTINCT text) AS n FROM l WHERE s <> '' GROUP BY source, s) c
   JOIN tot ON c.source IS NOT DISTINCT FROM tot.source
   WHERE n >= 4 AND n > 0.02 * pages),
 kept AS (
@@ -143,6 +143,10 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 
 @query("op10_line_dedup", OP10_SQL)
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the lines its source repeats on over 2 % of its documents."""
+    """Every document without the lines its source repeats on over 2 % of its documents.
+
+    Equal texts of a source are one document here, so that no group of copies loses all its
+    lines; which of the copies stays is for near-dedup to say.
+    """
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return drop_boilerplate(docs, dropped="n_dropped")
+    return drop_boilerplate(docs, dropped="n_dropped", copies_once=True)

@@ -52,8 +52,9 @@ def test_ratio_is_of_the_site(docs):
 
 def test_edges(docs):
     assert linededup.drop_boilerplate(docs([])).count() == 0
-    copies = [(1, "only line", None, "s")] * 5  # repeated rows are pages of their own
+    copies = [(1, "only line", None, "s")] * 5  # repeated rows are pages of their own, unless copies count once
     assert [r.text for r in linededup.drop_boilerplate(docs(copies)).collect()] == [""] * 5
+    assert [r.text for r in linededup.drop_boilerplate(docs(copies), copies_once=True).collect()] == ["only line"] * 5
     blank = [(i, "\n \n", None, None) for i in range(6)]
     assert {r.text for r in linededup.drop_boilerplate(docs(blank)).collect()} == {"\n \n"}
     clash = docs([(1, "x", None, "s")]).withColumnRenamed("lang", "lines").withColumnRenamed("n_chars", "hashes")
@@ -71,3 +72,12 @@ def test_a_large_group_of_copies_keeps_one_in_the_pipeline(spark, docs):
     assert {r.doc_id: r.text for r in kept.collect()} == {
         i: t.removeprefix("menu\n") for i, t, _, _ in rows if i in (0, 40) or i >= 100
     }
+
+
+def test_query_leaves_no_copies_empty(spark, docs, tmp_path):
+    rows = [(i, "same text\nin two lines", "en", "s") for i in range(50)] + [(100 + i, f"menu\nown {i}", "en", "s") for i in range(20)]
+    rows += [(200 + i, None, "en", "s") for i in range(30)]
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.text, r.n_dropped) for r in linededup.op10_line_dedup(spark, str(tmp_path)).collect()}
+    want = {i: (t and t.removeprefix("menu\n"), int(bool(t) and t.startswith("menu"))) for i, t, _, _ in rows}
+    assert got == want
