@@ -9,56 +9,75 @@ from pyspark.sql.window import Window as W
 from merchlens.session import cut_lineage
 
 
+# Rank error of the sketch is one in ACCURACY; brackets reach REACH errors to both sides of a rank.
+ACCURACY, REACH = 10_000, 2
+
+
 def exact_quantiles(df: DataFrame, by: str, value: str, q: list[float], nearest: list[float] | None = None) -> DataFrame:
     """(by, q, kind, value): interpolated quantiles ``q`` and nearest-rank ones of each group.
 
-    Equal values become one row with a count before anything moves.  These are dealt out
-    by ranges of (group, value), so a group covers as many blocks as it needs; block
-    totals say which blocks hold the wanted places, and only those are sorted.  NULL and
-    NaN are not values.  The interpolated quantile is that of ``percentile``, the nearest
-    one that of ``percentile_disc``.
+    One pass sketches every group and brackets each wanted rank by two values.  A second
+    pass counts what lies below a bracket and keeps the values inside, about four in
+    ACCURACY of the group; equal ones become one row with a count before they move.  Only
+    these are sorted, so no group is shuffled or sorted whole.  The wanted rank may be
+    one place outside the bracket in a small group: the next values on both sides are
+    known too.  NULL and NaN are not values.  The interpolated quantile is that of
+    ``percentile``, the nearest one that of ``percentile_disc``.
     """
     x = F.col(value).cast("double")
-    cells = (
-        df.select(F.col(by).alias("g"), x.alias("v"))
-        .filter(F.col("v").isNotNull() & ~F.isnan("v"))
-        .groupBy("g", "v")
-        .agg(F.count(F.lit(1)).alias("n"))
+    slim = df.select(F.col(by).alias("g"), x.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    slim = cut_lineage(slim)  # two narrow columns, read twice
+    places = sorted({*q, *(nearest or [])})
+    aside = REACH / ACCURACY
+    points = [max(0.0, p - aside) for p in places] + [min(1.0, p + aside) for p in places]
+    sketch = slim.groupBy("g").agg(
+        F.count(F.lit(1)).alias("total"), F.percentile_approx("v", points, ACCURACY).alias("bounds")
     )
-    dealt = cut_lineage(cells.repartitionByRange("g", "v").withColumn("block", F.spark_partition_id()))
-    blocks = dealt.groupBy("g", "block").agg(F.sum("n").alias("t"))
-    before = W.partitionBy("g").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    placed = blocks.withColumns(
-        {"start": F.coalesce(F.sum("t").over(before), F.lit(0)), "total": F.sum("t").over(W.partitionBy("g"))}
+    bounds = cut_lineage(sketch.select(F.col("g").alias("bg"), "total", "bounds"))
+    lo = [F.get("bounds", F.lit(i)) for i in range(len(places))]
+    hi = [F.get("bounds", F.lit(len(places) + i)) for i in range(len(places))]
+    v = F.col("v")
+    met = slim.join(bounds, F.col("g").eqNullSafe(F.col("bg")))
+    around = met.groupBy("g").agg(
+        F.first("total").alias("total"),
+        *[F.count_if(v < low).alias(f"below{i}") for i, low in enumerate(lo)],
+        *[F.max(F.when(v < low, v)).alias(f"before{i}") for i, low in enumerate(lo)],
+        *[F.min(F.when(v > high, v)).alias(f"after{i}") for i, high in enumerate(hi)],
     )
+    inside = F.array_compact(F.array(*[F.when(v.between(low, high), F.lit(i)) for i, (low, high) in enumerate(zip(lo, hi))]))
+    cells = met.select("g", "v", F.explode(inside).alias("i")).groupBy("g", "i", "v").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(W.partitionBy("g", "i").orderBy("v"))
+    kept = cells.select(F.col("g").alias("kg"), F.col("i").alias("ki"), F.col("v").alias("kept"), "n", upto.alias("upto"))
+    kept = kept.withColumn("held", F.sum("n").over(W.partitionBy("kg", "ki")))
     last = F.col("total") - 1
-    wanted = [
-        F.struct(F.lit(p).alias("q"), F.lit("interpolated").alias("kind"), side.cast("bigint").alias("at"), part.alias("part"))
-        for p in q
-        for side, part in (
-            (F.floor(last * F.lit(p)), 1 - (last * F.lit(p) - F.floor(last * F.lit(p)))),
-            (F.floor(last * F.lit(p)) + 1, last * F.lit(p) - F.floor(last * F.lit(p))),
-        )
-    ] + [
-        F.struct(
-            F.lit(p).alias("q"), F.lit("nearest").alias("kind"),
-            F.greatest(F.ceil(F.col("total") * F.lit(p)) - 1, F.lit(0)).cast("bigint").alias("at"), F.lit(1.0).alias("part"),
-        )
-        for p in nearest or []
-    ]
+
+    def target(p: float, kind: str, at: Column, part: Column):
+        i = places.index(p)
+        return F.struct(
+            F.lit(i).alias("i"), F.lit(p).alias("q"), F.lit(kind).alias("kind"), part.alias("part"),
+            (at.cast("bigint") - F.col(f"below{i}")).alias("at"), F.col(f"before{i}").alias("before"), F.col(f"after{i}").alias("after"),
+        )
+
+    wanted = []
+    for p in q:
+        floor = F.floor(last * F.lit(p))
+        part = last * F.lit(p) - floor
+        wanted += [target(p, "interpolated", floor, 1 - part), target(p, "interpolated", floor + 1, part)]
+    for p in nearest or []:
+        wanted.append(target(p, "nearest", F.greatest(F.ceil(F.col("total") * F.lit(p)) - 1, F.lit(0)), F.lit(1.0)))
     # The upper neighbour of the last place has no weight.
-    spots = placed.select("g", "block", "start", "t", F.inline(F.array(*wanted))).filter(
-        (F.col("part") > 0) & (F.col("at") >= F.col("start")) & (F.col("at") < F.col("start") + F.col("t"))
-    )
-    spots = spots.select(F.col("g").alias("sg"), F.col("block").alias("sb"), "start", "q", "kind", "at", "part")
-    held = spots.select("sg", "sb", "start").distinct()
-    same = F.col("g").eqNullSafe(F.col("sg")) & (F.col("block") == F.col("sb"))
-    inside = W.partitionBy("g", "block").orderBy("v")
-    runs = dealt.join(held, same).select("g", "block", "v", "n", (F.col("start") + F.sum("n").over(inside)).alias("upto"))
-    hits = runs.join(
-        spots.drop("start"), same & (F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("n"))
-    )
-    return hits.groupBy(F.col("g").alias(by), "q", "kind").agg(F.sum(F.col("v") * F.col("part")).alias("value"))
+    spots = around.select("g", F.inline(F.array(*wanted))).filter("part > 0")
+    here = (
+        F.col("g").eqNullSafe(F.col("kg")) & (F.col("i") == F.col("ki"))
+        & (
+            ((F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("n")))
+            | ((F.col("upto") == F.col("n")) & (F.col("at") < 0))
+            | ((F.col("upto") == F.col("held")) & (F.col("at") >= F.col("held")))
+        )
+    )
+    hits = spots.join(kept, here)
+    chosen = F.when(F.col("at") < 0, F.col("before")).when(F.col("at") >= F.col("held"), F.col("after")).otherwise(F.col("kept"))
+    return hits.groupBy(F.col("g").alias(by), "q", "kind").agg(F.sum(chosen * F.col("part")).alias("value"))
 
 
 def wide(quantiles: DataFrame, by: str, names: dict[tuple[float, str], str]) -> DataFrame:

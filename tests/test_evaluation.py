@@ -284,3 +284,22 @@ def test_bootstrap_is_exact_under_any_partitioning(spark):
     for r in seen[0]:
         whole = sum(round(v * 10**6) for g, _, v in rows if g == r.g)
         assert r.mean == math.floor(Fraction(whole, 32) + Fraction(1, 2)) / 10**6  # once, half up
+
+
+@pytest.mark.parametrize("shape", ["path", "shuffled path", "star", "strings"])
+def test_components_of_long_paths_and_giant_stars(spark, shape):
+    n = 100_000
+    if shape == "star":
+        members = spark.range(1_000_000).select(F.col("id").alias("node"), F.lit("hub").alias("edge"))
+        got = sp.components(members.select("node"), members)
+        assert got.count() == 1_000_000 and got.filter("component <> 0").isEmpty()
+        return
+    order = list(range(n))
+    if shape != "path":
+        random.Random(1).shuffle(order)
+    name = (lambda i: f"n{i:06}") if shape == "strings" else int
+    rows = [(name(x), f"e{i + d}") for i, x in enumerate(order) for d in (0, 1)]
+    kind = "string" if shape == "strings" else "long"
+    members = spark.createDataFrame(rows, f"node {kind}, edge string").repartition(8)
+    got = sp.components(members.select("node"), members)
+    assert got.count() == n and got.select("component").distinct().collect() == [(name(0),)]

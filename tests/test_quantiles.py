@@ -36,3 +36,18 @@ def test_distinct_counts(spark):
     got = qt.distinct_counts(df, {"a": F.col("a"), "b": F.col("b"), "row": F.struct("a", "b"), "no": F.lit(None).cast("string")})
     assert {r.column_name: r.distinct_count for r in got.collect()} == {"a": 2, "b": 3, "row": 4, "no": 0}
     assert {r.distinct_count for r in qt.distinct_counts(df.limit(0), {"a": F.col("a")}).collect()} == {0}
+
+
+@pytest.mark.parametrize("accuracy", [qt.ACCURACY, 20])
+def test_brackets_hold_every_rank_of_groups_of_any_size(spark, monkeypatch, accuracy):
+    monkeypatch.setattr(qt, "ACCURACY", accuracy)
+    rng = np.random.default_rng(accuracy)
+    own = {n: np.round(rng.lognormal(size=n), 2 if n % 2 else 6) for n in [*range(1, 40), 101, 997, 5000]}
+    df = spark.createDataFrame([(n, float(v)) for n, vs in own.items() for v in vs], "g int, v double").repartition(4)
+    q = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0]
+    got = {(r.g, r.q, r.kind): r.value for r in qt.exact_quantiles(df, "g", "v", q, [0.5, 0.9, 0.95]).collect()}
+    for n, vs in own.items():
+        for p in q:
+            assert got[n, p, "interpolated"] == pytest.approx(np.quantile(vs, p), rel=1e-12)
+        for p in (0.5, 0.9, 0.95):
+            assert got[n, p, "nearest"] == np.sort(vs)[max(int(np.ceil(p * n - 1e-12)) - 1, 0)]
