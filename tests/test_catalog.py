@@ -42,13 +42,31 @@ def random_rows(n, seed):
 
 
 @pytest.mark.parametrize("fold_limit", [2000, 3])
-def test_dedup_matches_brute_force(spark, fold_limit, monkeypatch):
-    monkeypatch.setattr(cat, "HEADS", 2)
+def test_dedup_matches_brute_force(spark, fold_limit):
     rows = random_rows(150, 5)
     got = {r.id for r in cat.dedup_keys(spark.createDataFrame(rows, SCHEMA), fold_limit=fold_limit).collect()}
     assert got == greedy(rows)
 
 
+def test_large_clusters_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    store = cat.cut_lineage
+    monkeypatch.setattr(cat, "cut_lineage", lambda df: rounds.append(1) or store(df))
+    # 50,000 rows of one product that all conflict: every one is kept.
+    conflicting = [(f"id{i:05}", "Lamp", "A", "Home", 1.0, "d" * (i % 5), [("Model", f"m{i}"), ("Color", "x")]) for i in range(50_000)]
+    got = cat.dedup_keys(spark.createDataFrame(conflicting, SCHEMA)).collect()
+    assert {r.id for r in got} == {r[0] for r in conflicting} and len(rounds) < 20
+    # Rows without specs agree with all others; few keys make most rows agree with some.
+    rounds.clear()
+    rnd = random.Random(12)
+    mixed = []
+    for i in range(3000):
+        specs = [(k, rnd.choice("abcdefgh")) for k in ("Color", "Size", "Model", "Finish") if rnd.random() < 0.8]
+        mixed.append((f"id{i:05}", "Lamp", "A", "Home", 1.0, "d" * rnd.randint(0, 9), specs))
+    got = cat.dedup_keys(spark.createDataFrame(mixed, SCHEMA), fold_limit=10).collect()
+    assert {r.id for r in got} == greedy(mixed) and len(rounds) < 40  # two tables a round
+
+
 def test_dedup_does_not_depend_on_row_order(spark):
     rows = random_rows(80, 9)
     a = {r.id for r in cat.dedup_keys(spark.createDataFrame(rows, SCHEMA)).collect()}
