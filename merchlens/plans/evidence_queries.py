@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -16,8 +18,10 @@ from merchlens.plans.derived import load
 from merchlens.plans.evaluation_queries import _ADJ, _adjudicated, _judged, _side, split_problems
 from merchlens.plans.registry import ORACLES, query
 from merchlens.plans.search_queries import frozen_runs
-from merchlens.sources import sinks
+from merchlens.session import cut_lineage, shared_folder
+from merchlens.sources import sinks, upserts
 from merchlens.streaming import sessions as ss
+from merchlens.streaming import state as sst
 
 _EV = """SELECT product_id || '-E' || cast(row_number() OVER (PARTITION BY product_id ORDER BY n) AS string) AS evidence_id, product_id, source_field, text FROM (
   SELECT product_id, 1 AS n, 'product_name' AS source_field, product_name AS text FROM {products}
@@ -364,6 +368,31 @@ def upserted_parts(spark, d):
     return out.drop("created_at")
 
 
+_CHANGED = "SELECT p_partkey, p_name, CASE WHEN p_partkey % 100 = 3 THEN p_brand || ' new' ELSE p_brand END AS p_brand, p_retailprice FROM part WHERE p_partkey % 50 < 49"
+
+
+@query(
+    "parts_table_after_changes",
+    f"""WITH i AS ({_CHANGED} UNION ALL SELECT p_partkey + 100000000, p_name, p_brand, p_retailprice FROM part WHERE p_partkey % 100 = 5)
+        SELECT p_partkey, i.p_brand, CASE WHEN p_partkey % 100 = 3 THEN TIMESTAMP '2024-02-01 00:00:00' ELSE TIMESTAMP '2024-01-01 00:00:00' END AS updated_at, TIMESTAMP '2024-01-01 00:00:00' AS created_at FROM i WHERE p_partkey < 100000000
+        UNION ALL SELECT p_partkey, p_brand, TIMESTAMP '2024-02-01 00:00:00', TIMESTAMP '2024-02-01 00:00:00' FROM i WHERE p_partkey >= 100000000
+        UNION ALL SELECT p_partkey, p_brand, TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-01 00:00:00' FROM part WHERE p_partkey % 50 = 49""",
+)
+def parts_table_after_changes(spark, d):
+    """I08 on a stored table: changed, new, repeated and missing rows; only touched folders are rewritten."""
+    part, fields = load(spark, d, "part"), ["p_name", "p_brand", "p_retailprice"]
+    path = f"{shared_folder(spark)}/sources/parts-{uuid.uuid4().hex}"
+    first, later = (F.lit(f"2024-0{m}-01 00:00:00").cast("timestamp_ntz") for m in (1, 2))
+    upserts.create_table(part, path, "p_partkey", fields, first, buckets=16)
+    some = part.filter("p_partkey % 50 < 49").withColumn(
+        "p_brand", F.when(F.col("p_partkey") % 100 == 3, F.concat("p_brand", F.lit(" new"))).otherwise(F.col("p_brand"))
+    )
+    new = part.filter("p_partkey % 100 = 5").withColumn("p_partkey", F.col("p_partkey") + 100_000_000)
+    names = ["p_partkey", *fields]
+    upserts.apply_changes(spark, path, some.select(*names).unionByName(new.select(*names)), fields, later)
+    return upserts.read_table(spark, path).select("p_partkey", "p_brand", "updated_at", "created_at")
+
+
 @query(
     "snapshot_consistency",
     "SELECT (SELECT count(*) FROM part) AS source_rows, (SELECT count(*) FROM {loaded_parts}) AS target_rows, true AS same_after_shuffle, false AS same_as_loaded FROM (SELECT count(*) AS n FROM part WHERE p_size IN (7,9,13,21)) WHERE n > 0",
@@ -651,3 +680,35 @@ def conversation_tail(spark, d):
     """W12 over conversations."""
     rows = load(spark, d, "conversations")
     return ss.last_turns(rows, ["conv_id"], [F.desc("turn")]).select("conv_id", "turn", "role", "text", "recency")
+
+
+# Turns arrive after a delay of up to five minutes, some of them far too late, in three parts.
+_DELAY = "CASE WHEN (event_id * 7919) % 100 < 85 THEN event_id % 300 ELSE 600 + event_id % 3000 END"
+_PARTS = 3
+
+
+@query(
+    "stream_sessions",
+    f"""WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS us, epoch_us(ts) + 1000000 * ({_DELAY}) AS arr FROM events),
+        s AS (SELECT *, least({_PARTS - 1}, (arr - min(arr) OVER ()) * {_PARTS} // (max(arr) OVER () - min(arr) OVER () + 1)) AS part FROM e),
+        mx AS (SELECT part, max(us) AS m FROM s GROUP BY part),
+        wm AS (SELECT a.part, max(b.m) // 1000 - {1000 * sst.LATENESS_SECONDS} AS w FROM mx a JOIN mx b ON b.part < a.part GROUP BY 1),
+        kept AS (SELECT s.* FROM s LEFT JOIN wm USING (part) WHERE w IS NULL OR us > w * 1000),
+        n AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us, event_id) <= {1000000 * ss.TTL_SECONDS} THEN 0 ELSE 1 END AS starts FROM kept),
+        g AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY us, event_id) AS session FROM n)
+        SELECT user_id, min(us) AS started, max(us) AS ended, count(*) AS turns, array_to_string(list(event_id ORDER BY us, event_id)[-{ss.MAX_TURNS}:], ',') AS recent
+        FROM g GROUP BY user_id, session
+        HAVING (max(us) + {1000000 * ss.TTL_SECONDS}) // 1000 + 1 <= (SELECT max(us) // 1000 - {1000 * sst.LATENESS_SECONDS} FROM e)""",
+)
+def stream_sessions(spark, d):
+    """ST01 as a stream: sessions closed by timers, restarted after every part, late turns dropped."""
+    epoch = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
+    at = F.timestamp_diff("MICROSECOND", epoch, F.col("ts").cast("timestamp_ntz"))
+    events = load(spark, d, "events").select("event_id", F.col("user_id").alias("user_key"), at.alias("at"))
+    timed = cut_lineage(events.withColumn("arr", F.col("at") + 1_000_000 * F.expr(_DELAY)))
+    lo, hi = timed.agg(F.min("arr"), F.max("arr")).first()
+    part = F.least(F.lit(_PARTS - 1), F.call_function("div", (F.col("arr") - F.lit(lo)) * _PARTS, F.lit((hi or 0) - (lo or 0) + 1)))
+    turns = timed.select("user_key", F.timestamp_micros("at").alias("ts"), F.col("event_id").alias("turn"), part.alias("part"))
+    out = sst.replay([turns.filter(F.col("part") == k).drop("part") for k in range(_PARTS)])
+    recent = F.array_join(F.transform("recent", lambda i: i.cast("string")), ",")
+    return out.select(F.col("user_key").alias("user_id"), "started", "ended", "turns", recent.alias("recent"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,13 +42,22 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def promote(spark: SparkSession, staging: str, path: str) -> None:
-    """Rename a finished staging folder to its place; refuse if something is there."""
+    """Rename a finished staging folder to its place; refuse if something is there.
+
+    The rename itself refuses a taken target, so a writer that comes in between the look
+    and the rename loses nothing and is not mixed with this one.
+    """
     fs, target = _fs(spark, path)
     if fs.exists(target):
         raise ContractError(f"refusing to overwrite {path}")
     fs.mkdirs(target.getParent())
-    if not fs.rename(_fs(spark, staging)[1], target):
-        raise ContractError(f"could not promote {staging}")
+    hadoop, gateway = spark.sparkContext._jvm.org.apache.hadoop, spark.sparkContext._gateway
+    files = hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    no_options = gateway.new_array(hadoop.fs.Options.Rename, 0)
+    try:
+        files.rename(fs.makeQualified(_fs(spark, staging)[1]), fs.makeQualified(target), no_options)
+    except Py4JJavaError as refused:
+        raise ContractError(f"could not promote {staging}: {refused.java_exception.getMessage()}") from refused
 
 
 def publish(
@@ -81,20 +91,21 @@ def load_empty(df: DataFrame, path: str, key: str) -> DataFrame:
 
     The target may be missing or hold no rows; anything else is refused.  Rows are
     staged and counted, keys must be there and unique, then the staging folder takes
-    the target's place.
+    the target's place.  A load that fails leaves the target as it was.
     """
     spark = df.sparkSession
-    if exists(spark, path):
-        if not spark.read.parquet(path).isEmpty():
-            raise ContractError(f"{path} is not empty")
-        fs, target = _fs(spark, path)
-        fs.delete(target, True)
+    there = exists(spark, path)
+    if there and not spark.read.parquet(path).isEmpty():
+        raise ContractError(f"{path} is not empty")
     staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
     df.write.parquet(staging)
     back = spark.read.parquet(staging)
     seen = back.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(key).alias("keys")).first()
     if seen["n"] != seen["keys"]:
         raise ContractError(f"{seen['n'] - seen['keys']} row(s) lack a key of their own")
+    if there:
+        fs, target = _fs(spark, path)
+        fs.delete(target, True)
     promote(spark, staging, path)
     return spark.read.parquet(path)
 

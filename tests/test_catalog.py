@@ -1,5 +1,6 @@
 """Deduplication against brute force, brand casing, publishing and indexes."""
 
+import pathlib
 import random
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from merchlens.operators import catalog as cat
 from merchlens.operators import lexical as lx
 from merchlens import session
-from merchlens.sources import readers, sinks
+from merchlens.sources import readers, sinks, upserts
 
 SCHEMA = (
     "uniq_id string, product_name string, brand string, category string, discounted_price double, description string, "
@@ -158,6 +159,44 @@ def test_load_needs_an_empty_target(spark, tmp_path):
         sinks.load_empty(rows, path, "product_id")
 
 
+def test_failed_load_leaves_the_target(spark, tmp_path):
+    path, rows = str(tmp_path / "t"), spark.createDataFrame([("a", 1), ("b", 2)], "product_id string, x int")
+    assert sinks.load_empty(rows.limit(0), path, "product_id").count() == 0
+    before = sorted(p.name for p in (tmp_path / "t").iterdir())
+    with pytest.raises(readers.ContractError):
+        sinks.load_empty(rows.union(rows), path, "product_id")
+    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == before
+    rows.write.parquet(f"{tmp_path}/staging")
+    with pytest.raises(readers.ContractError):
+        sinks.promote(spark, f"{tmp_path}/staging", path)
+
+
+def test_changes_rewrite_only_the_folders_they_lie_in(spark, tmp_path):
+    path, fields = str(tmp_path / "t"), ["name", "price"]
+    t0, t1 = (F.lit(f"2024-0{m}-01").cast("timestamp") for m in (1, 2))
+    rows = spark.createDataFrame([(i, f"n{i}", None if i % 7 == 0 else float(i)) for i in range(5000)], "id long, name string, price double")
+    upserts.create_table(rows, path, "id", fields, t0, buckets=20)
+    files = lambda: {str(p.relative_to(path)): p.stat().st_mtime_ns for p in pathlib.Path(path).rglob("*.parquet")}
+    before = files()
+    same = {r.action: r.rows for r in upserts.apply_changes(spark, path, rows, fields, t1).collect()}
+    assert same == {"UNCHANGED": 5000, "KEPT": 0} and files() == before
+    bucket = lambda df: {r[0] for r in df.select(F.pmod(F.xxhash64("id"), F.lit(20))).distinct().collect()}
+    some = rows.filter(F.pmod(F.xxhash64("id"), F.lit(20)).isin(3, 4)).limit(50).withColumn("price", F.lit(None).cast("double"))
+    new = spark.createDataFrame([(900_000, "new", 1.0)], rows.schema)
+    incoming = some.unionByName(new)
+    got = {r.action: r.rows for r in upserts.apply_changes(spark, path, incoming, fields, t1).collect()}
+    changed = some.join(rows.filter("price is not null"), "id", "left_semi").count()
+    assert got == {"INSERTED": 1, "UPDATED": changed, "UNCHANGED": 50 - changed, "KEPT": 4950}
+    touched = {f"bucket={b}" for b in bucket(incoming)}
+    after = files()
+    assert {f: t for f, t in after.items() if f.split("/")[0] not in touched} == {f: t for f, t in before.items() if f.split("/")[0] not in touched}
+    table = upserts.read_table(spark, path)
+    assert table.count() == 5001 and table.filter(F.col("updated_at") == t1).count() == changed + 1
+    assert table.filter(F.col("created_at") == t1).count() == 1
+    with pytest.raises(readers.ContractError):
+        upserts.apply_changes(spark, path, incoming.unionByName(incoming), fields, t1)
+
+
 def test_publish_checks_the_target_first(spark, tmp_path):
     good = spark.createDataFrame([("a", "x")], "product_id string, retrieval_text string")
     assert sinks.publish(good, str(tmp_path / "p")).count() == 1

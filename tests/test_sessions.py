@@ -1,10 +1,12 @@
 """Session stream and its batch twin."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
 from merchlens.streaming import sessions as ss
+from merchlens.streaming import state
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -56,3 +58,28 @@ def test_batch_sessions_cross_buckets(spark):
     assert got == want
     last = ss.last_turns(df.withColumn("s", F.lit(1)), ["user", "s"], [F.desc("ts")], 3)
     assert sorted(r.id for r in last.collect()) == [397, 398, 399]
+
+
+def test_stream_state_equals_batch_across_restarts(spark):
+    rnd = random.Random(6)
+    rows = [(u, at(m), 1000 * u + i) for u in range(5) for i, m in enumerate(sorted(rnd.sample(range(3000), 60)))]
+    rows += [(9, at(i / 10), 50_000 + i) for i in range(400)]  # a busy user, one session
+    rows.sort(key=lambda r: r[1])
+    local = [r for k in range(0, len(rows), 7) for r in rnd.sample(rows[k : k + 7], len(rows[k : k + 7]))]  # a little out of order
+    schema = "user_key long, ts timestamp, turn long"
+
+    def run(cuts):
+        parts = [spark.createDataFrame(local[a:b], schema) for a, b in zip([0, *cuts], [*cuts, len(local)])]
+        return sorted(map(tuple, state.replay(parts, lateness=100_000).collect()))
+
+    want = []
+    df = spark.createDataFrame(rows, schema)
+    batch = ss.sessionize(df, "user_key", "ts", "turn").groupBy("user_key", "session").agg(
+        F.min(F.unix_micros("ts")).alias("started"), F.max(F.unix_micros("ts")).alias("ended"), F.count("*").alias("turns"),
+        F.slice(F.sort_array(F.collect_list(F.struct(F.unix_micros("ts").alias("t"), "turn")), asc=False), 1, 10).alias("last"),
+    )
+    horizon = max(int((r[1] - dt.datetime(1970, 1, 1)).total_seconds() * 10**6) for r in rows) // 1000 - 100_000_000
+    for r in batch.collect():
+        if (r.ended + 3600 * 10**6) // 1000 + 1 <= horizon:
+            want.append((r.user_key, r.started, r.ended, r.turns, [x.turn for x in r["last"]][::-1]))
+    assert run([]) == run([150, 151, 400]) == sorted(want) and want
