@@ -1,13 +1,14 @@
 """Quality rules with risk-controlled thresholds.
 
 Each rule compares a ratio of a text with a cutoff from a ladder that runs from lenient
-to strict.  Labelled documents of good quality are the holdout: per stratum and rule
-the ladder is walked as long as an exact binomial test shows, at its level, that at
-most the allowed share of good documents would be rejected.  Walking a fixed order and
-stopping at the first failure needs no correction for the number of cutoffs; the
-level is divided by the number of strata and rules.  So with probability 1 - DELTA
-no stratum loses more than FALSE_REJECTIONS of its good documents, all rules taken
-together.  A stratum with too few good labels to prove anything gets no cutoff.
+to strict.  All rules together are a vector of cutoffs, and PATH leads from no rule at all
+to the strictest of each, one ladder step of one rule at a time.  Labelled documents of
+good quality are the holdout: per stratum the path is walked as long as an exact binomial
+test shows that at most FALSE_REJECTIONS of the good documents fail any rule.  Walking a
+fixed path and stopping at the first failure needs no correction for its length; the
+level is divided by the number of strata.  So with probability 1 - DELTA no stratum loses
+more than that share of its good documents, all rules taken together.  About 140 to 200 good labels
+are needed to prove a first step; a stratum with fewer gets no cutoff.
 
 Ratios are compared in whole numbers (per mille), so results do not depend on
 rounding or on how rows are split.
@@ -38,7 +39,10 @@ RULES = [
     ("repeated_lines", "n_dup_lines", "n_lines", [500, 400, 300, 200, 100, 50]),
     ("long_words", "word_chars", "n_words", [12000, 10000, 9000, 8000, 7500, 7000, 6500, 6000]),
 ]
-ALLOWED = FALSE_REJECTIONS / len(RULES)
+# (rule, cutoff) that each step of the path tightens: every rule in turn, ladder step by ladder step.
+PATH = [
+    (rule[0], rule[3][i]) for i in range(max(len(r[3]) for r in RULES)) for rule in RULES if i < len(rule[3])
+]
 
 
 def _without(text: Column, chars: str) -> Column:
@@ -143,64 +147,52 @@ def _rejects(rule: tuple, cutoff: Column) -> Column:
     return F.coalesce(1000 * F.col(top) > cutoff * F.col(bottom), F.lit(False))
 
 
+def first_failure() -> Column:
+    """The step of PATH at which a document starts to fail; null if it never does.
+
+    Ladders fall, so whoever fails at a step fails at all later ones.
+    """
+    rule = {r[0]: r for r in RULES}
+    return F.least(*[F.when(_rejects(rule[name], F.lit(cutoff)), F.lit(t)) for t, (name, cutoff) in enumerate(PATH)])
+
+
 def select_cutoffs(
     counts: DataFrame,
     labels: DataFrame,
     doc_id: str = "doc_id",
     good: str = "quality",
-    allowed: float = ALLOWED,
+    bad: str = "toxic",
+    allowed: float = FALSE_REJECTIONS,
     delta: float = DELTA,
 ) -> DataFrame:
-    """(stratum, one column per rule): the strictest proven cutoff in per mille, null if none.
+    """(stratum, one column per rule): the cutoffs in per mille at the end of the proven path, null if none.
 
-    ``counts`` are `features`.  Good documents are those whose labels are all 1 and that
-    pass the base rules.  Rows are counted, with partial sums, before anything moves; what
-    follows has one row per stratum, rule and cutoff.
+    ``counts`` are `features`.  Good documents are those whose ``good`` labels are all 1,
+    whose ``bad`` labels are all 0 or null (where there is such a column) and that pass the
+    base rules.  Rows are counted, with partial sums, before anything moves; what
+    follows has one row per stratum and step.
     """
-    marks = labels.groupBy(F.col(f"`{doc_id}`").alias("doc_id")).agg(F.min(F.col(f"`{good}`")).alias("good"))
-    clean = counts.filter(~F.col("base_failed")).join(marks.filter("good = 1"), "doc_id")
-    lost = [
-        F.count_if(_rejects(rule, F.lit(cutoff))).alias(f"{rule[0]}_{i}")
-        for rule in RULES
-        for i, cutoff in enumerate(rule[3])
-    ]
-    seen = cut_lineage(clean.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *lost))
-    level = delta / (len(RULES) * max(seen.count(), 1))
-    tests = seen.select(
-        "stratum",
-        "n",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(rule[0]).alias("rule"),
-                        F.lit(i).alias("step"),
-                        F.lit(cutoff).alias("cutoff"),
-                        F.col(f"{rule[0]}_{i}").alias("k"),
-                    )
-                    for rule in RULES
-                    for i, cutoff in enumerate(rule[3])
-                ]
-            )
-        ).alias("t"),
-    )
-    proven = tests.select(
-        "stratum",
-        "t.*",
-        (binomial_cdf(F.col("t.k"), F.col("n"), allowed) <= level).alias("proven"),
-    )
-    stops = proven.groupBy("stratum", "rule").agg(
-        F.coalesce(F.min(F.when(~F.col("proven"), F.col("step"))), F.lit(1 << 20)).alias("stop"),
-        F.collect_list(F.struct("step", "cutoff")).alias("ladder"),
-    )
-    # Ladders fall, so the strictest cutoff before the stop is the least.
-    chosen = F.array_min(
-        F.transform(F.filter("ladder", lambda x: x.step < F.col("stop")), lambda x: x.cutoff)
+    harmful = F.max(F.coalesce(F.col(f"`{bad}`"), F.lit(0))) if bad in labels.columns else F.lit(0)
+    marks = labels.groupBy(F.col(f"`{doc_id}`").alias("doc_id")).agg(
+        F.min(F.col(f"`{good}`")).alias("good"), harmful.alias("harmful")
     )
-    names = [rule[0] for rule in RULES]
-    return stops.select("stratum", "rule", chosen.alias("cutoff")).groupBy("stratum").pivot("rule", names).agg(
-        F.first("cutoff")
+    clean = counts.filter(~F.col("base_failed")).join(marks.filter("good = 1 and harmful = 0"), "doc_id")
+    lost = [F.count_if(F.col("first") <= t).alias(f"lost_{t}") for t in range(len(PATH))]
+    failing = clean.select("stratum", first_failure().alias("first"))
+    seen = cut_lineage(failing.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *lost))
+    level = delta / max(seen.count(), 1)
+    steps = F.array(*[F.struct(F.lit(t).alias("t"), F.col(f"lost_{t}").alias("k")) for t in range(len(PATH))])
+    tests = seen.select("stratum", "n", F.inline(steps))
+    proven = tests.select("stratum", "t", (binomial_cdf(F.col("k"), F.col("n"), allowed) <= level).alias("proven"))
+    stops = proven.groupBy("stratum").agg(
+        F.coalesce(F.min(F.when(~F.col("proven"), F.col("t"))), F.lit(len(PATH))).alias("stop")
     )
+    # A rule stands at the last cutoff that the path set before the stop.
+    standing = {
+        name: F.least(*[F.when(F.lit(t) < F.col("stop"), F.lit(c)) for t, (n, c) in enumerate(PATH) if n == name])
+        for name, *_ in RULES
+    }
+    return stops.select("stratum", *[c.alias(name) for name, c in standing.items()])
 
 
 def judge(counts: DataFrame, cutoffs: DataFrame) -> DataFrame:
@@ -223,12 +215,11 @@ def judge(counts: DataFrame, cutoffs: DataFrame) -> DataFrame:
 
 
 def _sql() -> str:
-    losses = " UNION ALL ".join(
-        f"SELECT stratum, '{name}' AS rule, {i} AS step, {c} AS cutoff, "
-        f"count(*) FILTER (WHERE 1000 * {top} > {c} * {bottom}) AS k FROM good GROUP BY stratum"
-        for name, top, bottom, ladder in RULES
-        for i, c in enumerate(ladder)
+    ratio = {name: (top, bottom) for name, top, bottom, _ in RULES}
+    first = ", ".join(
+        f"CASE WHEN 1000 * {ratio[name][0]} > {c} * {ratio[name][1]} THEN {t} END" for t, (name, c) in enumerate(PATH)
     )
+    path = ", ".join(f"('{name}', {c}, {t})" for t, (name, c) in enumerate(PATH))
     fails = " OR ".join(
         f"coalesce(1000 * {top} > (SELECT cutoff FROM chosen c WHERE c.stratum = f.stratum AND rule = '{name}') * {bottom}, false)"
         for name, top, bottom, _ in RULES
@@ -251,20 +242,20 @@ f AS (
            coalesce(rep.n, 0) AS n_repeat_words, length(t) - length(replace(t, '!', '')) AS n_exclamations,
            length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS n_capitals, len(l) AS n_lines
     FROM d LEFT JOIN rep ON d.doc_id = rep.doc_id)),
-good AS (SELECT f.* FROM f JOIN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1) g
+good AS (SELECT f.* FROM f JOIN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1 AND max(coalesce(toxic, 0)) = 0) g
   ON f.doc_id = g.doc_id WHERE NOT base_failed),
-size AS (SELECT stratum, count(*) AS n FROM good GROUP BY stratum),
-loss AS ({losses}),
+fp AS (SELECT stratum, least({first}) AS first FROM good),
+path(rule, cutoff, t) AS (VALUES {path}),
+loss AS (SELECT stratum, t, count(*) FILTER (WHERE first <= t) AS k, count(*) AS n FROM fp, (SELECT t FROM path) GROUP BY stratum, t),
 cdf AS (
-  SELECT loss.stratum, rule, step, cutoff,
-         CASE WHEN k < n * {ALLOWED!r} THEN list_sum(list_transform(generate_series(0, k), lambda j: exp(
-           lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({ALLOWED!r}) + (n - j) * ln(1 - {ALLOWED!r})))) ELSE 1.0 END AS p
-  FROM loss JOIN size ON loss.stratum = size.stratum),
+  SELECT stratum, t,
+         CASE WHEN k < n * {FALSE_REJECTIONS!r} THEN list_sum(list_transform(generate_series(0, k), lambda j: exp(
+           lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({FALSE_REJECTIONS!r}) + (n - j) * ln(1 - {FALSE_REJECTIONS!r})))) ELSE 1.0 END AS p
+  FROM loss),
 stops AS (
-  SELECT stratum, rule, coalesce(min(step) FILTER (WHERE p > {DELTA!r} / ({len(RULES)} * (SELECT count(*) FROM size))), 1000) AS stop
-  FROM cdf GROUP BY stratum, rule),
-chosen AS (SELECT cdf.stratum, cdf.rule, min(cutoff) AS cutoff FROM cdf JOIN stops ON cdf.stratum = stops.stratum AND cdf.rule = stops.rule
-  WHERE step < stop GROUP BY cdf.stratum, cdf.rule)
+  SELECT stratum, coalesce(min(t) FILTER (WHERE p > {DELTA!r} / (SELECT count(DISTINCT stratum) FROM fp)), {len(PATH)}) AS stop
+  FROM cdf GROUP BY stratum),
+chosen AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM stops JOIN path ON t < stop GROUP BY stratum, rule)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
        NOT base_failed AND NOT ({fails}) AS kept
 FROM f

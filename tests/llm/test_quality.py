@@ -61,22 +61,34 @@ def counts_table(spark, rows):
 
 def test_cutoffs_keep_the_promise(spark):
     rng = random.Random(2)
-    rows = [(i, "big", 0 if rng.random() < 0.98 else rng.randint(21, 300)) for i in range(6000)]
-    rows += [(10_000 + i, "small", 0) for i in range(100)]
-    labels = spark.createDataFrame([(i, 1) for i, _, _ in rows] + [(20_000, 1)], "doc_id long, quality int")
+    rows = [(i, "big", 0 if rng.random() < 0.94 else rng.randint(21, 300)) for i in range(6000)]
+    rows += [(10_000 + i, "small", 0) for i in range(100)] + [(11_000 + i, "fair", 0) for i in range(200)]
+    labels = spark.createDataFrame([(i, 1, 0) for i, _, _ in rows] + [(20_000, 1, 0)], "doc_id long, quality int, toxic int")
     counts = counts_table(spark, rows)
     got = {r.stratum: r.asDict() for r in quality.select_cutoffs(counts, labels).collect()}
     values = [n for _, s, n in rows if s == "big"]
-    level = quality.DELTA / (2 * len(quality.RULES))
-    want = None
-    for cutoff in quality.RULES[0][3]:
-        lost = sum(n > cutoff for n in values)  # of 1000 words: per mille
-        if lost >= len(values) * quality.ALLOWED or exact_cdf(lost, len(values), quality.ALLOWED) > level:
+    # All but the symbols are clean: the path ends where the symbols' share is no longer proven.
+    want = {}
+    for name, cutoff in quality.PATH:
+        lost = sum(n > (cutoff if name == "symbols" else want.get("symbols", 10**9)) for n in values)  # of 1000 words: per mille
+        if lost >= len(values) * 0.03 or exact_cdf(lost, len(values), 0.03) > quality.DELTA / 3:
             break
-        want = cutoff
-    assert got["big"]["symbols"] == want == 300 or want in (200, 300)
-    assert got["big"]["repeated_lines"] == 50  # never exceeded: the strictest one
+        want[name] = cutoff
+    assert {r[0]: got["big"][r[0]] for r in quality.RULES} == {r[0]: want.get(r[0]) for r in quality.RULES}
+    assert want["symbols"] in (200, 300)
     assert all(got["small"][rule[0]] is None for rule in quality.RULES)  # 100 rows prove nothing
+    assert all(got["fair"][rule[0]] == rule[3][-1] for rule in quality.RULES)  # 200 rows without a loss do
+
+
+def test_toxic_documents_are_not_protected(spark):
+    rows = [(i, "a", 300 if i < 40 else 0) for i in range(400)]
+    marks = [(i, 1, int(i < 40)) for i, _, _ in rows]
+    counts = counts_table(spark, rows)
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    assert quality.select_cutoffs(counts, labels).first().symbols == 20
+    kept = quality.judge(counts, quality.select_cutoffs(counts, labels)).filter("kept").count()
+    assert kept == 360
+    assert quality.select_cutoffs(counts, labels.drop("toxic")).first().symbols == 300
 
 
 def test_verdicts(spark):
