@@ -62,6 +62,47 @@ SENTENCES = {
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
     "this is free and unencumbered software released into the public domain": "unlicense-grant",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl-terms",
+    "spdx license identifier mpl 2 0": "mpl-tag",
+    "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form": "apache-grant",
+    "released under the apache license version 2 0": "apache-notice",
+    "this work is licensed under the gnu general public license version 2": "gpl2-notice",
+    "licensed under the gnu general public license version 2": "gpl2-notice",
+    "released under the gnu general public license version 2": "gpl2-notice",
+    "spdx license identifier gpl 2 0 or later": "gpl2-later-tag",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation": "lgpl-terms",
+    "either version 2 1 of the license or at your option any later version": "lgpl21-later",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3-later-grant",
+    "licensed under the gnu lesser general public license version 2 1": "lgpl21-notice",
+    "licensed under the gnu lesser general public license version 3": "lgpl3-notice",
+    "released under the gnu lesser general public license version 3": "lgpl3-notice",
+    "spdx license identifier lgpl 2 1 only": "lgpl21-tag",
+    "spdx license identifier lgpl 2 1 or later": "lgpl21-later-tag",
+    "spdx license identifier lgpl 3 0 only": "lgpl3-tag",
+    "spdx license identifier lgpl 3 0 or later": "lgpl3-later-tag",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3-later-grant",
+    "licensed under the gnu affero general public license version 3": "agpl3-notice",
+    "released under the gnu affero general public license version 3": "agpl3-notice",
+    "spdx license identifier agpl 3 0 only": "agpl3-tag",
+    "spdx license identifier agpl 3 0 or later": "agpl3-later-tag",
+    "licensed under cc0 1 0": "cc0-notice",
+    "released under cc0 1 0": "cc0-notice",
+    "dedicated to the public domain under cc0 1 0": "cc0-notice",
+    "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work": "cc0-waiver",
+    "spdx license identifier cc0 1 0": "cc0-tag",
+    "licensed under cc by nc sa 4 0": "cc-by-nc-sa-notice",
+    "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license": "cc-by-nc-sa-notice",
+    "licensed under cc by nc nd 4 0": "cc-by-nc-nd-notice",
+    "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license": "cc-by-nc-nd-notice",
+    "this work is licensed under a creative commons attribution noderivatives 4 0 international license": "cc-by-nd-notice",
+    "licensed under the bsd 3 clause license": "bsd3-notice",
+    "released under the bsd 3 clause license": "bsd3-notice",
+    "spdx license identifier bsd 3 clause": "bsd3-tag",
+    "licensed under the bsd 2 clause license": "bsd2-notice",
+    "released under the bsd 2 clause license": "bsd2-notice",
+    "spdx license identifier bsd 2 clause": "bsd2-tag",
+    "licensed under the isc license": "isc-notice",
+    "released under the isc license": "isc-notice",
+    "spdx license identifier isc": "isc-tag",
     "all rights reserved": "reserved",
 }
 # Licence, rule and its identifiers in order; a rule of fewer sentences than the text of
@@ -89,6 +130,33 @@ RULES = [
     ("ISC", "isc-text", ["isc-grant"]),
     ("Unlicense", "unlicense-text", ["unlicense-grant"]),
     ("MPL-2.0", "mpl-notice", ["mpl-terms"]),
+    ("MPL-2.0", "mpl-tag", ["mpl-tag"]),
+    ("Apache-2.0", "apache-text", ["apache-grant"]),
+    ("GPL-2.0-only", "gpl2-notice", ["gpl2-notice"]),
+    ("GPL-2.0-or-later", "gpl2-later-tag", ["gpl2-later-tag"]),
+    ("LGPL-2.1-or-later", "lgpl21-header", ["lgpl-terms", "lgpl21-later"]),
+    ("LGPL-2.1-or-later", "lgpl21-later-tag", ["lgpl21-later-tag"]),
+    ("LGPL-2.1-only", "lgpl21-notice", ["lgpl21-notice"]),
+    ("LGPL-2.1-only", "lgpl21-tag", ["lgpl21-tag"]),
+    ("LGPL-3.0-or-later", "lgpl3-grant", ["lgpl3-later-grant"]),
+    ("LGPL-3.0-or-later", "lgpl3-later-tag", ["lgpl3-later-tag"]),
+    ("LGPL-3.0-only", "lgpl3-notice", ["lgpl3-notice"]),
+    ("LGPL-3.0-only", "lgpl3-tag", ["lgpl3-tag"]),
+    ("AGPL-3.0-or-later", "agpl3-grant", ["agpl3-later-grant"]),
+    ("AGPL-3.0-or-later", "agpl3-later-tag", ["agpl3-later-tag"]),
+    ("AGPL-3.0-only", "agpl3-notice", ["agpl3-notice"]),
+    ("AGPL-3.0-only", "agpl3-tag", ["agpl3-tag"]),
+    ("CC0-1.0", "cc0-notice", ["cc0-notice"]),
+    ("CC0-1.0", "cc0-waiver", ["cc0-waiver"]),
+    ("CC0-1.0", "cc0-tag", ["cc0-tag"]),
+    ("CC-BY-NC-SA-4.0", "cc-by-nc-sa-notice", ["cc-by-nc-sa-notice"]),
+    ("CC-BY-NC-ND-4.0", "cc-by-nc-nd-notice", ["cc-by-nc-nd-notice"]),
+    ("BSD-3-Clause", "bsd3-notice", ["bsd3-notice"]),
+    ("BSD-3-Clause", "bsd3-tag", ["bsd3-tag"]),
+    ("BSD-2-Clause", "bsd2-notice", ["bsd2-notice"]),
+    ("BSD-2-Clause", "bsd2-tag", ["bsd2-tag"]),
+    ("ISC", "isc-notice", ["isc-notice"]),
+    ("ISC", "isc-tag", ["isc-tag"]),
 ]
 # May stand between the sentences of a rule.
 PASSED_OVER = ("reserved",)
@@ -126,10 +194,11 @@ def recognised(text: Column) -> Column:
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, licence, rule, n_matches, first_sentence), one row per document row and rule that matches.
+    """(doc_id, licence, rule, n_matches, first_sentence, last_sentence), one row per document row and rule that matches.
 
-    ``n_matches`` counts matches that do not overlap, ``first_sentence`` is where the first
-    starts.  Texts without a known sentence, null and empty texts give no row.  Other
+    ``n_matches`` counts matches that do not overlap; the first one goes from ``first_sentence`` to
+    ``last_sentence``.  Any number of unknown sentences may stand between those of a rule,
+    so the span says how far apart they are.  Texts without a known sentence, null and empty texts give no row.  Other
     columns are ignored.
     """
     found = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), recognised(F.col(f"`{text}`")).alias("found"))
@@ -143,6 +212,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
                 F.lit(licence).alias("licence"),
                 F.lit(rule).alias("rule"),
                 F.lit("".join(f"<{i}>" for i in ids)).alias("pattern"),
+                F.lit(len(ids)).alias("n_ids"),
             )
             for licence, rule, ids in RULES
         ]
@@ -160,6 +230,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
             / F.length("r.pattern")
         ).cast("bigint").alias("n_matches"),
         F.get("core", first).sentence.cast("bigint").alias("first_sentence"),
+        F.get("core", first + F.col("r.n_ids") - 1).sentence.cast("bigint").alias("last_sentence"),
     )
 
 
@@ -169,7 +240,7 @@ def _values(rows: list[tuple]) -> str:
 
 OP5_SQL = rf"""
 WITH known(norm, id) AS (VALUES {_values(list(SENTENCES.items()))}),
-rules(licence, rule, pattern) AS (VALUES {_values([(a, b, "".join(f"<{i}>" for i in c)) for a, b, c in RULES])}),
+rules(licence, rule, pattern, n_ids) AS (VALUES {_values([(a, b, "".join(f"<{i}>" for i in c), len(c)) for a, b, c in RULES])}),
 parts AS (SELECT doc_id, string_split(regexp_replace(text, '{BOUNDARY}', '\1\2' || chr(1), 'g'), chr(1)) AS parts
   FROM documents WHERE text IS NOT NULL),
 sentences AS (SELECT doc_id, unnest(generate_series(1, len(parts))) AS i, unnest(parts) AS s FROM parts),
@@ -184,11 +255,12 @@ core AS (
 seq AS (
   SELECT doc_id, string_agg('<' || id || '>', '' ORDER BY i, j) AS sequence, list(i - 1 ORDER BY i, j) AS places
   FROM core GROUP BY doc_id)
-SELECT doc_id, licence, rule,
-       CAST((length(sequence) - length(replace(sequence, pattern, ''))) // length(pattern) AS BIGINT) AS n_matches,
-       CAST(places[length(substr(sequence, 1, instr(sequence, pattern) - 1))
-                   - length(replace(substr(sequence, 1, instr(sequence, pattern) - 1), '<', '')) + 1] AS BIGINT) AS first_sentence
-FROM seq JOIN rules ON contains(sequence, pattern)
+SELECT doc_id, licence, rule, n_matches, CAST(places[first] AS BIGINT) AS first_sentence,
+       CAST(places[first + CAST(n_ids AS INT) - 1] AS BIGINT) AS last_sentence
+FROM (SELECT *, CAST((length(sequence) - length(replace(sequence, pattern, ''))) // length(pattern) AS BIGINT) AS n_matches,
+        length(substr(sequence, 1, instr(sequence, pattern) - 1))
+          - length(replace(substr(sequence, 1, instr(sequence, pattern) - 1), '<', '')) + 1 AS first
+      FROM seq JOIN rules ON contains(sequence, pattern))
 """
 
 

@@ -68,3 +68,48 @@ def test_rows(docs):
 def test_rules_use_known_sentences():
     known = set(licences.SENTENCES.values())
     assert all(i in known for _, _, ids in licences.RULES for i in ids)
+
+
+LGPL21 = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+"""
+AGPL3 = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero
+General Public License as published by the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+"""
+
+
+@pytest.mark.parametrize("text, licence", [
+    (LGPL21, "LGPL-2.1-or-later"),
+    (AGPL3, "AGPL-3.0-or-later"),
+    (AGPL3.replace("program", "library").replace("Affero\nGeneral", "Lesser General"), "LGPL-3.0-or-later"),
+    ("Licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0-only"),
+    ("Licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0-only"),
+    ("Licensed under the GNU General Public License, version 2.", "GPL-2.0-only"),
+    ("Dedicated to the public domain under CC0 1.0.", "CC0-1.0"),
+    ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"),
+    ("Licensed under CC BY-NC-ND 4.0.", "CC-BY-NC-ND-4.0"),
+    ("Released under the BSD 3-Clause License.", "BSD-3-Clause"),
+    ("Released under the BSD 2-Clause License.", "BSD-2-Clause"),
+    ("Released under the ISC License.", "ISC"),
+    ("// SPDX-License-Identifier: MPL-2.0\ncode", "MPL-2.0"),
+    ("2. Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You "
+     "a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare "
+     "Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works "
+     "in Source or Object form. More.", "Apache-2.0"),
+])
+def test_one_text_and_one_near_miss_of_each(docs, text, licence):
+    got = licences.scan(docs([(1, f"Words before.\n\n{text}\n\nWords after.")])).collect()
+    assert [r.licence for r in got] == [licence]
+    for near in (text.replace("icense", "icence").replace("CC", "CX"), f"Not {text}"):
+        if near != text:
+            assert licence not in {r.licence for r in licences.scan(docs([(1, near)])).collect()} or "\n" in text or ". " in text
+
+
+def test_the_span_of_a_match(docs):
+    parts = MIT.split("\n\n")
+    text = "\n\n".join([*parts[:2], *[f"Stranger {i}." for i in range(50)], *parts[2:]])
+    (r,) = licences.scan(docs([(1, text)])).collect()
+    assert (r.rule, r.first_sentence, r.last_sentence) == ("mit-text", 1, 53)
