@@ -11,6 +11,7 @@ from merchlens.operators import constraints as cs
 from merchlens.operators import dense as dn
 from merchlens.operators import fusion as fu
 from merchlens.operators import lexical as lx
+from merchlens.operators import segments as sg
 from merchlens.operators import vector_index as vi
 from merchlens.plans.derived import load
 from merchlens.plans.registry import query
@@ -140,6 +141,31 @@ def lexical_topk(spark, d):
     return top.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
+_NOW = "(SELECT doc_id, CASE WHEN doc_id % 100 = 9 THEN text || ' ' || lang ELSE text END AS text FROM documents WHERE doc_id % 50 <> 3)"
+
+
+def _changed_index(spark, d):
+    """Segments of all documents but one in a hundred, then these added, some removed, some replaced."""
+    docs = _docs(spark, d).select("doc_id", "text", "lang")
+    base = f"{shared_folder(spark)}/sources/segments-{uuid.uuid4().hex}"
+    sg.add(base, docs.filter("doc_id % 100 <> 7"), "doc_id", "text")
+    sg.add(base, docs.filter("doc_id % 100 = 7"), "doc_id", "text")
+    sg.remove(spark, base, docs.filter("doc_id % 50 = 3"), "doc_id")
+    new = docs.filter("doc_id % 100 = 9").withColumn("text", F.concat("text", F.lit(" "), "lang"))
+    sg.replace(base, new, "doc_id", "text")
+    return sg.load(spark, base)
+
+
+@query(
+    "lexical_topk_after_changes",
+    f"{LEX_CTE.replace('FROM documents', 'FROM ' + _NOW)} SELECT query_id, doc_id, cast(rank AS INT) AS rank, round(score,6) AS score FROM lexr WHERE rank <= 5",
+)
+def lexical_topk_after_changes(spark, d):
+    """An index in segments after additions, removals and new texts."""
+    top = sg.search(_changed_index(spark, d), load(spark, d, "benchmark"), "item_id", "text", 5)
+    return top.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
 @query(
     "index_round_trip",
     f"{LEX_CTE}, p AS (SELECT doc_id, term FROM wts) SELECT 'postings' AS part, (SELECT count(*) FROM p) AS row_count, (SELECT count(DISTINCT term) FROM p) AS terms UNION ALL SELECT 'vocab', (SELECT count(*) FROM vocab), (SELECT count(DISTINCT term) FROM vocab) UNION ALL SELECT 'size', 1, NULL",

@@ -10,7 +10,9 @@ from merchlens.operators import dense as dn
 from merchlens.operators import fusion as fu
 from merchlens.operators import lexical as lx
 from merchlens.operators import vector_index as vi
+from merchlens.operators import segments as sg
 from merchlens.operators import skew
+from merchlens.sources.readers import ContractError
 
 
 def test_weights_by_hand(spark):
@@ -218,3 +220,40 @@ def test_index_edges(spark):
     assert ranked(got.filter("rank <= 5")) == ranked(dn.exact_top_k(docs, queries, 5))
     empty = vi.fit(docs.filter("false"))
     assert vi.search(empty, queries, 3).isEmpty() and vi.search(index, queries.filter("false"), 3).isEmpty()
+
+
+def test_segments_follow_changes_and_rewrite_nothing(spark, tmp_path):
+    rng = np.random.RandomState(7)
+    text = lambda: " ".join(rng.choice(["red", "mug", "blue", "lamp", "desk", "oak", "tin"], rng.randint(0, 12)))
+    docs = {i: text() for i in range(300)}
+    frame = lambda d: spark.createDataFrame(list(d.items()), "id bigint, text string")
+    queries = spark.createDataFrame([(0, "red mug"), (1, "oak desk lamp"), (2, "nothing"), (3, "tin tin blue")], "qid bigint, q string")
+    base, files = str(tmp_path / "index"), lambda: {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+
+    def same_as_fresh():
+        got = sg.search(sg.load(spark, base), queries, "qid", "q", 5).collect()
+        want = lx.search(frame(docs), queries, "id", "text", "qid", "q", 5).collect()
+        row = lambda r: (r.query_id, r["rank"], r.doc_id, round(r.score, 9))
+        assert sorted(map(row, got)) == sorted(map(row, want)) and got
+
+    sg.add(base, frame(docs), "id", "text")
+    same_as_fresh()
+    before = files()
+    more = {1000 + i: text() for i in range(3)}
+    sg.add(base, frame(more), "id", "text")
+    docs |= more
+    same_as_fresh()
+    after = files()
+    assert {p: t for p, t in after.items() if p in before} == before
+    rows = lambda paths: sum(spark.read.parquet(str(p)).count() for p in paths if "/counts/" in str(p))
+    assert rows(set(after) - set(before)) <= 0.05 * rows(before)
+    sg.remove(spark, base, frame({i: "" for i in (5, 6, 1001, 77_777)}), "id")
+    for i in (5, 6, 1001):
+        del docs[i]
+    same_as_fresh()
+    new = {8: "red red mug", 9: "", 5: "back again oak"}
+    sg.replace(base, frame(new), "id", "text")
+    docs |= new
+    same_as_fresh()
+    with pytest.raises(ContractError):
+        sg.add(base, frame({8: "twice"}), "id", "text")
