@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -92,3 +93,22 @@ def test_marks_alone_are_no_letters(model):
     for text in ("\u0301\u0301\u0301", " \u0301 12 \u20e3", "", None):
         assert langid.infer(model, text) == [] or not langid.infer(model, text)
     assert langid.infer(model, "ka\u0301lo mita nure")
+
+
+def test_language_set_is_the_best_of_all_subsets(model):
+    rng = random.Random(11)
+    for _ in range(40):
+        parts = [prose(rng, lang, rng.choice([0, 0, 3, 15, 60, 200])) for lang in SYLLABLES]
+        text = ". ".join(rng.sample(parts, len(parts))) + " ka"
+        ids = langid.trigrams(text)
+        times = np.bincount(ids, minlength=model.probability.shape[1])
+        buckets = np.flatnonzero(times)
+        p, times = model.probability[:, buckets], times[buckets].astype(float)
+        cost = langid.PENALTY * np.log(len(ids) + 1)
+        values = {}
+        for n in (1, 2, 3):
+            for some in itertools.combinations(range(len(model.languages)), n):
+                _, value = langid._em(p[list(some)], times, np.full(n, 1 / n))
+                values[tuple(model.languages[i] for i in some)] = value - cost * (n - 1)
+        found = tuple(sorted(lang for lang, _ in langid.infer(model, text)))
+        assert values[found] >= max(values.values()) - 0.5, (found, values)
