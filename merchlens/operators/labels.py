@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from merchlens.functions.text import fingerprint, let
@@ -78,35 +76,32 @@ def cap_pool(pool: DataFrame, max_pairs: int) -> DataFrame:
     """E12 / K04. Method-balanced cap: rounds over queries and methods.
 
     A query's picks do not depend on other queries, so each query lists its own
-    picks with their round (a pool holds at most methods x depth rows); only the
-    final order and limit are global.
+    picks with their round inside its row (a pool holds at most methods x depth rows);
+    only the final order and limit are global, and keep ``max_pairs`` rows a task.
     """
-    members = pool.select(
-        "query_id", "doc_id", F.explode("membership").alias("m")
-    ).select("query_id", "doc_id", F.col("m.method").alias("method"), F.col("m.rank").alias("rank"))
-    out = T.StructType(
-        [
-            *[f for f in pool.schema.fields if f.name in ("query_id", "doc_id")],
-            T.StructField("round", T.IntegerType()),
-            T.StructField("method", T.StringType()),
-        ]
+    doc = pool.schema["doc_id"].dataType.simpleString()
+    members = pool.select("query_id", "doc_id", F.explode("membership").alias("m"))
+    # One queue per method, the best documents first; the queues in the order of their methods.
+    queue = members.groupBy("query_id", F.col("m.method").alias("method")).agg(
+        F.sort_array(F.collect_list(F.struct(F.col("m.rank").alias("rank"), "doc_id"))).alias("q")
     )
+    queues = queue.groupBy("query_id").agg(
+        F.sort_array(F.collect_list(F.struct("method", F.col("q.doc_id").alias("docs")))).alias("queues"),
+        F.max(F.size("q")).alias("longest"),
+    )
+    picks = f"array<struct<doc_id:{doc},round:int,method:string>>"
+
+    def pick(taken, turn, queue):
+        left = F.get(F.filter(queue["docs"], lambda x: ~F.exists(taken, lambda t: t["doc_id"] == x)), F.lit(0))
+        one = F.array(F.struct(left.alias("doc_id"), turn.alias("round"), queue["method"].alias("method")))
+        return F.when(left.isNull(), taken).otherwise(F.concat(taken, one.cast(picks)))
 
-    def picks(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rank", "doc_id"])
-        queues = {m: list(g["doc_id"]) for m, g in sorted(pdf.groupby("method"))}
-        taken, rows, turn = set(), [], 0
-        while any(queues.values()):
-            for method, queue in queues.items():
-                while queue and queue[0] in taken:
-                    queue.pop(0)
-                if queue:
-                    taken.add(queue[0])
-                    rows.append((pdf["query_id"].iloc[0], queue.pop(0), turn, method))
-            turn += 1
-        return pd.DataFrame(rows, columns=[f.name for f in out])
-
-    ordered = members.groupBy("query_id").applyInPandas(picks, out)
+    picked = F.aggregate(
+        F.sequence(F.lit(0), F.col("longest") - 1),
+        F.array().cast(picks),
+        lambda taken, turn: F.aggregate("queues", taken, lambda so_far, queue: pick(so_far, turn, queue)),
+    )
+    ordered = queues.select("query_id", F.inline(picked)).select("query_id", "doc_id", "round", "method")
     return ordered.orderBy("round", F.col("query_id").cast("string"), "method").limit(max_pairs)
 
 
