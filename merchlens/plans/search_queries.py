@@ -204,7 +204,7 @@ def lexical_scenarios(spark, d):
 
 @query("dense_topk_exact", f"WITH {DENSE_CTE} SELECT query_id, doc_id, cast(rank AS INT) AS rank, round(score,6) AS score FROM denr WHERE rank <= 10")
 def dense_topk_exact(spark, d):
-    """R05, R16, K02."""
+    """R05, R16, K02, J08."""
     top = dn.exact_top_k(catalog(spark, d), load(spark, d, "search_queries"), 10)
     return top.withColumn("score", F.round("score", 6))
 
