@@ -563,6 +563,19 @@ def near_duplicates(spark, d):
     return sp.near_duplicates(sets).withColumn("jaccard", F.round("jaccard", 6))
 
 
+@query(
+    "near_duplicate_groups",
+    f"""WITH RECURSIVE {_NEAR}, link AS (SELECT "left" AS a, "right" AS b FROM near UNION ALL SELECT "right", "left" FROM near),
+        reach AS (SELECT id, id AS r FROM sets UNION SELECT b, r FROM reach JOIN link ON a = id),
+        member AS (SELECT id, min(r) AS group_id FROM reach GROUP BY id)
+        SELECT id, group_id, count(*) OVER (PARTITION BY group_id) AS group_size FROM member""",
+)
+def near_duplicate_groups(spark, d):
+    """J10 in one row a set: the class of near duplicates it belongs to."""
+    sets, _ = sp.token_sets(load(spark, d, "documents"), "doc_id", "text")
+    return sp.near_duplicate_groups(sets)
+
+
 @query(
     "duplicate_copies",
     f"WITH {_SETS} SELECT doc_id AS id, s.id AS rep FROM documents JOIN sets s ON s.t = list_sort(list_distinct(regexp_extract_all(lower(nfc_normalize(text)), '[\\p{{L}}\\p{{N}}_]+')))",
@@ -576,13 +589,11 @@ def duplicate_copies(spark, d):
 def _components(spark, d):
     docs = _docs_grouped(spark, d)
     sets, copies = sp.token_sets(docs, "doc_id", "text")
-    near = cut_lineage(sp.near_duplicates(sets))
-    edge = F.concat_ws("-", F.lit("n"), "left", "right")
+    near = sp.near_duplicate_groups(sets).filter("group_size > 1")
     members = (
         docs.select(F.col("doc_id").alias("node"), F.concat(F.lit("g"), "intent_group").alias("edge"))
         .unionByName(copies.select(F.col("id").alias("node"), F.concat(F.lit("c"), F.col("rep").cast("string")).alias("edge")))
-        .unionByName(near.select(F.col("left").alias("node"), edge.alias("edge")))
-        .unionByName(near.select(F.col("right").alias("node"), edge.alias("edge")))
+        .unionByName(near.select(F.col("id").alias("node"), F.concat(F.lit("n"), F.col("group_id").cast("string")).alias("edge")))
     )
     return sp.components(docs.select(F.col("doc_id").alias("node")), members)
 

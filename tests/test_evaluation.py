@@ -186,6 +186,58 @@ def test_near_duplicates_match_brute_force(spark):
     assert {(r.id, r.rep) for r in copies.collect() if r.id == 100} == {(100, 0)}
 
 
+@pytest.mark.parametrize("round_pairs", [0, 4, 10**6])
+def test_near_duplicate_groups_are_components_of_all_pairs(spark, monkeypatch, round_pairs):
+    """On every path: rounds as long as they help, the usual mixture, everything at once."""
+    monkeypatch.setattr(sp, "ROUND_PAIRS", round_pairs)
+    rnd = random.Random(11)
+    docs = []
+    for t in range(4):  # texts on a template: some near one another, some just not
+        base = [f"t{t}w{j}" for j in range(20)]
+        for i in range(40):
+            words = rnd.sample(base, 20 - rnd.randint(0, 5)) + [f"u{t}x{rnd.randint(0, 12)}" for _ in range(rnd.randint(0, 3))]
+            docs.append((t * 100 + i, " ".join(words)))
+    docs += [(900 + i, f"{docs[0][1]} alone{i}") for i in range(60)] + [(1000, ""), (1001, None), (1002, "lone")]
+    sets, _ = sp.token_sets(spark.createDataFrame(docs, "id bigint, t string"), "id", "t")
+    sets = sets.cache()
+    rows = {r.id: set(r.tokens or []) for r in sets.collect()}
+    least = {i: i for i in rows}
+
+    def find(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(rows), 2):
+        if rows[a] and rows[b] and len(rows[a] & rows[b]) / len(rows[a] | rows[b]) >= 0.8:
+            a, b = sorted((find(a), find(b)))
+            least[b] = a
+    want = {i: find(i) for i in rows}
+    got = {r.id: (r.group_id, r.group_size) for r in sp.near_duplicate_groups(sets).collect()}
+    size = {g: list(want.values()).count(g) for g in want.values()}
+    assert got == {i: (g, size[g]) for i, g in want.items()}
+    assert len(size) < len(rows) and sum(n > 1 for n in size.values()) >= 4
+
+
+def test_near_duplicate_groups_of_one_template(spark, monkeypatch):
+    """Thousands of sets near one another: pairs compared stay within a few for each set."""
+    n = 3000
+    sets = spark.range(n).selectExpr(
+        "id", "array_sort(concat(transform(sequence(1, 20), i -> concat('w', i)), array(concat('only', id)))) AS tokens"
+    )
+    compared = []
+    plain = sp._similarities
+
+    def counting(pairs, *rest):
+        compared.append(pairs.count())
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(sp, "_similarities", counting)
+    assert sp.near_duplicate_groups(sets).filter("group_id <> 0 OR group_size <> 3000").isEmpty()
+    assert sum(compared) <= 2 * n
+    assert sp.near_duplicate_groups(sets.limit(0)).count() == 0
+
+
 def test_components_match_union_find(spark):
     rnd = random.Random(3)
     nodes = list(range(80))
