@@ -589,11 +589,13 @@ def duplicate_copies(spark, d):
 def _components(spark, d):
     docs = _docs_grouped(spark, d)
     sets, copies = sp.token_sets(docs, "doc_id", "text")
-    near = sp.near_duplicate_groups(sets).filter("group_size > 1")
+    near = cut_lineage(sp.near_duplicate_links(sets))
+    edge = F.concat_ws("-", F.lit("n"), "left", "right")
     members = (
         docs.select(F.col("doc_id").alias("node"), F.concat(F.lit("g"), "intent_group").alias("edge"))
         .unionByName(copies.select(F.col("id").alias("node"), F.concat(F.lit("c"), F.col("rep").cast("string")).alias("edge")))
-        .unionByName(near.select(F.col("id").alias("node"), F.concat(F.lit("n"), F.col("group_id").cast("string")).alias("edge")))
+        .unionByName(near.select(F.col("left").alias("node"), edge.alias("edge")))
+        .unionByName(near.select(F.col("right").alias("node"), edge.alias("edge")))
     )
     return sp.components(docs.select(F.col("doc_id").alias("node")), members)
 
