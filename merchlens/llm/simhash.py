@@ -188,7 +188,8 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     named = stored.join(labelled, "fp").select(
         "key", F.col("fp").alias("other"), F.col("label").alias("other_label")
     )
-    sought = labelled.mapInArrow(_sought, "key bigint, fp bigint, label bigint")
+    # Each row becomes about 84, which Spark's estimate from the stored size does not see: never broadcast.
+    sought = labelled.mapInArrow(_sought, "key bigint, fp bigint, label bigint").hint("merge")
     met = sought.join(
         named,
         (sought.key == named.key)

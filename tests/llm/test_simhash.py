@@ -123,3 +123,10 @@ def test_ids_that_are_all_null_and_empty_table(docs):
     assert simhash.keep_one_per_group(docs(rows)).count() == 2
     assert simhash.near_duplicate_groups(docs([])).count() == 0
     assert simhash.keep_one_per_group(docs([])).count() == 0
+
+
+def test_sought_keys_are_never_broadcast(spark):
+    # 84 keys a fingerprint: their size is not that of the stored fingerprints.
+    distinct = spark.range(200).selectExpr("xxhash64(id) AS fp")
+    plan = simhash.links(distinct)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [key" in plan and "BroadcastHashJoin [key" not in plan
