@@ -83,3 +83,20 @@ def test_stream_state_equals_batch_across_restarts(spark):
         if (r.ended + 3600 * 10**6) // 1000 + 1 <= horizon:
             want.append((r.user_key, r.started, r.ended, r.turns, [x.turn for x in r["last"]][::-1]))
     assert run([]) == run([150, 151, 400]) == sorted(want) and want
+
+
+def test_a_session_closes_when_the_watermark_reaches_its_end(spark):
+    schema, end = "user_key long, ts timestamp, turn long", at(0)
+    # One hour and one millisecond after the last turn, plus the lateness of ten minutes.
+    rows = [(1, end, 1), (2, end + dt.timedelta(minutes=70, milliseconds=1), 2)]
+    parts = [spark.createDataFrame([r], schema) for r in rows]
+    assert [(r.user_key, r.turns, r.recent) for r in state.replay(parts).collect()] == [(1, 1, [1])]
+    assert state.replay([parts[0], spark.createDataFrame([(2, rows[1][1] - dt.timedelta(milliseconds=1), 2)], schema)]).count() == 0
+
+
+def test_state_travels_with_the_rows(spark):
+    # A call to the state store per user and timer took most of the time.
+    rows = spark.range(10).selectExpr("id AS user_key", "timestamp_micros(id) AS ts", "id AS turn")
+    rate = spark.readStream.format("rate").load().selectExpr("value AS user_key", "timestamp AS ts", "value AS turn")
+    assert "FlatMapGroupsInPandasWithState" in state.closed_sessions(rate)._jdf.queryExecution().analyzed().toString()
+    assert state.replay([rows]).count() == 0
