@@ -28,7 +28,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: 0.8 or more of their five-word shingles in common."""
+    """One document of each group of near copies: fingerprints within 3 bits (as in op3), or 0.8 or more of their five-word shingles in common."""
     return simhash.keep_one_per_group(docs, groups_of=jaccard.near_copy_groups, prints_of=jaccard.names)
 
 

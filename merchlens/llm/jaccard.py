@@ -1,5 +1,7 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""Near copies by fingerprints, then by exact Jaccard similarity of word shingles.
 
+Texts whose fingerprints link (`simhash`) are near copies; the rest of this file finds those
+that fingerprints miss.
 Two texts are near copies if their sets of five-word shingles have a Jaccard similarity of
 at least 0.8.  Fingerprints of 64 bits differ by about 10 bits there, and by up to 18,
 beyond what Golay keys of three segments can reach.  So candidates meet under MinHash keys
@@ -25,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from merchlens.llm import simhash
 from merchlens.operators.components import connected_components
 from merchlens.operators.skew import hot_keys, salted_join
 from merchlens.session import cut_lineage
@@ -102,6 +105,17 @@ def _named(docs: DataFrame, doc_id: str, text: str, keyed: bool) -> DataFrame:
     return slim.mapInArrow(run, f"doc_id {kind}, fp bigint, keys array<bigint>")
 
 
+def _texts(docs: DataFrame, text: str) -> DataFrame:
+    """(fp, text) of every row."""
+
+    def run(batches):
+        for batch in batches:
+            fps = np.fromiter((_name(_words(x.as_py())) for x in batch.column(0)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64)), batch.column(0)], names=["fp", "text"])
+
+    return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "fp bigint, text string")
+
+
 # Bytes of shingle sets that leave a task at once.
 SET_BYTES = 4 << 20
 
@@ -109,11 +123,6 @@ SET_BYTES = 4 << 20
 def _sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     """(fp, hashes binary): the shingle sets of the texts in ``wanted`` (fp)."""
 
-    def name(batches):
-        for batch in batches:
-            fps = np.fromiter((_name(_words(x.as_py())) for x in batch.column(0)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64)), batch.column(0)], names=["fp", "text"])
-
     def hashed(batches):
         for batch in batches:
             sets, start, held = [], 0, 0
@@ -125,8 +134,7 @@ def _sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(columns, names=["fp", "hashes"])
                     sets, start, held = [], i, 0
 
-    texts = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(name, "fp bigint, text string")
-    return texts.join(wanted, "fp", "left_semi").dropDuplicates(["fp"]).mapInArrow(hashed, "fp bigint, hashes binary")
+    return _texts(docs, text).join(wanted, "fp", "left_semi").dropDuplicates(["fp"]).mapInArrow(hashed, "fp bigint, hashes binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -291,14 +299,15 @@ def _meetings(mixed: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return linked, _as_pairs(pairs.select(F.col("fp_x").alias("u"), F.col("fp_y").alias("v")))
 
 
-def links(keyed: DataFrame, sets: DataFrame) -> DataFrame | None:
+def links(keyed: DataFrame, sets: DataFrame, known: DataFrame | None = None) -> DataFrame | None:
     """Edges (u, v) that connect texts exactly as all similar pairs with a common key do; None without any.
 
-    ``keyed``: (key, fp) of the keys that several texts share.  Pairs of one group are
+    ``keyed``: (key, fp) of the keys that several texts share; ``known``: edges found before, which
+    count as given and are part of the result.  Pairs of one group are
     never looked at again, and any pair of different groups has a member outside the largest
     group of its key.
     """
-    found: DataFrame | None = None
+    found = known
 
     def add(more: DataFrame) -> None:
         nonlocal found
@@ -323,6 +332,8 @@ def links(keyed: DataFrame, sets: DataFrame) -> DataFrame | None:
 def near_copy_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id), one row per row of ``docs``.
 
+    Near copies are first those that fingerprints link (`simhash.near_duplicate_groups`), then
+    those that are similar by their shingles, among texts that are still apart.
     ``component_id`` is the least doc_id that near copies reach.  Texts of equal words are
     one node ``fp``, texts without words too.  A null id stays null and joins its group,
     whose component is null if all its ids are.
@@ -332,15 +343,15 @@ def near_copy_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     every = cut_lineage(distinct.select("fp", F.explode("keys").alias("key")))
     shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     keyed = cut_lineage(salted_join(every, shared, "key", _hot(every), "fp"))
-    edges = None
+    printed_groups = simhash.near_duplicate_groups(_texts(docs, text), "fp", "text")
+    alike = printed_groups.select(F.col("doc_id").alias("u"), F.col("component_id").alias("v")).filter("u <> v")
+    edges = cut_lineage(alike.distinct())
     if not keyed.isEmpty():
-        edges = links(keyed, cut_lineage(_sets(docs, text, cut_lineage(keyed.select("fp").distinct()))))
-    rooted = distinct.select("fp", "least", F.col("fp").alias("root"))
-    if edges is not None:
-        found = cut_lineage(connected_components(edges))
-        rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
-            "fp", "least", F.coalesce("component", "fp").alias("root")
-        )
+        edges = links(keyed, cut_lineage(_sets(docs, text, cut_lineage(keyed.select("fp").distinct()))), edges)
+    found = cut_lineage(connected_components(edges))
+    rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "least", F.coalesce("component", "fp").alias("root")
+    )
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     return printed.join(of_fp, "fp").select("doc_id", "fp", "component_id")

@@ -4,7 +4,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from merchlens.llm import jaccard
+from merchlens.llm import jaccard, simhash
 
 near_dedup = dict(corpus_pipeline.STAGES)["near_dedup"]
 
@@ -122,3 +122,12 @@ def test_rounds_without_pairs_and_very_long_texts(spark, docs):
     assert {r.doc_id: r.component_id for r in jaccard.near_copy_groups(table).collect()} == {1: 1, 2: 1, 3: 3}
     kept = near_dedup(spark, table, "")
     assert kept.columns == table.columns and {r.doc_id for r in kept.collect()} == {1, 3}
+
+
+def test_fingerprint_links_are_near_copies_too(spark, docs):
+    # Repeated shingles decide the fingerprint, different ones the Jaccard similarity.
+    base = "one two three four five " * 100
+    rows = [(i, base + " ".join(f"{c}{k}" for k in range(4))) for i, c in ((3, "u"), (7, "v"))]
+    assert bin(simhash.fingerprint(rows[0][1]) ^ simhash.fingerprint(rows[1][1])).count("1") <= 3
+    got = jaccard.near_copy_groups(docs([*rows, (9, "some other text of other words")]))
+    assert {(r.doc_id, r.component_id) for r in got.collect()} == {(3, 3), (7, 3), (9, 9)}
