@@ -257,3 +257,13 @@ def test_segments_follow_changes_and_rewrite_nothing(spark, tmp_path):
     same_as_fresh()
     with pytest.raises(ContractError):
         sg.add(base, frame({8: "twice"}), "id", "text")
+
+
+def test_pairs_are_summed_where_their_document_lies(spark):
+    docs = spark.createDataFrame([(i, f"red apple number{i % 7} tree{i % 3}") for i in range(60)], "doc_id bigint, text string")
+    queries = spark.createDataFrame([(1, "red number3"), (2, "tree1 apple")], "query_id bigint, text string")
+    index = lx.fit(docs, "doc_id", "text")
+    scored = lx.scores(index, lx.query_vectors(queries, "query_id", "text", index.vocab), docs.select("doc_id"), F.lit(True))
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" not in plan and "hashpartitioning(doc_id" in plan
+    assert scored.count() == scored.select("query_id", "doc_id").distinct().count() > 0
