@@ -267,3 +267,27 @@ def test_pairs_are_summed_where_their_document_lies(spark):
     plan = scored._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(query_id" not in plan and "hashpartitioning(doc_id" in plan
     assert scored.count() == scored.select("query_id", "doc_id").distinct().count() > 0
+
+
+def test_postings_are_shuffled_packed_and_only_the_best_of_a_block_leave_it(spark):
+    rng = np.random.RandomState(5)
+    texts = [(i % 90 if i % 17 else None, " ".join(f"w{x}" for x in rng.zipf(1.6, 12) if x < 40)) for i in range(120)]
+    docs = spark.createDataFrame(texts, "id bigint, text string")
+    queries = spark.createDataFrame([(q, f"w1 w{q} w2 w3 w{q + 1}") for q in range(1, 6)], "qid bigint, q string")
+    index = lx.fit(docs, "id", "text")
+    assert index.lists.filter("first").count() == index.vocab.count() < index.postings.count()
+    # Ids that repeat or are null add up, as in a join of rows.
+    weights = lx.query_vectors(queries, "qid", "q", index.vocab)
+    plain = index.postings.join(weights, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("q_weight")).alias("score"))
+    want = {(r.query_id, r.doc_id): r["rank"] for r in lx.top_k(plain, 4).collect()}
+    best = lx.scores(index, weights, k=4)
+    assert {(r.query_id, r.doc_id): r["rank"] for r in lx.top_k(best, 4).collect()} == want
+    assert best.count() < lx.scores(index, weights).count() == plain.count()
+    # A pair counts as often as it is eligible.
+    goods = spark.createDataFrame([(3, 1.0), (3, 5.0), (4, 2.0), (None, 9.0)], "doc_id bigint, price double")
+    limits = spark.createDataFrame([(1, 0.0), (2, 3.0), (2, 4.0)], "query_id bigint, least double")
+    chosen = lx.scores(index, weights, goods, F.col("price") > F.col("least"), limits)
+    joined = index.postings.join(goods, "doc_id").join(weights, "term").join(limits, "query_id").filter("price > least")
+    expected = joined.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("q_weight")).alias("score"))
+    one, two = ({(r.query_id, r.doc_id): pytest.approx(r.score) for r in df.collect()} for df in (chosen, expected))
+    assert {k: v.expected for k, v in one.items()} == two and two
