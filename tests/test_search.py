@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -291,3 +292,17 @@ def test_postings_are_shuffled_packed_and_only_the_best_of_a_block_leave_it(spar
     expected = joined.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("q_weight")).alias("score"))
     one, two = ({(r.query_id, r.doc_id): pytest.approx(r.score) for r in df.collect()} for df in (chosen, expected))
     assert {k: v.expected for k, v in one.items()} == two and two
+
+
+def test_packs_of_a_bucket_are_merged_and_long_lists_cut(spark, monkeypatch):
+    monkeypatch.setattr(lx, "ROWS_PER_BATCH", 3)
+    packs = []
+    for first in (0, 4):
+        terms, term, row, tf = lx._runs(pa.array([["a", "b"], ["a"], ["a", "a"], ["c"] if first else None]))
+        starts = np.append(np.flatnonzero(np.diff(term, prepend=-1)), len(term))
+        packs.append(lx._packed(terms, term, pa.array(row + first), tf, starts, np.arange(len(terms))))
+    got = pa.Table.from_batches(lx._merged(pa.array(packs, pa.binary()), 8, 2, 1.0)).to_pylist()
+    assert [(r["term"], r["df"], r["first"], r["docs"], r["tfs"]) for r in got] == [
+        ("a", 6, True, [0, 1, 2], [1, 1, 2]), ("a", 6, False, [4, 5, 6], [1, 1, 2]), ("b", 2, True, [0, 4], [1, 1]), ("a b", 2, True, [0, 4], [1, 1]),
+        ("a a", 2, True, [2, 6], [1, 1]),
+    ]
