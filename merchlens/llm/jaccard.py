@@ -83,26 +83,30 @@ def names(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 
 def _named(docs: DataFrame, doc_id: str, text: str, keyed: bool) -> DataFrame:
+    """(doc_id, fp, print, keys) of every row, read once; without ``keyed`` no prints (null) nor keys."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def one(value):
         words = _words(value.as_py())
-        return _name(words), band_keys(shingles(words)) if keyed else []
+        if not keyed:
+            return _name(words), 0, []
+        return _name(words), simhash.fingerprint_of_words(words), band_keys(shingles(words))
 
     def run(batches):
         for batch in batches:
             # Text by text: the words of a whole batch would take ten times its size.
-            fps, keys = np.empty(batch.num_rows, np.uint64), []
+            fps, prints, keys = np.empty(batch.num_rows, np.uint64), np.empty(batch.num_rows, np.uint64), []
             for i, value in enumerate(batch.column(1)):
-                fps[i], own = one(value)
+                fps[i], prints[i], own = one(value)
                 keys.append(np.array(own, np.uint64).view(np.int64))
+            print_of = pa.array(prints.view(np.int64)) if keyed else pa.nulls(len(prints), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(fps.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "fp", "keys"],
+                [batch.column(0), pa.array(fps.view(np.int64)), print_of, pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "fp", "print", "keys"],
             )
 
     slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return slim.mapInArrow(run, f"doc_id {kind}, fp bigint, keys array<bigint>")
+    return slim.mapInArrow(run, f"doc_id {kind}, fp bigint, print bigint, keys array<bigint>")
 
 
 def _texts(docs: DataFrame, text: str) -> DataFrame:
@@ -332,18 +336,20 @@ def links(keyed: DataFrame, sets: DataFrame, known: DataFrame | None = None) ->
 def near_copy_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id), one row per row of ``docs``.
 
-    Near copies are first those that fingerprints link (`simhash.near_duplicate_groups`), then
+    Near copies are first those that fingerprints link (`simhash.linked_groups`), then
     those that are similar by their shingles, among texts that are still apart.
     ``component_id`` is the least doc_id that near copies reach.  Texts of equal words are
     one node ``fp``, texts without words too.  A null id stays null and joins its group,
     whose component is null if all its ids are.
     """
     printed = cut_lineage(_named(docs, doc_id, text, True))
-    distinct = cut_lineage(printed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.any_value("keys").alias("keys")))
+    # Texts of equal words have equal prints and keys.
+    one_of = [F.any_value(c).alias(c) for c in ("print", "keys")]
+    distinct = cut_lineage(printed.groupBy("fp").agg(F.min("doc_id").alias("least"), *one_of))
     every = cut_lineage(distinct.select("fp", F.explode("keys").alias("key")))
     shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     keyed = cut_lineage(salted_join(every, shared, "key", _hot(every), "fp"))
-    printed_groups = simhash.near_duplicate_groups(_texts(docs, text), "fp", "text")
+    printed_groups = simhash.linked_groups(distinct.select(F.col("fp").alias("doc_id"), F.col("print").alias("fp")))
     alike = printed_groups.select(F.col("doc_id").alias("u"), F.col("component_id").alias("v")).filter("u <> v")
     edges = cut_lineage(alike.distinct())
     if not keyed.isEmpty():

@@ -79,7 +79,10 @@ def near_codewords(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """Majority of the bits of the hashes of all word shingles; no words: 0."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return fingerprint_of_words((text or "").encode("utf-8", "surrogatepass").lower().split(), shingle)
+
+
+def fingerprint_of_words(words: list[bytes], shingle: int = SHINGLE) -> int:
     if not words:
         return 0
     joined = b" ".join(words)
@@ -210,7 +213,11 @@ def near_duplicate_groups(
     others; copies are collapsed to one fingerprint before anything is compared.  A
     null id stays null and joins its group, whose component is null if all its ids are.
     """
-    printed = cut_lineage(fingerprints(docs, doc_id, text))
+    return linked_groups(cut_lineage(fingerprints(docs, doc_id, text)), max_bits)
+
+
+def linked_groups(printed: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """`near_duplicate_groups` of stored fingerprints (doc_id, fp)."""
     distinct = cut_lineage(printed.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = cut_lineage(connected_components(links(distinct, max_bits)))
     rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn(

@@ -131,3 +131,20 @@ def test_fingerprint_links_are_near_copies_too(spark, docs):
     assert bin(simhash.fingerprint(rows[0][1]) ^ simhash.fingerprint(rows[1][1])).count("1") <= 3
     got = jaccard.near_copy_groups(docs([*rows, (9, "some other text of other words")]))
     assert {(r.doc_id, r.component_id) for r in got.collect()} == {(3, 3), (7, 3), (9, 9)}
+
+
+def test_texts_go_through_one_python_function_on_their_way_to_names_prints_and_keys(spark, docs, monkeypatch):
+    rows = [(1, "Some text of some words, ÄÖ"), (2, "some  TEXT of some words, ÄÖ"), (3, None), (4, "two words"), (5, " ".join(map(str, range(3_000))))]
+    got = {r.doc_id: r for r in jaccard._named(docs(rows), "doc_id", "text", True).collect()}
+    assert {i: got[i].print & (1 << 64) - 1 for i in got} == {i: simhash.fingerprint(t) for i, t in rows}
+    plans, cut = [], jaccard.cut_lineage
+
+    def recorded(df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, *args)
+
+    monkeypatch.setattr(jaccard, "cut_lineage", recorded)
+    monkeypatch.setattr(simhash, "cut_lineage", recorded)
+    jaccard.near_copy_groups(docs(rows)).collect()
+    # A shuffle parts two functions of one plan, else each task runs two Python processes at once.
+    assert all("Exchange" in p for p in plans if p.count("MapInArrow") > 1)
