@@ -294,6 +294,23 @@ def test_postings_are_shuffled_packed_and_only_the_best_of_a_block_leave_it(spar
     assert {k: v.expected for k, v in one.items()} == two and two
 
 
+def test_eligible_pairs_are_shuffled_once(spark):
+    docs = spark.createDataFrame([(i, f"red apple number{i % 7}") for i in range(40)], "doc_id bigint, text string")
+    queries = spark.createDataFrame([(1, "red number3"), (2, "number1 number3")], "query_id bigint, text string")
+    goods = spark.createDataFrame([(3, 1.0), (3, 1.0), (3, 5.0), (10, 2.0)], "doc_id bigint, price double")
+    limits = spark.createDataFrame([(1, 0.0), (2, 3.0), (2, 4.0), (2, 4.0)], "query_id bigint, least double")
+    index = lx.fit(docs, "doc_id", "text")
+    weights = lx.query_vectors(queries, "query_id", "text", index.vocab)
+    chosen = lx.scores(index, weights, goods, F.col("price") > F.col("least"), limits)
+    joined = index.postings.join(goods, "doc_id").join(weights, "term").join(limits, "query_id").filter("price > least")
+    expected = joined.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("q_weight")).alias("score"))
+    one, two = ({(r.query_id, r.doc_id): round(r.score, 9) for r in df.collect()} for df in (chosen, expected))
+    assert one == two and len(two) == 3
+    # No pair is shuffled by its document and query before it goes to its block.
+    plan = chosen._jdf.queryExecution().sparkPlan().toString()
+    assert "keys=[doc_id" in plan and not [x for x in plan.splitlines() if "keys=[doc_id" in x and "query_id" in x]
+
+
 def test_packs_of_a_bucket_are_merged_and_long_lists_cut(spark, monkeypatch):
     monkeypatch.setattr(lx, "ROWS_PER_BATCH", 3)
     packs = []
