@@ -323,3 +323,55 @@ def test_packs_of_a_bucket_are_merged_and_long_lists_cut(spark, monkeypatch):
         ("a", 6, True, [0, 1, 2], [1, 1, 2]), ("a", 6, False, [4, 5, 6], [1, 1, 2]), ("b", 2, True, [0, 4], [1, 1]), ("a b", 2, True, [0, 4], [1, 1]),
         ("a a", 2, True, [2, 6], [1, 1]),
     ]
+
+
+def test_postings_and_pairs_travel_as_arrays(spark):
+    docs = spark.createDataFrame([(f"d{i}" if i else None, f"red apple number{i % 7} tree{i % 3}") for i in range(60)], "doc_id string, text string")
+    queries = spark.createDataFrame([(1, "red number3"), (2, "tree1 apple")], "query_id bigint, text string")
+    limits = spark.createDataFrame([(1, "d3"), (2, "d1"), (2, "d5")], "query_id bigint, least string")
+    index = lx.fit(docs, "doc_id", "text")
+    weights = lx.query_vectors(queries, "query_id", "text", index.vocab)
+    chosen = lx.scores(index, weights, docs.select("doc_id"), F.col("doc_id") > F.col("least"), limits)
+    joined = index.postings.join(weights, "term").join(limits, "query_id").filter("doc_id > least")
+    expected = joined.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("q_weight")).alias("score"))
+    one, two = ({(r.query_id, r.doc_id): round(r.score, 9) for r in df.collect()} for df in (chosen, expected))
+    assert one == two and two
+    # Postings, norms and pairs each become arrays before they are shuffled to their block.
+    assert chosen._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 3
+
+
+def test_ranks_of_lists_counts_ties_by_document(spark):
+    rng = np.random.RandomState(11)
+    rows = [(q, f"é{i}" if i % 3 else f"z{i}", [0.25, 0.123456785, 0.5, 0.123456784][rng.randint(4)] + rng.randint(2) * 1e-10) for q in range(3) for i in range(200)]
+    scored = spark.createDataFrame([*rows, (1, None, 0.5)], "query_id bigint, doc_id string, score double").repartition(5)
+    full = {(r.query_id, r.doc_id): (r["rank"], r.score) for r in lx.rank(scored).collect() if r.doc_id}
+    lists = lx.listed_scores(scored)
+    wanted = scored.filter("doc_id like '%7%'").select("query_id", "doc_id")
+    wanted = wanted.union(wanted.limit(3)).union(spark.createDataFrame([(0, "none"), (7, "z3")], "query_id bigint, doc_id string"))
+    plan = lx.ranks_of(scored, wanted)
+    for got in (plan, lx.ranks_of(lists, wanted)):
+        assert sorted((r.query_id, r.doc_id, r["rank"], r.score) for r in got.collect()) == sorted((q, d, *v) for (q, d), v in full.items() if "7" in d)
+    # Scored pairs meet the wanted ones as lists, never one by one.
+    assert "MapInArrow" in plan._jdf.queryExecution().executedPlan().toString()
+    top = {(r.query_id, r.doc_id): r["rank"] for r in lx.top_k(lx.first_of(lists, 6), 6).collect()}
+    assert top == {(r.query_id, r.doc_id): r["rank"] for r in lx.top_k(scored, 6).collect()}
+
+
+def test_scores_are_rounded_as_spark_rounds_them(spark):
+    rng = np.random.default_rng(2)
+    values = np.concatenate([rng.random(500), (rng.integers(0, 10**8, 500) + 0.5) / 1e8, rng.integers(0, 10**8, 100) / 1e8])
+    got = spark.createDataFrame(pd.DataFrame({"x": values})).select("x", F.round("x", 8).alias("r")).toPandas()
+    assert (lx._rounded(got["x"].to_numpy()) == got["r"].to_numpy()).all()
+
+
+def test_a_term_has_one_hash_wherever_it_is_counted():
+    texts = [["a", "b", "a", "b"], None, [], ["b", "a"], ["c", "a", "b"]]
+    seen = {}
+    for lists in (texts, texts[::-1], [["b"], ["a", "b", "c"]]):
+        terms, term, row, tf, hashed = lx._hashed_runs(pa.array(lists, pa.list_(pa.string())))
+        terms = terms.to_pylist()
+        grams = [(" ".join(w[i : i + n]), r) for r, w in enumerate(lists) if w for n in (1, 2) for i in range(len(w) - n + 1)]
+        assert {(terms[t], r): f for t, r, f in zip(term, row, tf.tolist())} == {g: grams.count(g) for g in grams}
+        for t, h in zip(terms, hashed.tolist()):
+            assert seen.setdefault(t, h) == h
+    assert len(set(seen.values())) == len(seen)
